@@ -7,6 +7,7 @@ import sys
 import time
 
 import duckdb
+import numpy as np
 import pandas as pd
 
 from checks.views import TABLES
@@ -19,11 +20,11 @@ def normal(frame: pd.DataFrame) -> pd.DataFrame:
     """Columns by name, cells as text, rows sorted."""
 
     def cell(value):
-        if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
+        if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value):
             return "~"
         if isinstance(value, bool) or type(value).__name__ == "bool_":
             return str(bool(value))
-        if isinstance(value, float):
+        if isinstance(value, (float, np.floating)):
             return repr(round(float(value), 6) + 0.0).removesuffix(".0")
         return str(value)
 

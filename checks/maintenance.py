@@ -51,7 +51,7 @@ _STORED = """SELECT sha1(CAST(o_orderkey AS {str})) AS sha, 'community' AS sourc
 _UPDATES = """SELECT DISTINCT sha1(CAST(l_orderkey AS {str})) AS sha, 'enterprise' AS source, o_orderdate AS authored_at,
  'NEW' AS tag, concat('line ', CAST(l_linenumber AS {str})) AS subject,
  CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE concat('part ', CAST(l_partkey AS {str})) END AS body,
- concat('new ', CAST(l_partkey AS {str})) AS doc_text, l_linenumber * 1000000000 + l_partkey AS arrival
+ concat('new ', CAST(l_partkey AS {str})) AS doc_text, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey AS arrival
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate >= TIMESTAMP '1997-01-01'"""
 
 

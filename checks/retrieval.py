@@ -183,13 +183,13 @@ def fts_cover_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- dense ---------------------------------------------------------------------
 
-MEANS = """cells AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS x FROM embeddings),
+MEANS = """cells AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS x FROM <vectors>),
 means AS (SELECT label, list(m ORDER BY i) AS vector FROM (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM cells GROUP BY ALL)
   GROUP BY label)"""
 
 
 @query(
-    f"""WITH {MEANS}, s AS (SELECT m.label AS query_id, vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), m.vector), 9)
+    f"""WITH {MEANS.replace("<vectors>", "embeddings")}, s AS (SELECT m.label AS query_id, vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), m.vector), 9)
   AS score FROM embeddings e CROSS JOIN means m)
 SELECT query_id, vec_id, round(score, 6) AS score,
  CAST(row_number() OVER (PARTITION BY query_id ORDER BY s.score DESC, vec_id) - 1 AS INTEGER) AS rank FROM s QUALIFY rank < 50"""
@@ -214,7 +214,8 @@ def lsh_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_sql(where: str = "true") -> str:
     return f"""bt AS MATERIALIZED (SELECT sha, module, tag, source, unnest(list_filter(regexp_split_to_array(lower(doc_text), '{NOT_WORD}'),
   lambda x: x <> '')) AS term FROM corpus WHERE {where}),
-btf AS MATERIALIZED (SELECT sha, module, tag, source, term, count(*) AS tf, sum(count(*)) OVER (PARTITION BY sha) AS len FROM bt GROUP BY ALL),
+btc AS (SELECT sha, module, tag, source, term, count(*) AS tf FROM bt GROUP BY ALL),
+btf AS MATERIALIZED (SELECT *, sum(tf) OVER (PARTITION BY sha) AS len FROM btc),
 bdf AS (SELECT term, count(*) AS df FROM btf GROUP BY term),
 bn AS (SELECT count(*) AS n FROM corpus WHERE {where})"""
 
@@ -292,19 +293,20 @@ def search_queries(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return queries.join(means, queries["query_id"] == means["label"], "left").drop("label")
 
 
+CORPUS_MEANS = MEANS.replace("<vectors>", "corpus WHERE embedding IS NOT NULL")
 IDENT = "(regexp_full_match(q.query, '[A-Za-z0-9_.]+') AND (contains(q.query,'_') OR contains(q.query,'.') OR regexp_matches(q.query,'[a-z][A-Z]')))"
 QVEC = f"""qv AS MATERIALIZED (SELECT q.*, vector, {IDENT} AS ident FROM q LEFT JOIN means ON label = query_id)"""
 SEM = f"""sims AS (SELECT q.query_id, sha, round(list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), q.vector), 9) AS score
   FROM qv q JOIN corpus c ON c.embedding IS NOT NULL AND q.vector IS NOT NULL AND {{which}} AND {PASS}),
 sem AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, sha) - 1 AS rank FROM sims QUALIFY rank < 50)"""
-HYBRID = f"""{CORPUS}, {TOKENS}, {Q}, {MEANS}, {QVEC}, {EXACT}, {LEX}, {SEM.format(which="NOT q.ident")},
+HYBRID = f"""{CORPUS}, {TOKENS}, {Q}, {CORPUS_MEANS}, {QVEC}, {EXACT}, {LEX}, {SEM.format(which="NOT q.ident")},
 runs AS (SELECT query_id, 0 AS list_id, rank, sha FROM exact JOIN qv USING (query_id) WHERE ident
   UNION ALL SELECT query_id, 1, rank, sha FROM sem UNION ALL SELECT query_id, 2, rank, sha FROM lex),
 fused AS (SELECT query_id, sha, round(sum(1.0::DOUBLE/(61+rank)), 9) AS score, {FIRST} AS seen,
   min(CASE WHEN list_id=0 THEN rank END) AS pinned FROM runs GROUP BY ALL),
 hybrid AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pinned NULLS LAST, score DESC, seen, sha) AS rank
   FROM fused QUALIFY rank <= 10)"""
-VECTOR = f"""{CORPUS}, {Q}, {MEANS}, {QVEC}, {SEM.format(which="true")}, {bm25_sql("embedding IS NOT NULL")},
+VECTOR = f"""{CORPUS}, {Q}, {CORPUS_MEANS}, {QVEC}, {SEM.format(which="true")}, {bm25_sql("embedding IS NOT NULL")},
 qt AS (SELECT DISTINCT query_id, qmodule, qtag, qsource, unnest(list_filter(regexp_split_to_array(lower(query), '{NOT_WORD}'),
   lambda x: x <> '')) AS term FROM q),
 bs AS (SELECT q.query_id, c.sha, round(sum(tf*2.2/(tf+1.2*(0.25+0.75*len/256)) * ln(1+(n-df+0.5)/(df+0.5))), 9) AS score

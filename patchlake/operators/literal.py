@@ -26,8 +26,9 @@ def literal_matches(docs: DataFrame, queries: DataFrame, key: str = "sha") -> Da
             hit = F.contains(doc_text, q["needle"])
             return hit & filters.matches(q["module"], q["tag"], q["source"]) if filtered else hit
 
-        found = let(F.lower("doc_text"), lambda text: F.filter(packed.scalar(), lambda q: test(text, q)))
-        return docs.select(key, "authored_at", F.explode(found).alias("q")).select("q.query_id", key, "authored_at")
+        found = let(F.lower("doc_text"), lambda text: F.filter("queries", lambda q: test(text, q)))
+        rows = docs.withColumn("queries", packed.scalar()).withColumn("q", F.explode(found))
+        return rows.select("q.query_id", key, "authored_at")
 
     return union_all([one_block(block) for block in query_blocks(queries)])
 

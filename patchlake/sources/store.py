@@ -45,27 +45,30 @@ class Table:
             return self.spark.createDataFrame([], self._stored_schema)
         return self.spark.read.schema(self._stored_schema).parquet(self._folder(versions[-1]))
 
-    def _write(self, rows: DataFrame, folder: str) -> None:
-        names = self._stored_schema.fieldNames()
+    def _write(self, rows: DataFrame, version: int, mode: str) -> None:
         by = [*self.by, "batch"]
-        missing = [f for f in self.schema.fields if f.name not in rows.columns]
-        for field in missing:
-            rows = rows.withColumn(field.name, F.lit(None).cast(field.dataType))
+        for field in self.schema.fields:
+            if field.name not in rows.columns:
+                rows = rows.withColumn(field.name, F.lit(None).cast(field.dataType))
         # Rebalancing splits a hot partition over several tasks and files.
-        placed = rows.select(*names).hint("rebalance", *[F.col(c) for c in by])
-        placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(folder)
+        placed = rows.select(*self._stored_schema.fieldNames()).hint("rebalance", *[F.col(c) for c in by])
+        writer = placed.write.mode("overwrite").option("partitionOverwriteMode", mode)
+        writer.partitionBy(*by).parquet(self._folder(version))
 
     def append(self, rows: DataFrame, batch: int) -> None:
         """Add a batch; writing the same batch again replaces it."""
         versions = self._versions()
-        self._write(rows.withColumn("batch", F.lit(batch).cast("long")), self._folder(versions[-1] if versions else 1))
+        rows = rows.withColumn("batch", F.lit(batch).cast("long"))
+        # The first batch commits the version folder, later ones their partitions.
+        if versions:
+            self._write(rows, versions[-1], "dynamic")
+        else:
+            self._write(rows, 1, "static")
 
     def rewrite(self, rows: DataFrame, batch: int = 0) -> None:
         """Replace all rows, for upserts and compaction."""
-        versions = self._versions()
-        self._write(
-            rows.withColumn("batch", F.lit(batch).cast("long")), self._folder(versions[-1] + 1 if versions else 1)
-        )
+        last = max(self._versions(), default=0)
+        self._write(rows.withColumn("batch", F.lit(batch).cast("long")), last + 1, "static")
 
 
 def with_shard(rows: DataFrame, key: str = "sha", chars: int = SHARD_CHARS) -> DataFrame:
