@@ -156,7 +156,7 @@ def batch_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _ingested(spark: SparkSession, sf_dir: str, resume: bool) -> DataFrame:
     """The log read as a stream in several micro-batches, then once more without news."""
     log, root = written_log(spark, sf_dir), work_path(spark, "corpus")
-    corpus = Corpus(spark, root, shard_chars=0)
+    corpus = Corpus(spark, root, sharded=False)
     for _ in range(2):
         commits = ingest.stream_commits(spark, log, max_files=4).withColumn("source", F.col("author_name"))
         running = ingest.ingest(corpus, commits, RULES, None, f"{root}/checkpoint", resume=resume)
@@ -182,9 +182,9 @@ SELECT sha, term, tf, round(tf*2.2/(tf+1.2*(0.25+0.75*n/256)), 6) AS weight FROM
 )
 def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points and postings of the embedded rows written as tables and read back."""
-    corpus = Corpus(spark, work_path(spark, "corpus"), shard_chars=0)
+    corpus = Corpus(spark, work_path(spark, "corpus"), sharded=False)
     docs = views.spark_corpus(spark, sf_dir)
-    corpus.commits.append(docs.withColumn("shard", F.lit("0")), 0)
+    corpus.commits.append(docs, 0)
     corpus.vectors.append(docs.where("embedding IS NOT NULL").select("sha", "embedding"), 0)
     corpus.load(recreate=True)
     corpus.load(batch=1)
@@ -197,7 +197,7 @@ def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def run_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log -> build -> embed -> load, run twice; the second run finds nothing to do."""
-    corpus = Corpus(spark, work_path(spark, "corpus"), shard_chars=0)
+    corpus = Corpus(spark, work_path(spark, "corpus"), sharded=False)
     parsed = changelog.parse_records(changelog.read_log(spark, written_log(spark, sf_dir)))
     parsed = parsed.withColumn("source", F.col("author_name"))
     for _ in range(2):

@@ -8,7 +8,8 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
-# One commit per order, one file block per line item.
+# One commit per order, one file block per line item. Positions are numbered on
+# narrow rows; the block texts are made after that shuffle and stay in its tasks.
 _COMMIT_SRC = """
 WITH m(mi, module) AS (VALUES (0,'account'),(1,'sale'),(2,'stock'),(3,'mrp'),(4,'mail'),
   (5,'l10n_fr'),(6,'l10n_de_reports'),(7,'point_of_sale'),(8,'pos_restaurant'),(9,'postmark_mail'),
@@ -17,15 +18,18 @@ f(fi, file, mult) AS (VALUES (0,'models/model.py',1),(1,'views/view.xml',1),(2,'
   (3,'i18n/module.pot',1),(4,'static/lib/x/x.js',1),(5,'static/src/app.js',8),
   (6,'static/src/app.min.js',1),(7,'package-lock.json',1),(8,'static/src/style.scss',8),
   (9,'tests/test_model.py',40)),
+n AS (SELECT l_orderkey AS k, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax,
+    l_returnflag, l_linestatus, l_shipdate, p_name, module, file, mult
+  FROM lineitem JOIN part ON l_partkey=p_partkey JOIN m ON mi=l_partkey % 15 JOIN f ON fi=l_suppkey % 10),
+r AS (
+  SELECT k, p_name, l_quantity, module, file, mult,
+    row_number() OVER (PARTITION BY k ORDER BY l_linenumber, l_partkey, l_suppkey,
+      l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS pos
+  FROM n),
 b AS (
-  SELECT l_orderkey AS k,
-    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
-      l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS pos,
-    CASE WHEN module='core' THEN concat('core/',file)
-         ELSE concat('addons/',module,'/',file) END AS path,
+  SELECT k, pos, CASE WHEN module='core' THEN concat('core/',file) ELSE concat('addons/',module,'/',file) END AS path,
     repeat(concat('+', p_name, chr(10)), CAST(l_quantity AS INT)*mult) AS body
-  FROM lineitem JOIN part ON l_partkey=p_partkey
-    JOIN m ON mi=l_partkey % 15 JOIN f ON fi=l_suppkey % 10),
+  FROM r),
 p AS (
   SELECT k, {agg} AS patch FROM (
     SELECT k, pos, concat('diff --git a/',path,' b/',path,chr(10),'@@ -0,0 +1 @@',chr(10),body) AS block

@@ -7,39 +7,48 @@ from pyspark.sql import functions as F
 
 # A broadcast side may hold this many narrow rows; beyond it the join shuffles
 # and AQE splits what is skewed.
-MAX_BROADCAST_ROWS = 200_000
-# Queries handled in one pass over the corpus where the plan holds them as data.
+MAX_BROADCAST_ROWS = 100_000
+# Groups of an aggregate, and queries of one pass, that may come to the driver.
+MAX_GROUPS = 10_000
 MAX_QUERY_BLOCK = 2_048
 
 
 def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """True when `df` has at most `max_rows` rows; reads no more than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """True when `df` has at most `max_rows` rows. Partitions are read a few at
+    a time and reading stops as soon as the answer is known."""
+    return len(df.select(F.lit(1)).take(max_rows + 1)) <= max_rows
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 
-def settled_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Run `df` once; a small result comes back as a broadcast table, a large one as `df`.
+def settled_or_none(df: DataFrame, max_rows: int) -> DataFrame | None:
+    """Run `df` once: its rows as a local table, or None when there are too many."""
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
+        return None
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
+def settled_if_small(df: DataFrame, max_rows: int = MAX_GROUPS) -> DataFrame:
+    """A small result as a broadcast table, a large one unchanged.
 
     For aggregates with few groups, where counting first would run them twice.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    table = settled_or_none(df, max_rows)
+    return df if table is None else F.broadcast(table)
 
 
 def query_blocks(queries: DataFrame, max_rows: int = MAX_QUERY_BLOCK) -> list[DataFrame]:
     """The query table as pieces of about `max_rows` rows, one pass each.
 
-    A block is a hash slice of the query ids, so no query is lost or repeated
-    however large the table is.
+    The usual small table is computed once and becomes local. A large one is cut
+    into hash slices of the query ids, so no query is lost or repeated.
     """
-    if is_small(queries, max_rows):
-        return [queries]
+    table = settled_or_none(queries, max_rows)
+    if table is not None:
+        return [table]
     n = -(-queries.count() * 2 // max_rows)
     slot = F.pmod(F.xxhash64("query_id"), F.lit(n))
     return [queries.where(slot == i) for i in range(n)]

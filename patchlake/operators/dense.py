@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patchlake.functions.bounds import query_blocks, union_all
+from patchlake.functions.bounds import broadcast_if_small, query_blocks, union_all
 from patchlake.operators import filters
 from patchlake.operators.ranking import SCORE_DIGITS, rounded, top_k
 
@@ -148,8 +148,6 @@ def lsh_search(
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    from patchlake.functions.bounds import broadcast_if_small
-
     def unit(column: str):
         norm = F.sqrt(F.aggregate(column, F.lit(0.0), lambda a, x: a + x.cast("double") * x))
         return F.transform(column, lambda x: x.cast("double") / norm)
@@ -171,6 +169,8 @@ def lsh_search(
     score = F.aggregate(F.zip_with("unit", "q_unit", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     candidates = buckets(stored, key, "unit").join(wanted, ["t", "b"])
     scored = candidates.select("query_id", key, rounded(score).alias("score"))
-    # A pair found in several tables scores the same each time.
-    once = scored.groupBy("query_id", key).agg(F.max("score").alias("score"))
-    return top_k(once, pool, ["query_id"], [F.desc("score"), F.col(key)])
+    # A pair turns up at most once per table, so the best pool x tables rows of
+    # a query hold its best `pool` documents: cut before removing the copies.
+    order = [F.desc("score"), F.col(key)]
+    head = top_k(scored, pool * tables, ["query_id"], order).drop("rank").distinct()
+    return top_k(head, pool, ["query_id"], order)

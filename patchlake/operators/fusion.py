@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from patchlake.operators.ranking import rounded, top_k
+from patchlake.sources.store import with_shard
 
 # Rank constants of the two search systems.
 RRF_K = 60
@@ -67,8 +68,8 @@ def hydrate(ranked: DataFrame, docs: DataFrame, *columns: str, few: bool = False
     """
     on = [key]
     if "shard" in docs.columns:
-        ranked = ranked.withColumn("shard", F.substring(F.col(key), 1, 2))
+        ranked = with_shard(ranked, key)
         on = ["shard", key]
     side = F.broadcast(ranked) if few else ranked
-    return docs.select(*on, *columns).join(side, on).drop("shard")
+    return docs.select(*on, *columns).join(side, on).drop(*on[:-1])
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from patchlake.functions import text as X
 from patchlake.functions.bounds import is_small
+from patchlake.operators.fusion import hydrate
 
 # A full id, the default cut, the columns of a record.
 FULL_ID_CHARS = 40
@@ -42,7 +43,7 @@ def lookup(
     found = parts.join(F.broadcast(asked) if small else asked, ["n", "part"])
     counted = found.groupBy("lookup_id").agg(F.count("*").alias("n_found"), F.min("sha").alias("sha"))
     unique = counted.where(F.col("n_found") == 1).select("lookup_id", "sha")
-    record = commits.select("sha", *RECORD).join(F.broadcast(unique) if small else unique, "sha")
+    record = hydrate(unique, commits, *RECORD, few=small)
 
     outcome = requests.join(counted.select("lookup_id", "n_found"), "lookup_id", "left").join(record, "lookup_id", "left")
     quoted = F.concat(F.lit("'"), F.col("wanted"), F.lit("'"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchlake.functions import text as X
-from patchlake.functions.bounds import is_small
+from patchlake.functions.bounds import MAX_BROADCAST_ROWS, is_small, settled_if_small, settled_or_none
 
 # Columns a conflicting row refreshes; all others keep their first value.
 REFRESHED = ("source", "subject", "body", "modules", "files", "n_files", "diff_text", "doc_text")
@@ -20,6 +20,23 @@ def new_rows(incoming: DataFrame, stored: DataFrame, source: str | None = None,
     return incoming.join(done.select(key), key, "left_anti")
 
 
+def new_wide_rows(incoming: DataFrame, stored: DataFrame, source: str | None = None, key: str = "sha") -> DataFrame:
+    """`new_rows` for rows that carry texts: decided on keys, so texts are not shuffled.
+
+    A small batch probes the stored keys as a broadcast. A large one compares
+    keys only, and when few are new those are broadcast to pick the rows.
+    """
+    done = (stored.where(F.col("source") == source) if source else stored).select(key)
+    keys = incoming.select(key)
+    if is_small(keys):
+        known = settled_if_small(done.join(F.broadcast(keys), key, "left_semi"), MAX_BROADCAST_ROWS)
+        return incoming.join(known, key, "left_anti")
+    fresh = settled_or_none(keys.join(done, key, "left_anti").distinct(), MAX_BROADCAST_ROWS)
+    if fresh is not None:
+        return incoming.join(F.broadcast(fresh), key, "left_semi")
+    return incoming.join(done, key, "left_anti")
+
+
 def resume_counts(incoming: DataFrame, stored: DataFrame, source: str | None = None, key: str = "sha") -> DataFrame:
     """(kept, skipped) of a resumed run as one row."""
     done = stored.where(F.col("source") == source) if source else stored

@@ -14,7 +14,7 @@ POOL, DEFAULT_K = 50, 10
 EXACT, SEMANTIC, LEXICAL = 0, 1, 2
 
 
-def _fulltext_column(docs: DataFrame) -> Column:
+def _fulltext_column() -> Column:
     return X.search_text(F.col("subject"), F.col("body"), F.col("diff_text"))
 
 
@@ -36,25 +36,34 @@ def _depth(queries: DataFrame, k: int) -> int:
 
 
 def hybrid_rank(
-    docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K, pool: int = POOL, rrf_k: int = fusion.RRF_K, key: str = "sha"
+    docs: DataFrame,
+    queries: DataFrame,
+    k: int = DEFAULT_K,
+    pool: int = POOL,
+    rrf_k: int = fusion.RRF_K,
+    key: str = "sha",
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
     """(query_id, rank, key, score): literal + full-text for identifiers, dense + full-text else.
 
     `queries` has (query_id, query, vector) and optionally module, tag, source
     and k; identifier-shaped queries need no vector. Their literal hits come
     first in recency order; the rest follows by fused rank. Every branch applies
-    the filters before its own cut.
+    the filters before its own cut. `vectors` names a table of its own for the
+    dense branch (key, embedding, modules, tag, source), so that texts and
+    vectors need not be joined; by default `docs` has them.
     """
     keep = list(lexical.DOC_FIELDS) if set(filters.FIELDS) & set(queries.columns) else []
 
     def block_rank(block: DataFrame) -> DataFrame:
         is_identifier = X.looks_like_identifier(F.col("query"))
-        tokens = lexical.token_rows(docs, _fulltext_column(docs), key, *keep)
+        terms, text = lexical.query_terms(block), _fulltext_column()
+        tokens = lexical.token_rows(lexical.candidates(docs, text, terms), text, key, *keep)
         lists = union_all(
             [
                 _as_list(literal.literal_search(docs, block.where(is_identifier), pool, key), EXACT, key),
-                _as_list(dense.dense_search(docs, block.where(~is_identifier), pool, key), SEMANTIC, key),
-                _as_list(lexical.fulltext_search(tokens, block, pool, key), LEXICAL, key),
+                _as_list(dense.dense_search(docs if vectors is None else vectors, block.where(~is_identifier), pool, key), SEMANTIC, key),
+                _as_list(lexical.fulltext_search(tokens, block, pool, key, terms), LEXICAL, key),
             ]
         )
         return _cut(fusion.pinned_top_k(lists, EXACT, _depth(queries, k), rrf_k, key), block, k)
@@ -109,8 +118,10 @@ def search(
     link follows the source of the hit, whatever the query filtered on.
     """
     system = system if system in SYSTEMS else "hybrid"
-    ranked = SYSTEMS[system](docs, queries, key=key, **options).select("query_id", "rank", key)
-    few = len(query_blocks(queries)) == 1
+    blocks = query_blocks(queries)
+    # One block of queries times k hits is a bounded ranking.
+    few = len(blocks) == 1
+    ranked = SYSTEMS[system](docs, blocks[0] if few else queries, key=key, **options).select("query_id", "rank", key)
     columns = ["tag", "subject", "modules", "source", "authored_at"]
     snippet = F.lit(None).cast("string")
     if system == "hybrid":

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Fixed value: 256 shards of hexadecimal ids.
 SHARD_CHARS = 2
 
 
@@ -71,7 +72,7 @@ class Table:
         self._write(rows.withColumn("batch", F.lit(batch).cast("long")), last + 1, "static")
 
 
-def with_shard(rows: DataFrame, key: str = "sha", chars: int = SHARD_CHARS) -> DataFrame:
-    """First characters of the id as a partition column: point reads and
-    hydration joins prune to the shards they need."""
-    return rows.withColumn("shard", F.substring(F.col(key), 1, chars))
+def with_shard(rows: DataFrame, key: str = "sha") -> DataFrame:
+    """First characters of the id as a partition column: hydration joins read
+    only the shards that hold a hit."""
+    return rows.withColumn("shard", F.substring(F.col(key), 1, SHARD_CHARS))
