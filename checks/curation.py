@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from checks import views
 from checks.registry import iso, query
 from patchlake.functions import text as X
+from patchlake.functions.arrays import posexplode_rows
 from patchlake.functions.rules import Rules
 from patchlake.operators import curate as C
 from patchlake.operators import maintain
@@ -145,7 +146,7 @@ def curate_filter_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def curate_asset_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = views.spark_commit_src(spark, sf_dir)
-    rows = src.select("sha", F.posexplode(C.kept_blocks(F.col("patch"), RULES)).alias("kept_pos", "b"))
+    rows = posexplode_rows(src, C.kept_blocks(F.col("patch"), RULES), "b", "sha", pos="kept_pos")
     return rows.select(
         "sha",
         "kept_pos",

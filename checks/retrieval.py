@@ -13,6 +13,7 @@ from patchlake.functions import text as X
 from patchlake.operators import dense, fusion, lexical, literal, lookup
 from patchlake.operators.curate import curate
 from patchlake.plans import search
+from patchlake.session import staged
 
 LINKS = dict(repo_by_source={"src1": "example/first", "src2": "example/second"}, default_repo="example/other", link_base="https://example.org")
 WS = X.WHITESPACE.replace("'", "''")
@@ -370,7 +371,7 @@ FROM v LEFT JOIN hit USING (lookup_id) LEFT JOIN curated c ON hit.sha = c.sha AN
 )
 def commit_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full ids, prefixes, upper-case ids, too long ids and names, one request per supplier."""
-    docs = curate(views.spark_commit_src(spark, sf_dir), RULES)
+    docs = staged(curate(views.spark_commit_src(spark, sf_dir), RULES), "commits")
     views.tables(spark, sf_dir, "supplier")
     found = lookup.lookup(
         docs,

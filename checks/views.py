@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from patchlake.session import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
@@ -73,7 +75,8 @@ def spark_commit_src(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spark_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus with `modules` as an array, as search expects it."""
-    tables(spark, sf_dir, "documents", "embeddings", "events")
+    tables(spark, sf_dir, "embeddings", "events")
+    spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id").createOrReplaceTempView("documents")
     rows = spark.sql(_CORPUS.format(str="STRING"))
     return rows.selectExpr(
         "sha", "source", "tag", "subject", "body",

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchlake.functions import text as X
+from patchlake.functions.arrays import explode_rows, let, posexplode_rows
 from patchlake.functions.bounds import broadcast_if_small
 from patchlake.functions.rules import Rules
-from patchlake.operators.ranking import let
 
 # (?d): only \n starts a line. The look-ahead keeps the marker with its block.
 BLOCK_START = r"(?dm)(?=^diff --git )"
@@ -69,7 +69,7 @@ def kept_blocks(patch: Column, rules: Rules) -> Column:
 def explode_blocks(commits: DataFrame, rules: Rules, *keys: str) -> DataFrame:
     """One row per file block: (keys, pos, path, module, block)."""
     keys = keys or ("sha",)
-    rows = commits.select(*keys, F.posexplode(file_blocks(F.col("patch"), rules)).alias("pos", "b"))
+    rows = posexplode_rows(commits, file_blocks(F.col("patch"), rules), "b", *keys)
     return rows.select(*keys, "pos", "b.path", "b.module", "b.block")
 
 
@@ -88,7 +88,7 @@ def curate(commits: DataFrame, rules: Rules, source: str | Column | None = None)
         "source", F.coalesce(label, F.lit("community"))
     )
     some = F.filter(F.array(kept_blocks(F.col("patch"), rules)), lambda blocks: F.size(blocks) > 0)
-    kept = base.withColumn("kept", F.explode(some)).drop("patch")
+    kept = explode_rows(base, some, "kept", *[c for c in base.columns if c != "patch"])
     parts = kept.select(
         *[c for c in kept.columns if c != "kept"],
         X.subject_tag(F.col("subject")).alias("tag"),
@@ -112,7 +112,7 @@ def curate(commits: DataFrame, rules: Rules, source: str | Column | None = None)
 
 def module_dim(commits: DataFrame, rules: Rules) -> DataFrame:
     """Every module the corpus touches, with the verdict of the rules."""
-    modules = commits.select(F.explode(file_blocks(F.col("patch"), rules)).alias("b")).select("b.module").distinct()
+    modules = explode_rows(commits, file_blocks(F.col("patch"), rules), "b").select("b.module").distinct()
     return modules.withColumn("excluded", rules.module_excluded(F.col("module")))
 
 

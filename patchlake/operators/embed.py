@@ -165,10 +165,8 @@ def hashed_vectors(docs: DataFrame, text: str = "doc_text", dim: int = 64, key:
             norms = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
             unit = np.divide(sums, norms, out=np.zeros_like(sums), where=norms > 0).astype(np.float32)
             offsets = np.arange(0, (len(lengths) + 1) * dim, dim, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(unit.ravel()))],
-                names=[key, "embedding"],
-            )
+            vectors = pa.ListArray.from_arrays(pa.array(offsets), pa.array(unit.ravel()))
+            rows = pa.RecordBatch.from_arrays([batch.column(0), vectors], names=[key, "embedding"])
+            yield rows.filter(pa.array(lengths > 0))
 
-    tokens = docs.select(key, X.lexemes(F.col(text)).alias("tokens")).where(F.size("tokens") > 0)
-    return tokens.mapInArrow(run, out)
+    return docs.select(key, X.lexemes(F.col(text)).alias("tokens")).mapInArrow(run, out)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patchlake.functions.arrays import explode_rows, let
 from patchlake.functions.bounds import query_blocks, union_all
 from patchlake.operators import filters
-from patchlake.operators.ranking import let, top_k
+from patchlake.operators.ranking import top_k
 
 
 def literal_matches(docs: DataFrame, queries: DataFrame, key: str = "sha") -> DataFrame:
@@ -27,7 +28,7 @@ def literal_matches(docs: DataFrame, queries: DataFrame, key: str = "sha") -> Da
             return hit & filters.matches(q["module"], q["tag"], q["source"]) if filtered else hit
 
         found = let(F.lower("doc_text"), lambda text: F.filter("queries", lambda q: test(text, q)))
-        rows = docs.withColumn("queries", packed.scalar()).withColumn("q", F.explode(found))
+        rows = explode_rows(docs.withColumn("queries", packed.scalar()), found, "q", key, "authored_at")
         return rows.select("q.query_id", key, "authored_at")
 
     return union_all([one_block(block) for block in query_blocks(queries)])

@@ -23,8 +23,3 @@ def top_k(df: DataFrame, k: int, by: list[str], order: list) -> DataFrame:
     """
     position = F.row_number().over(W.partitionBy(*by).orderBy(*order))
     return df.withColumn("rank", position).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
-
-
-def let(value: Column, body) -> Column:
-    """`body(value)` with `value` computed once per row."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))

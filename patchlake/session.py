@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the jobs rely on. Timestamps are UTC everywhere; AQE splits skewed
 # join partitions and coalesces small shuffle partitions at run time.
@@ -54,6 +54,24 @@ def work_root(spark: SparkSession) -> str:
     return root
 
 
+def spread(scan: DataFrame, *by: str) -> DataFrame:
+    """A file scan in at least as many parts as there are cores.
+
+    One row group is one task, whatever the file size. Tables of many files pass
+    through unchanged.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *by)
+
+
+def staged(df: DataFrame, name: str = "staged") -> DataFrame:
+    """`df` written to the shared work folder and read back: computed once, and
+    safe against lost executors. For plans that read an input several times."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared work folder."""
     return f"{work_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
