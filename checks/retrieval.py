@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,8 +43,14 @@ def sql_rows(rows) -> str:
     return ", ".join("(" + ", ".join(str(v) if isinstance(v, (int, float)) else sql_value(v) for v in r) + ")" for r in rows)
 
 
+def arrow_rows(rows: list, fields: list) -> pa.Table:
+    """Rows as an Arrow table, which Spark keeps as a local relation."""
+    return pa.Table.from_pylist([dict(zip([f[0] for f in fields], row)) for row in rows], schema=pa.schema(fields))
+
+
 def spark_queries(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(QUERY_ROWS, "query_id int, query string, module string, tag string, source string")
+    fields = [("query_id", pa.int32()), *[(name, pa.string()) for name in ("query", "module", "tag", "source")]]
+    return spark.createDataFrame(arrow_rows(QUERY_ROWS, fields))
 
 
 Q = f"q(query_id, query, qmodule, qtag, qsource) AS (VALUES {sql_rows(QUERY_ROWS)})"
@@ -94,10 +101,6 @@ def tokens_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.token_rows(docs, X.search_text(F.col("subject"), F.col("body"), F.col("diff_text")), "sha")
 
 
-def _tokens(docs: DataFrame, *keep: str) -> DataFrame:
-    return lexical.token_rows(docs, X.search_text(F.col("subject"), F.col("body"), F.col("diff_text")), "sha", *keep)
-
-
 # (query_id, clause_id, elem_id, offset, term, negated): alternatives, phrases and refusals.
 TERM_ROWS = [
     (0, 0, 0, 0, "the", False), (0, 0, 1, 0, "worthless", False),
@@ -114,9 +117,12 @@ PHRASE_ROWS = [
 
 
 def _match(spark: SparkSession, sf_dir: str, rows: list) -> DataFrame:
-    schema = "query_id int, clause_id int, elem_id int, offset int, term string, negated boolean"
-    terms = lexical.with_sizes(spark.createDataFrame(rows, schema))
-    return lexical.match(_tokens(views.spark_corpus(spark, sf_dir)), terms)
+    numbers = [(name, pa.int32()) for name in ("query_id", "clause_id", "elem_id", "offset")]
+    fields = [*numbers, ("term", pa.string()), ("negated", pa.bool_())]
+    terms = lexical.with_sizes(spark.createDataFrame(arrow_rows(rows, fields)))
+    text = X.search_text(F.col("subject"), F.col("body"), F.col("diff_text"))
+    docs = lexical.candidates(views.spark_corpus(spark, sf_dir), text, terms)
+    return lexical.match(lexical.token_rows(docs, text, "sha"), terms)
 
 
 def _match_sql(rows: list) -> str:
@@ -177,8 +183,12 @@ lex AS (SELECT query_id, sha, score, row_number() OVER (PARTITION BY query_id OR
 
 @query(f"WITH {CORPUS}, {TOKENS}, {Q}, {LEX} SELECT query_id, CAST(rank AS INTEGER) AS rank, sha, round(score, 6) AS score FROM lex")
 def fts_cover_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = _tokens(views.spark_corpus(spark, sf_dir), *lexical.DOC_FIELDS)
-    hits = lexical.fulltext_search(tokens, spark_queries(spark))
+    queries = spark_queries(spark)
+    terms = lexical.query_terms(queries)
+    text = X.search_text(F.col("subject"), F.col("body"), F.col("diff_text"))
+    docs = lexical.candidates(views.spark_corpus(spark, sf_dir), text, terms)
+    tokens = lexical.token_rows(docs, text, "sha", *lexical.DOC_FIELDS)
+    hits = lexical.fulltext_search(tokens, queries, terms=terms)
     return hits.select("query_id", "rank", "sha", F.round("score", 6).alias("score"))
 
 
