@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 # A broadcast side may hold this many narrow rows; beyond it the join shuffles
 # and AQE splits what is skewed.
@@ -40,6 +42,18 @@ def settled_if_small(df: DataFrame, max_rows: int = MAX_GROUPS) -> DataFrame:
     return df if table is None else F.broadcast(table)
 
 
+def keys_if_few(df: DataFrame, key: str, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame | None:
+    """The `key` column of `df` as a local table, or None when there are too many.
+
+    Reading stops once there are; a huge `df` with many rows costs little.
+    """
+    rows = df.select(key).take(max_rows + 1)
+    if len(rows) > max_rows:
+        return None
+    table = pa.table({key: pa.array([r[0] for r in rows], to_arrow_type(df.schema[key].dataType))})
+    return df.sparkSession.createDataFrame(table)
+
+
 def query_blocks(queries: DataFrame, max_rows: int = MAX_QUERY_BLOCK) -> list[DataFrame]:
     """The query table as pieces of about `max_rows` rows, one pass each.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchlake.functions import text as X
-from patchlake.functions.bounds import MAX_BROADCAST_ROWS, is_small, settled_if_small, settled_or_none
+from patchlake.functions.bounds import MAX_BROADCAST_ROWS, is_small, keys_if_few
 
 # Columns a conflicting row refreshes; all others keep their first value.
 REFRESHED = ("source", "subject", "body", "modules", "files", "n_files", "diff_text", "doc_text")
@@ -28,15 +28,30 @@ def new_wide_rows(incoming: DataFrame, stored: DataFrame, source: str | None = N
     """
     done = (stored.where(F.col("source") == source) if source else stored).select(key)
     keys = incoming.select(key)
-    if is_small(keys):
-        known = settled_if_small(done.join(F.broadcast(keys), key, "left_semi"), MAX_BROADCAST_ROWS)
-        return incoming.join(known, key, "left_anti")
-    fresh = settled_or_none(keys.join(done, key, "left_anti").distinct(), MAX_BROADCAST_ROWS)
+    batch = keys_if_few(keys, key, MAX_BROADCAST_ROWS)
+    if batch is not None:
+        known = done.join(F.broadcast(batch), key, "left_semi")
+        return incoming.join(F.broadcast(known), key, "left_anti")
+    fresh = keys_if_few(keys.join(done, key, "left_anti"), key, MAX_BROADCAST_ROWS)
     if fresh is not None:
         return incoming.join(F.broadcast(fresh), key, "left_semi")
     return incoming.join(done, key, "left_anti")
 
 
+def distinct_wide_rows(rows: DataFrame, key: str = "sha") -> DataFrame:
+    """One row per key, for rows that carry texts; copies of a key hold the same.
+
+    Keys are counted first. Only rows whose key repeats are grouped, folding
+    copies before the shuffle; all others stay where they are.
+    """
+    repeated = rows.groupBy(key).agg(F.count("*").alias("copies")).where(F.col("copies") > 1)
+    few = keys_if_few(repeated, key, MAX_BROADCAST_ROWS)
+    if few is None:
+        return rows.dropDuplicates([key])
+    once = rows.join(F.broadcast(few), key, "left_anti")
+    return once.unionByName(rows.join(F.broadcast(few), key, "left_semi").dropDuplicates([key]))
+
+
 def resume_counts(incoming: DataFrame, stored: DataFrame, source: str | None = None, key: str = "sha") -> DataFrame:
     """(kept, skipped) of a resumed run as one row."""
     done = stored.where(F.col("source") == source) if source else stored

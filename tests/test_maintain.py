@@ -54,7 +54,6 @@ def test_last_per_key_with_a_hot_key(spark):
 
 @pytest.mark.parametrize("limit", [0, 2, 100])
 def test_new_rows_strategies_agree(spark, monkeypatch, limit):
-    monkeypatch.setattr(maintain, "is_small", lambda df: bounds.is_small(df, limit))
     monkeypatch.setattr(maintain, "MAX_BROADCAST_ROWS", limit)
     incoming = spark.createDataFrame([(k, "text") for k in "abcdc"], "sha string, doc_text string")
     stored = spark.createDataFrame([("a", "x"), ("b", "y"), ("z", "x")], "sha string, source string")
@@ -65,6 +64,16 @@ def test_new_rows_strategies_agree(spark, monkeypatch, limit):
     assert (counts.kept, counts.skipped) == (3, 2)
 
 
+@pytest.mark.parametrize("limit", [0, 100])
+def test_distinct_wide_rows(spark, monkeypatch, limit):
+    monkeypatch.setattr(maintain, "MAX_BROADCAST_ROWS", limit)
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).cast("string").alias("sha"), F.lit("text").alias("doc_text")
+    )
+    out = maintain.distinct_wide_rows(rows.repartition(4))
+    assert out.count() == out.select("sha").distinct().count() == 2001
+
+
 def test_vectors_and_pending(spark):
     old = spark.createDataFrame([(*r[:5], None, r[6]) for r in OLD], COLUMNS)
     old = old.withColumn("committed_at", F.expr("CASE sha WHEN 'b' THEN TIMESTAMP '2020-01-01' END"))
