@@ -121,8 +121,8 @@ def _match(spark: SparkSession, sf_dir: str, rows: list) -> DataFrame:
     fields = [*numbers, ("term", pa.string()), ("negated", pa.bool_())]
     terms = lexical.with_sizes(spark.createDataFrame(arrow_rows(rows, fields)))
     text = X.search_text(F.col("subject"), F.col("body"), F.col("diff_text"))
-    docs = lexical.candidates(views.spark_corpus(spark, sf_dir), text, terms)
-    return lexical.match(lexical.token_rows(docs, text, "sha"), terms)
+    docs = views.spark_corpus(spark, sf_dir)
+    return lexical.match(lexical.candidate_token_rows(docs, text, terms, "sha"), terms)
 
 
 def _match_sql(rows: list) -> str:
@@ -186,8 +186,8 @@ def fts_cover_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = spark_queries(spark)
     terms = lexical.query_terms(queries)
     text = X.search_text(F.col("subject"), F.col("body"), F.col("diff_text"))
-    docs = lexical.candidates(views.spark_corpus(spark, sf_dir), text, terms)
-    tokens = lexical.token_rows(docs, text, "sha", *lexical.DOC_FIELDS)
+    docs = views.spark_corpus(spark, sf_dir)
+    tokens = lexical.candidate_token_rows(docs, text, terms, "sha", *lexical.DOC_FIELDS)
     hits = lexical.fulltext_search(tokens, queries, terms=terms)
     return hits.select("query_id", "rank", "sha", F.round("score", 6).alias("score"))
 

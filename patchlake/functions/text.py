@@ -130,8 +130,11 @@ def is_hex_id(sha: Column) -> Column:
 
 def lexemes(text: Column) -> Column:
     """Lower-cased runs of letters and digits, in text order."""
-    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
-    return F.filter(parts, lambda t: t != "")
+    return lexemes_of_lowered(F.lower(F.coalesce(text, F.lit(""))))
+
+
+def lexemes_of_lowered(text: Column) -> Column:
+    return F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def search_text(subject: Column, body: Column, diff_text: Column) -> Column:

@@ -58,7 +58,7 @@ def hybrid_rank(
     def block_rank(block: DataFrame) -> DataFrame:
         is_identifier = X.looks_like_identifier(F.col("query"))
         terms, text = lexical.query_terms(block), _fulltext_column()
-        tokens = lexical.token_rows(lexical.candidates(docs, text, terms), text, key, *keep)
+        tokens = lexical.candidate_token_rows(docs, text, terms, key, *keep)
         lists = union_all(
             [
                 _as_list(literal.literal_search(docs, block.where(is_identifier), pool, key), EXACT, key),

@@ -112,10 +112,10 @@ def test_fulltext_rank(spark, docs, rows):
     text = F.concat_ws(" ", "subject", "diff_text")
     tokens = lexical.token_rows(docs, text, "sha", *lexical.DOC_FIELDS)
     got = ranked(lexical.fulltext_search(tokens, queries_df(spark), pool=7), "score")
-    prefiltered = lexical.token_rows(lexical.candidates(docs, text, terms), text, "sha", *lexical.DOC_FIELDS)
+    prefiltered = lexical.candidate_token_rows(docs, text, terms, "sha", *lexical.DOC_FIELDS)
+    assert prefiltered.count() < tokens.count()
     assert ranked(lexical.fulltext_search(prefiltered, queries_df(spark), pool=7), "score") == got
-    unfiltered = lexical.candidates(docs, text, terms, max_clauses=1)
-    assert unfiltered.count() == len(rows)
+    assert lexical.candidate_token_rows(docs, text, terms, "sha", max_clauses=1).count() == tokens.count()
     for query_id, query, *filters in QUERIES:
         elements = list(dict.fromkeys(tuple(tokenize(w)) for w in query.split() if tokenize(w)))
         want = []
