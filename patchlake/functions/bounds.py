@@ -33,6 +33,14 @@ def settled_or_none(df: DataFrame, max_rows: int) -> DataFrame | None:
     return df.sparkSession.createDataFrame(rows, df.schema)
 
 
+def settled(df: DataFrame, max_rows: int = 2 * MAX_BROADCAST_ROWS) -> DataFrame:
+    """Run a result whose size its inputs bound, as a local table."""
+    table = settled_or_none(df, max_rows)
+    if table is None:
+        raise ValueError(f"more than {max_rows} rows where a bounded result was expected")
+    return table
+
+
 def settled_if_small(df: DataFrame, max_rows: int = MAX_GROUPS) -> DataFrame:
     """A small result as a broadcast table, a large one unchanged.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from patchlake.functions.bounds import settled
 from patchlake.operators.ranking import rounded, top_k
 from patchlake.sources.store import with_shard
 
@@ -62,14 +63,14 @@ def pinned_top_k(lists: DataFrame, pinned_list: int, k: int, rrf_k: int = RRF_K,
 def hydrate(ranked: DataFrame, docs: DataFrame, *columns: str, few: bool = False, key: str = "sha") -> DataFrame:
     """Ranked keys with document columns; keys without a document drop out.
 
-    With `few` the caller vouches for a bounded ranking (queries x k), which is
-    broadcast. Where the table is laid out by shard the join names it too, so
-    only the partitions that hold a hit are read.
+    With `few` the caller vouches for a bounded ranking (queries x k). It is
+    computed first and broadcast, and of a table laid out by shard only the
+    partitions that hold a hit are read. Else the two sides are shuffled.
     """
-    on = [key]
+    if not few:
+        return docs.select(key, *columns).join(ranked, key)
+    hits = settled(ranked)
     if "shard" in docs.columns:
-        ranked = with_shard(ranked, key)
-        on = ["shard", key]
-    side = F.broadcast(ranked) if few else ranked
-    return docs.select(*on, *columns).join(side, on).drop(*on[:-1])
-
+        shards = with_shard(hits, key).select("shard").distinct().collect()
+        docs = docs.where(F.col("shard").isin([r["shard"] for r in shards]))
+    return docs.select(key, *columns).join(F.broadcast(hits), key)

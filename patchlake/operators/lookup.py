@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchlake.functions import text as X
-from patchlake.functions.bounds import is_small
+from patchlake.functions.bounds import is_small, settled
 from patchlake.operators.fusion import hydrate
+from patchlake.sources.store import SHARD_CHARS
 
 # A full id, the default cut, the columns of a record.
 FULL_ID_CHARS = 40
@@ -39,9 +40,16 @@ def lookup(
     small = is_small(requests)
     lengths = asked.agg(F.collect_set("n")).scalar()
     part = F.when(F.col("n") == 0, F.col("sha")).otherwise(F.expr("left(sha, n)"))
-    parts = commits.select("sha", F.explode(lengths).alias("n")).select("sha", "n", part.alias("part"))
+    ids = commits
+    if small and "shard" in commits.columns:
+        # Requests that name a whole shard restrict the scan to it.
+        starts = [r[0] for r in asked.select(F.substring("part", 1, SHARD_CHARS)).distinct().collect()]
+        if all(len(start) == SHARD_CHARS for start in starts):
+            ids = commits.where(F.col("shard").isin(starts))
+    parts = ids.select("sha", F.explode(lengths).alias("n")).select("sha", "n", part.alias("part"))
     found = parts.join(F.broadcast(asked) if small else asked, ["n", "part"])
     counted = found.groupBy("lookup_id").agg(F.count("*").alias("n_found"), F.min("sha").alias("sha"))
+    counted = settled(counted) if small else counted
     unique = counted.where(F.col("n_found") == 1).select("lookup_id", "sha")
     record = hydrate(unique, commits, *RECORD, few=small)
 

@@ -76,6 +76,12 @@ def test_resumed_build_and_search(spark, tmp_path):
     stored = corpus.commits.read()
     assert stored.count() == 40 and stored.where("body = 'changed' AND source = 'enterprise'").count() == 20
 
+    links = dict(repo_by_source={}, default_repo="r", link_base="https://example.org")
+    one = spark.createDataFrame([(0, shas(7, 8)[0])], "lookup_id int, sha string")
+    assert lookup.lookup(corpus.commits.read(), one, **links).first().sha == shas(7, 8)[0]
+    plan = lookup.lookup(corpus.commits.read(), one, **links)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(shard" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
     found = lookup.lookup(
         corpus.documents(),
         spark.createDataFrame(

@@ -292,5 +292,7 @@ def test_search_hits(spark, docs):
     with pytest.raises(ValueError):
         search.vector_rank(docs, queries, fuse="max")
     runs = search.batch_search(docs, queries)
+    plan = runs._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "WindowGroupLimit" in plan
     assert {r.system for r in runs.select("system").distinct().collect()} == {"hybrid", "vector"}
     assert search.runs_of(queries).count() == 2 * len(QUERIES)
