@@ -30,7 +30,7 @@ from tokenizers import Tokenizer, normalizers, pre_tokenizers
 NEVER = np.int32(2**31 - 1)
 # Row lengths up to which fragments share a matrix; longer fragments take the heap.
 WIDTHS = (2, 4, 6, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64)
-CHUNKS_KEPT = 400_000
+CHUNKS_KEPT = 200_000
 
 
 @dataclass(frozen=True)
@@ -43,28 +43,9 @@ class Vocabulary:
     suffix: str
     classes: np.ndarray  # see character_classes()
 
-    @staticmethod
-    @lru_cache(maxsize=4)
-    def load(path: str) -> Vocabulary:
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        model = spec["model"]
-        steps = [step["type"] for step in (spec.get("normalizer") or {}).get("normalizers", [])]
-        if model["type"] != "BPE" or not model.get("end_of_word_suffix") or steps != ["NFC", "Replace", "Lowercase"] or spec.get("decoder"):
-            raise ValueError(f"{path}: needs a BPE model with a word-end suffix, NFC, Replace, Lowercase and no decoder")
-        if model.get("dropout") or model.get("byte_fallback") or model.get("ignore_merges") or model.get("continuing_subword_prefix"):
-            raise ValueError(f"{path}: dropout, byte fallback, ignored merges and subword prefixes aren't supported")
-        vocab = model["vocab"]
-        specials = {token["content"]: token["id"] for token in spec.get("added_tokens", [])}
-        if any(token["normalized"] or token["lstrip"] or token["rstrip"] or token["single_word"] for token in spec.get("added_tokens", [])):
-            raise ValueError(f"{path}: added tokens must match plainly")
-        tokens = [""] * (1 + max(max(vocab.values()), *specials.values(), 0))
-        for token, at in [*vocab.items(), *specials.items()]:
-            tokens[at] = token
-        pairs = [pair if isinstance(pair, list) else pair.split(" ") for pair in model["merges"]]
-        merges = np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], dtype=np.int32).reshape(-1, 3)
-        shell = Tokenizer.from_str(json.dumps(spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": []}))
-        return Vocabulary(tokens, merges, specials, model["end_of_word_suffix"], character_classes(shell.pre_tokenizer))
+    def parts(self) -> tuple:
+        """Plain values, which travel without this module."""
+        return self.tokens, self.merges, self.specials, self.suffix, self.classes
 
 
 def byte_alphabet() -> list[str]:
@@ -95,6 +76,29 @@ def character_classes(splitter: pre_tokenizers.PreTokenizer) -> np.ndarray:
     return classes
 
 
+@lru_cache(maxsize=4)
+def load_vocabulary(path: str) -> Vocabulary:
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model = spec["model"]
+    steps = [step["type"] for step in (spec.get("normalizer") or {}).get("normalizers", [])]
+    if model["type"] != "BPE" or not model.get("end_of_word_suffix") or steps != ["NFC", "Replace", "Lowercase"] or spec.get("decoder"):
+        raise ValueError(f"{path}: needs a BPE model with a word-end suffix, NFC, Replace, Lowercase and no decoder")
+    if model.get("dropout") or model.get("byte_fallback") or model.get("ignore_merges") or model.get("continuing_subword_prefix"):
+        raise ValueError(f"{path}: dropout, byte fallback, ignored merges and subword prefixes aren't supported")
+    vocab = model["vocab"]
+    specials = {token["content"]: token["id"] for token in spec.get("added_tokens", [])}
+    if any(token["normalized"] or token["lstrip"] or token["rstrip"] or token["single_word"] for token in spec.get("added_tokens", [])):
+        raise ValueError(f"{path}: added tokens must match plainly")
+    tokens = [""] * (1 + max(max(vocab.values()), *specials.values(), 0))
+    for token, at in [*vocab.items(), *specials.items()]:
+        tokens[at] = token
+    pairs = [pair if isinstance(pair, list) else pair.split(" ") for pair in model["merges"]]
+    merges = np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], dtype=np.int32).reshape(-1, 3)
+    shell = Tokenizer.from_str(json.dumps(spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": []}))
+    return Vocabulary(tokens, merges, specials, model["end_of_word_suffix"], character_classes(shell.pre_tokenizer))
+
+
 class Encoder:
     """Encodes batches of whole texts in one task."""
 
@@ -395,10 +399,10 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     A null text is an empty one. Repeated rows stay; other columns are left out.
     """
-    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))  # bounded by the vocabulary
+    vocabulary = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path).parts())  # bounded by the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary.value)
+        encoder = Encoder(Vocabulary(*vocabulary.value))
         for batch in batches:
             for begin, end, texts in text_slices(batch.column(1)):
                 flat, counts = encoder.encode(texts)
@@ -416,10 +420,10 @@ def binary_rows(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """(id, ids, decoded string) from (id, ids binary). No ids give an empty text."""
-    vocabulary = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
+    vocabulary = encoded.sparkSession.sparkContext.broadcast(load_vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(vocabulary.value)
+        decoder = Decoder(Vocabulary(*vocabulary.value))
         for batch in batches:
             texts = [decoder.decode(np.frombuffer(x, dtype="<u4")).decode() for x in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["id", "ids", "decoded"])
@@ -428,24 +432,36 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("id", "ids").mapInArrow(run, f"id {kind}, ids binary, decoded string")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) from (id, ids, decoded).
+class Digests:
+    """Number and SHA-256 of ids (decimal, joined by one space)."""
+
+    def __init__(self, n_tokens: int) -> None:
+        self.decimal = [b"%d" % x for x in range(n_tokens)]
+
+    def of(self, ids: np.ndarray) -> str:
+        return hashlib.sha256(b" ".join(map(self.decimal.__getitem__, ids.tolist()))).hexdigest()
+
 
-    ids_sha256: over the decimal ids joined by one space; decoded_sha256: over the text in UTF-8.
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256) of every whole text, encoded and decoded again in one pass.
+
+    What encode_documents and decode_documents return, digested where it is made: ids and decoded texts are
+    several times as large as the texts and needn't leave the task.
     """
+    vocabulary = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path).parts())  # bounded by the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decimal: dict[int, bytes] = {}
+        encoder, decoder, digests = Encoder(Vocabulary(*vocabulary.value)), Decoder(Vocabulary(*vocabulary.value)), Digests(len(vocabulary.value[0]))
         for batch in batches:
-            counts, ids_hash, text_hash = [], [], []
-            for raw, text in zip(batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                ids = np.frombuffer(raw, dtype="<u4").tolist()
-                for x in set(ids).difference(decimal):
-                    decimal[x] = b"%d" % x
-                counts.append(len(ids))
-                ids_hash.append(hashlib.sha256(b" ".join(map(decimal.__getitem__, ids))).hexdigest())
-                text_hash.append(hashlib.sha256(text).hexdigest())
-            yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    kind = decoded.schema["id"].dataType.simpleString()
-    return decoded.select("id", "ids", "decoded").mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            for begin, end, texts in text_slices(batch.column(1)):
+                flat, counts = encoder.encode(texts)
+                ids_hash, text_hash, at = [], [], 0
+                for n in counts.tolist():
+                    ids = flat[at : at + n]
+                    ids_hash.append(digests.of(ids))
+                    text_hash.append(hashlib.sha256(decoder.decode(ids)).hexdigest())
+                    at += n
+                yield pa.record_batch([batch.column(0).slice(begin, end - begin), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
