@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from patchlake.llm import ngram_join, substring_dedup
 from patchlake.llm.registry import register, table
@@ -17,4 +18,5 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_suffix_dedup")
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Removes every byte covered by a 100-byte string that also starts earlier."""
-    return substring_dedup.deduplicate(table(spark, sf_dir, "documents"), 100, digest=True).withColumnRenamed("kept", "kept_sha256")
+    found = substring_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), 100, digest=True)
+    return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))

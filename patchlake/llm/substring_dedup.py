@@ -35,6 +35,7 @@ GRAM = 32
 BLOCK_BYTES = 3 << 20
 SEPARATOR = b"\xff"  # in no UTF-8 text
 EMPTY_HASH = hashlib.sha256(b"").hexdigest()
+NO_ID = -(2**63)  # stands for a null doc_id
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 
 
@@ -76,7 +77,7 @@ def _first_copies(seen: set, names: list, texts: list) -> list[int]:
 
 
 def repeated_anchors(texts: DataFrame, length: int) -> DataFrame:
-    """(text_id, place, hash, home) of anchors that occur more than once; home is the first text that has one.
+    """(text_id, place, home) of anchors that occur more than once; home is the first text that has one.
 
     texts: text_id, text. Rows are sorted by hash, so that a task streams over anchors of any number.
     """
@@ -116,17 +117,17 @@ def repeated_anchors(texts: DataFrame, length: int) -> DataFrame:
             followed = np.zeros(len(hashed), dtype=bool)
             followed[at[~head & (at >= 0)]] = True
             told = ~head | followed
-            parts = [(ids[told], place[told], hashed[told], home[told])]
+            parts = [(ids[told], place[told], home[told])]
             if not head[0] and not last[4]:
-                parts.append(tuple(np.array([x]) for x in (last[1], last[2], last[0], last[3])))
+                parts.append(tuple(np.array([x]) for x in last[1:4]))
             for part in parts:
                 if len(part[0]):
-                    yield pa.record_batch([pa.array(x, kind) for x, kind in zip(part, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["text_id", "place", "hash", "home"])
+                    yield pa.record_batch([pa.array(x, kind) for x, kind in zip(part, (pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["text_id", "place", "home"])
             last = (hashed[-1], ids[-1], place[-1], home[-1], bool(told[-1]))
 
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = texts.mapInArrow(cut, "hash long, text_id long, place int").repartition(parts, "hash").sortWithinPartitions("hash", "text_id", "place")
-    return rows.mapInArrow(join, "text_id long, place int, hash long, home long")
+    return rows.mapInArrow(join, "text_id long, place int, home long")
 
 
 def passages(texts: DataFrame, firsts: DataFrame, repeated: DataFrame, length: int) -> DataFrame:
@@ -135,10 +136,10 @@ def passages(texts: DataFrame, firsts: DataFrame, repeated: DataFrame, length: i
     share deals the passages of a home with too many bytes to blocks, by anchor; repeated has it in the column
     shares. A string whose anchor occurs once is in no passage.
     """
-    columns = {"text_id": "long", "kind": "int", "place": "int", "hash": "long", "home": "long", "text": "string"}
+    columns = {"text_id": "long", "kind": "int", "place": "int", "home": "long", "shares": "int", "text": "string"}
 
     def shaped(df: DataFrame, kind: int) -> DataFrame:
-        return df.select(*[F.lit(kind).alias(c) if c == "kind" else (F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c)) for c, t in columns.items()], *([F.col("shares")] if "shares" in df.columns else [F.lit(None).cast("int").alias("shares")]))
+        return df.select(*[F.lit(kind).alias(c) if c == "kind" else (F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()])
 
     seen_texts = once_per_task(texts)
     rows = shaped(repeated, 0).unionByName(shaped(firsts.select("text_id", F.col("doc_id").alias("home")), 1)).unionByName(shaped(seen_texts, 2))
@@ -148,7 +149,7 @@ def passages(texts: DataFrame, firsts: DataFrame, repeated: DataFrame, length: i
         now, doc_id, done, known = None, None, False, []
         for batch in batches:
             ids, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            place, hashed, home, shares = (batch.column(k).fill_null(0).to_numpy() for k in (2, 3, 4, 6))
+            place, home, shares = (batch.column(k).fill_null(0).to_numpy() for k in (2, 3, 4))
             out: list[tuple] = []
             edges = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (kinds[1:] != kinds[:-1]), [True]])).tolist()
             for begin, end in zip(edges[:-1], edges[1:], strict=True):
@@ -255,37 +256,77 @@ def grouped_strings(pieces: DataFrame, length: int) -> DataFrame:
     return again.select("text_id", "start", F.lit(1).cast("long").alias("n"))
 
 
-def cleaned(texts: DataFrame, runs: DataFrame, length: int, digest: bool) -> DataFrame:
-    """(text_id, n_removed, n_spans, kept) of texts with runs; kept is the SHA-256 of the bytes that stay, or these bytes."""
-    marks = runs.select("text_id", F.lit(0).alias("kind"), "start", "n", F.lit(None).cast("string").alias("text"))
-    bodies = once_per_task(texts).select("text_id", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("n"), "text")
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def cleaned(rows: DataFrame, firsts: DataFrame, runs: DataFrame, length: int, digest: bool) -> DataFrame:
+    """(row, n_bytes, n_removed, n_spans, kept) of all rows (text_id, doc_id, text, row).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, spans = None, []
+    kept: what stays of the text, or its SHA-256 in hex with digest. Rows of a text follow its runs and its first
+    doc_id; of copies in one task only one brings the text along, so that a hot text isn't shuffled whole.
+    """
+    row_type = rows.schema["row"].dataType.simpleString()
+    schema = f"text_id long, kind int, start long, n long, doc_id long, text string, row {row_type}"
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
         for batch in batches:
-            out = []
-            for text_id, kind, start, n, k in zip(*(batch.column(i).to_pylist() for i in range(4)), range(batch.num_rows), strict=True):
-                if text_id != now:
-                    now, spans = text_id, []
-                if kind == 0:
-                    spans.append((start, start + n - 1 + length))
-                elif spans:
-                    text, kept, at, removed, count = batch.column(4)[k].as_py().encode(), [], 0, 0, 0
-                    for begin, end in spans:  # ascending by begin
-                        if begin > at or not count:
-                            kept.append(text[at:begin])
-                            count += 1
-                        removed += max(0, end - max(begin, at))
-                        at = max(at, end)
-                    kept.append(text[at:])
-                    spans = []
-                    body = b"".join(kept)
-                    out.append((text_id, removed, count, hashlib.sha256(body).hexdigest().encode() if digest else body))
-            if out:
-                yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3] for x in out], pa.binary())], names=["text_id", "n_removed", "n_spans", "kept"])
+            new = pa.array([x not in seen and not seen.add(x) for x in batch.column(0).to_pylist()], pa.bool_())
+            zero = pa.array(np.zeros(len(new), dtype=np.int64))
+            text = pa.compute.if_else(new, batch.column(2), pa.scalar(None, batch.column(2).type))
+            start = pa.compute.cast(pa.compute.invert(new), pa.int64())  # rows with a text come first
+            yield pa.record_batch([batch.column(0), pa.array(np.full(len(new), 2, dtype=np.int32)), start, zero, batch.column(1), text, batch.column(3)], names=["text_id", "kind", "start", "n", "doc_id", "text", "row"])
+
+    def filled(df: DataFrame, kind: int) -> DataFrame:
+        kinds = [x.split(" ", 1) for x in ("text_id long", "start long", "n long", "doc_id long", "text string", f"row {row_type}")]
+        out = {name: (F.col(name) if name in df.columns else F.lit(None)).cast(of) for name, of in kinds}
+        return df.select(*[F.lit(kind).alias("kind") if name == "kind" else out[name].alias(name) for name in ("text_id", "kind", "start", "n", "doc_id", "text", "row")])
 
-    return marks.unionByName(bodies).repartition(parts, "text_id").sortWithinPartitions("text_id", "kind", "start").mapInArrow(run, "text_id long, n_removed long, n_spans long, kept binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, spans, first, own = None, [], None, (0, 0, 0, "")
+        for batch in batches:
+            names, kinds, starts, counts, ids = (batch.column(k).to_pylist() for k in range(5))
+            at, out = [], []
+            for k, name in enumerate(names):
+                if name != now:
+                    now, spans, first = name, [], None
+                if kinds[k] == 0:
+                    spans.append((starts[k], starts[k] + counts[k] - 1 + length))
+                elif kinds[k] == 1:
+                    first = ids[k]
+                else:
+                    if starts[k] == 0 and (text := batch.column(5)[k].as_py()) is not None:
+                        body = text.encode()
+                        kept, removed = without(body, spans)
+                        own = (len(body), removed, merged(spans), hashlib.sha256(kept).hexdigest() if digest else kept.decode(errors="ignore"))
+                    copy = first is not None and first != (NO_ID if ids[k] is None else ids[k])
+                    at.append(k)
+                    out.append((own[0], own[0], 1, EMPTY_HASH if digest else "") if copy else own)
+            if at:
+                yield pa.record_batch([batch.column(6).take(pa.array(at, pa.int32())), *(pa.array([x[i] for x in out], pa.int64()) for i in range(3)), pa.array([x[3] for x in out], pa.string())], names=["row", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    bodies = rows.select("text_id", "doc_id", "text", "row").mapInArrow(once, schema)
+    every = filled(runs, 0).unionByName(filled(firsts, 1)).unionByName(bodies)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_rows = every.repartition(parts, "text_id").sortWithinPartitions("text_id", "kind", "start")
+    return sorted_rows.mapInArrow(run, f"row {row_type}, n_bytes long, n_removed long, n_spans long, kept string")
+
+
+def without(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
+    """text without the spans (ascending by begin, they may overlap), and how many bytes went."""
+    kept, at = [], 0
+    for begin, end in spans:
+        kept.append(text[at:begin])
+        at = max(at, end)
+    kept.append(text[at:])
+    out = b"".join(kept)
+    return out, len(text) - len(out)
+
+
+def merged(spans: list[tuple[int, int]]) -> int:
+    """The number of maximal spans."""
+    count, at = 0, -1
+    for begin, end in spans:
+        count += begin > at
+        at = max(at, end)
+    return count
 
 
 def repeated_runs(texts: DataFrame, firsts: DataFrame, length: int) -> DataFrame:
@@ -304,32 +345,18 @@ def repeated_runs(texts: DataFrame, firsts: DataFrame, length: int) -> DataFrame
     return staged(sorted_blocks(small, length).unionByName(grouped_strings(rest, length)), "repeated-runs")
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, digest: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept) of all documents (doc_id, text).
+def deduplicate(docs: DataFrame, length: int = LENGTH, digest: bool = False, text: str = "text") -> DataFrame:
+    """(row, n_bytes, n_removed, n_spans, kept) of all documents; row has the columns of docs but the text.
 
-    kept: the bytes that stay, in order, or their SHA-256 in hex with digest. A null text has no bytes. Rows
-    that repeat a doc_id with the same text count as one document; of different documents with equal texts
-    only that with the smallest doc_id keeps its own. A row without doc_id counts as the smallest.
+    kept: the text that stays (a character of which a byte goes, goes), or the SHA-256 of the bytes that stay, in
+    hex, with digest. A null text has no bytes. Rows that repeat a doc_id with the same text count as one
+    document; of different documents with equal texts only that with the smallest doc_id keeps its own. A row
+    without doc_id counts as the smallest.
     """
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"))
-    name = F.xxhash64("text")
-    whole = F.sha2(F.col("text").cast("binary"), 256) if digest else F.lit(None).cast("string")
-    table = staged(rows.select("doc_id", name.alias("text_id"), F.octet_length("text").cast("long").alias("n_bytes"), whole.alias("whole")), "texts")
-    key = F.coalesce("doc_id", F.lit(-(2**63)))
-    firsts = table.where(F.col("n_bytes") >= length).groupBy("text_id").agg(F.min(key).alias("doc_id"))
-    texts = rows.where(F.octet_length("text") >= length).select(name.alias("text_id"), "text")
-    runs = repeated_runs(texts, firsts, length)
-    own = cleaned(texts, runs, length, digest)
-    out = table.join(firsts.withColumnRenamed("doc_id", "first"), "text_id", "left").join(own, "text_id", "left")
-    copy = F.coalesce(F.col("first") != key, F.lit(False))
-    zero = F.lit(0).cast("long")
-    out = out.select(
-        "doc_id", "text_id", "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
-        F.when(copy, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"), copy.alias("copy"), "whole", "kept",
-    )
-    if digest:
-        kept = F.when(F.col("copy"), F.lit(EMPTY_HASH)).otherwise(F.coalesce(F.col("kept").cast("string"), "whole"))
-        return out.select("doc_id", "n_bytes", "n_removed", "n_spans", kept.alias("kept"))
-    # A null here: nothing was removed and the text stays as it is.
-    return out.select("doc_id", "text_id", "n_bytes", "n_removed", "n_spans", F.when(F.col("copy"), F.lit(b"")).otherwise(F.col("kept")).alias("kept"))
+    own = [F.col(f"`{name}`") for name in docs.columns if name != text]
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(*own).alias("row"))
+    rows = rows.withColumn("text_id", F.xxhash64("text"))
+    long = rows.where(F.octet_length("text") >= length)
+    firsts = staged(long.groupBy("text_id").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("doc_id")), "first-copies")
+    runs = repeated_runs(long.select("text_id", "text"), firsts, length)
+    return cleaned(rows, firsts, runs, length, digest)
