@@ -184,10 +184,10 @@ def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points and postings of the embedded rows written as tables and read back."""
     corpus = Corpus(spark, work_path(spark, "corpus"), sharded=False)
     docs = views.spark_corpus(spark, sf_dir)
-    corpus.commits.append(docs, 0)
-    corpus.vectors.append(docs.where("embedding IS NOT NULL").select("sha", "embedding"), 0)
+    corpus.commits.append(docs)
+    corpus.vectors.append(docs.where("embedding IS NOT NULL").select("sha", "embedding"))
     corpus.load(recreate=True)
-    corpus.load(batch=1)
+    corpus.load()
     return corpus.postings.read().select("sha", "term", "tf", F.round("weight", 6).alias("weight"))
 
 

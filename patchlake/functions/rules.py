@@ -73,8 +73,8 @@ class Rules:
     skip_static_lib: bool = True
     skip_minified: bool = True
     asset_extensions: tuple[str, ...] = ASSET_EXTENSIONS
-    asset_max_chars: int = ASSET_MAX_CHARS
-    commit_max_chars: int = COMMIT_MAX_CHARS
+    asset_max_chars: int | None = ASSET_MAX_CHARS  # None: no cap
+    commit_max_chars: int | None = COMMIT_MAX_CHARS
     skip_tags: tuple[str, ...] = SKIP_TAGS
     roots: tuple[str, ...] = (".",)
     module_root: str = "addons/"
@@ -124,13 +124,16 @@ class Rules:
     def in_roots(self, path: Column) -> Column:
         if any(root in (".", "", "./") for root in self.roots):
             return F.lit(True)
-        return reduce(lambda a, b: a | b, [path.startswith(root) for root in self.roots])
+        roots = [root.removesuffix("/") for root in self.roots]
+        return reduce(lambda a, b: a | b, [(path == root) | path.startswith(root + "/") for root in roots])
 
     def tag_skipped(self, subject: Column) -> Column:
         return F.coalesce(X.subject_tag(subject).isin(list(self.skip_tags)), F.lit(False))
 
     def cap_asset(self, path: Column, block: Column) -> Column:
         """Oversized asset blocks shrink to their first line and a note."""
+        if self.asset_max_chars is None:
+            return block
         ext, size = X.extension(path), F.length(block)
         note = F.concat(
             X.first_line(block),
@@ -144,6 +147,8 @@ class Rules:
         return F.when(oversized, note).otherwise(block)
 
     def cap_commit(self, diff_text: Column) -> Column:
+        if self.commit_max_chars is None:
+            return diff_text
         note = F.lit(f"\n[commit diff truncated at {self.commit_max_chars} chars]\n")
         cut = F.concat(F.substring(diff_text, 1, self.commit_max_chars), note)
         return F.when(F.length(diff_text) > self.commit_max_chars, cut).otherwise(diff_text)

@@ -44,7 +44,7 @@ def with_retry(embed: Embedder, texts: list[str], tries: int = TRIES, wait: floa
             return embed(texts)
         except Exception as err:
             if attempt == tries - 1:
-                raise RuntimeError("embedding failed after retries") from err
+                raise RuntimeError(f"no vectors after {tries} tries") from err
             time.sleep(wait * 2**attempt)
 
 

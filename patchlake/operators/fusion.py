@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from patchlake.functions.bounds import settled
+from patchlake.functions.bounds import MAX_QUERY_BLOCK, settled
+from patchlake.functions.text import MAX_K
 from patchlake.operators.ranking import rounded, top_k
 from patchlake.sources.store import with_shard
 
@@ -69,7 +70,7 @@ def hydrate(ranked: DataFrame, docs: DataFrame, *columns: str, few: bool = False
     """
     if not few:
         return docs.select(key, *columns).join(ranked, key)
-    hits = settled(ranked)
+    hits = settled(ranked, MAX_QUERY_BLOCK * MAX_K)
     if "shard" in docs.columns:
         shards = with_shard(hits, key).select("shard").distinct().collect()
         docs = docs.where(F.col("shard").isin([r["shard"] for r in shards]))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchlake.functions import text as X
-from patchlake.functions.bounds import MAX_BROADCAST_ROWS, is_small, keys_if_few
+from patchlake.functions.bounds import MAX_BROADCAST_ROWS, keys_if_few
 
 # Columns a conflicting row refreshes; all others keep their first value.
 REFRESHED = ("source", "subject", "body", "modules", "files", "n_files", "diff_text", "doc_text")
@@ -52,6 +52,29 @@ def distinct_wide_rows(rows: DataFrame, key: str = "sha") -> DataFrame:
     return once.unionByName(rows.join(F.broadcast(few), key, "left_semi").dropDuplicates([key]))
 
 
+def folded(rows: DataFrame, arrival: str, refreshed: tuple[str, ...] = REFRESHED, key: str = "sha") -> DataFrame:
+    """One row per key, as if the rows were upserted in order of arrival; arrival is dropped.
+
+    The last copy gives the refreshed columns, the first one all others. Only rows whose key repeats are
+    grouped, and copies fold together before the shuffle; all others stay where they are.
+    """
+    last = [c for c in rows.columns if c in refreshed]
+    first = [c for c in rows.columns if c not in (*refreshed, key, arrival)]
+
+    def fold(copies: DataFrame) -> DataFrame:
+        newest = F.max_by(F.struct(*last), arrival).alias("newest")
+        oldest = F.min_by(F.struct(*first), arrival).alias("oldest")
+        grouped = copies.groupBy(key).agg(newest, oldest)
+        return grouped.select(*[F.col(c if c == key else f"newest.{c}" if c in last else f"oldest.{c}").alias(c) for c in rows.columns if c != arrival])
+
+    repeated = rows.groupBy(key).agg(F.count("*").alias("copies")).where(F.col("copies") > 1)
+    few = keys_if_few(repeated, key, MAX_BROADCAST_ROWS)
+    if few is None:
+        return fold(rows)
+    once = rows.join(F.broadcast(few), key, "left_anti").drop(arrival)
+    return once.unionByName(fold(rows.join(F.broadcast(few), key, "left_semi")))
+
+
 def resume_counts(incoming: DataFrame, stored: DataFrame, source: str | None = None, key: str = "sha") -> DataFrame:
     """(kept, skipped) of a resumed run as one row."""
     done = stored.where(F.col("source") == source) if source else stored
@@ -84,8 +107,8 @@ def upsert(
     """`stored` after the updates (unique by key).
 
     A known key refreshes only `refreshed` (a new NULL overwrites); a new key
-    inserts the whole row. Few updates are broadcast and the stored table is
-    not shuffled; many meet it in a full outer join.
+    inserts the whole row. `stored` may be just the partitions that hold a known
+    key; they meet the updates in a full outer join.
     """
     if refresh_tag:
         refreshed = (*refreshed, "tag")
@@ -112,11 +135,6 @@ def upsert(
         kept = F.when(F.col("new.got"), updated(name)).otherwise(F.col(f"old.{name}"))
         return F.when(F.col("old.had"), kept).otherwise(incoming(name)).alias(name)
 
-    if is_small(updates.select(key)):
-        known = stored.select(key).join(F.broadcast(updates.select(key)), key, "left_semi")
-        inserts = updates.join(known, key, "left_anti").alias("new")
-        changed = old.join(F.broadcast(new), key, "left").select(key, *[merged(c) for c in columns])
-        return changed.unionByName(inserts.select(key, *[incoming(c).alias(c) for c in columns]))
     return old.join(new, key, "full_outer").select(key, *[merged(c) for c in columns])
 
 

@@ -1,4 +1,4 @@
-"""Search systems: tables of queries in, ranked hits out, one Spark plan each."""
+"""Search systems: tables of queries in, ranked hits out, one plan for each block of queries."""
 
 from __future__ import annotations
 
@@ -24,15 +24,17 @@ def _as_list(hits: DataFrame, list_id: int, key: str) -> DataFrame:
 
 
 def _cut(ranked: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Queries may carry their own `k`, clamped to the allowed range."""
+    """Queries may carry their own `k`."""
     if "k" not in queries.columns:
         return ranked
-    own = queries.select("query_id", X.clamp_k(F.coalesce("k", F.lit(k))).alias("own_k"))
+    own = queries.select("query_id", F.coalesce("k", F.lit(k)).alias("own_k"))
     return ranked.join(F.broadcast(own), "query_id").where(F.col("rank") < F.col("own_k")).drop("own_k")
 
 
 def _depth(queries: DataFrame, k: int) -> int:
-    return X.MAX_K if "k" in queries.columns else max(X.MIN_K, min(k, X.MAX_K))
+    if "k" not in queries.columns:
+        return k
+    return queries.agg(F.max(F.coalesce("k", F.lit(k)))).first()[0] or k
 
 
 def hybrid_rank(
@@ -115,19 +117,25 @@ def search(
     """Hits: query_id, rank (from 1), sha, tag, subject, modules, authored_at, link, snippet.
 
     An unknown system means the hybrid one; only that one shows a snippet. The
-    link follows the source of the hit, whatever the query filtered on.
+    link follows the source of the hit, whatever the query filtered on. k is
+    clamped to the allowed range here, and not in the rankings themselves.
     """
     system = system if system in SYSTEMS else "hybrid"
-    blocks = query_blocks(queries)
-    # One block of queries times k hits is a bounded ranking.
-    few = len(blocks) == 1
-    ranked = SYSTEMS[system](docs, blocks[0] if few else queries, key=key, **options).select("query_id", "rank", key)
+    k = max(X.MIN_K, min(options.pop("k", DEFAULT_K), X.MAX_K))
+    if "k" in queries.columns:
+        queries = queries.withColumn("k", X.clamp_k(F.coalesce("k", F.lit(k))))
     columns = ["tag", "subject", "modules", "source", "authored_at"]
     snippet = F.lit(None).cast("string")
     if system == "hybrid":
         columns.append("diff_text")
         snippet = X.snippet(F.col("diff_text"))
-    found = fusion.hydrate(ranked, docs, *columns, few=few, key=key)
+
+    def block_hits(block: DataFrame) -> DataFrame:
+        # One block of queries times k hits is a bounded ranking: it is broadcast, and only its shards are read.
+        ranked = SYSTEMS[system](docs, block, k=k, key=key, **options).select("query_id", "rank", key)
+        return fusion.hydrate(ranked, docs, *columns, few=True, key=key)
+
+    found = union_all([block_hits(block) for block in query_blocks(queries)])
     return found.select(
         "query_id",
         (F.col("rank") + 1).alias("rank"),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +21,9 @@ DEFAULTS = {
 }
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "16g") -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
     builder = (
@@ -47,11 +52,14 @@ def work_root(spark: SparkSession) -> str:
     )
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="patchlake-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    # Kept here: the setting of a running session can't be changed.
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="patchlake-")
+    return _LOCAL_ROOTS[app]
 
 
 def spread(scan: DataFrame, *by: str) -> DataFrame:
@@ -75,3 +83,20 @@ def staged(df: DataFrame, name: str = "staged") -> DataFrame:
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared work folder."""
     return f"{work_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a work folder or an old version that nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def staged_once(df: DataFrame, name: str = "staged") -> Iterator[DataFrame]:
+    """`staged`, and removed at the end of the block."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    try:
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        drop_path(df.sparkSession, path)

@@ -1,17 +1,23 @@
-"""Parquet tables that grow by batches and are rewritten by versions.
+"""Parquet tables that grow by numbered batches and are rewritten by versions.
 
-`<table>/v000001/` holds the current rows, partitioned; a batch append lands in
-its own `batch=` partitions and overwrites only those when it is replayed. A
-rewrite goes to the next version folder and counts from the moment Spark has
-committed it, so no job reads and overwrites the same path.
+`<table>/v000001/` holds the current rows, partitioned; an append takes the next
+free batch number and lands in `batch=` partitions of its own. A replay key names
+a batch instead: writing under the same key again replaces exactly that batch.
+A rewrite goes to the next version folder and counts from the moment Spark has
+committed it, so no job reads and overwrites the same path; versions before the
+last one are then removed.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from patchlake.session import drop_path, staged_once
+
 # Fixed value: 256 shards of hexadecimal ids.
 SHARD_CHARS = 2
 
@@ -56,20 +62,56 @@ class Table:
         writer = placed.write.mode("overwrite").option("partitionOverwriteMode", mode)
         writer.partitionBy(*by).parquet(self._folder(version))
 
-    def append(self, rows: DataFrame, batch: int) -> None:
-        """Add a batch; writing the same batch again replaces it."""
+    def next_batch(self) -> int:
+        """The next free number; replay keys have negative ones."""
+        last = self.read().agg(F.max("batch")).first()[0]
+        return 0 if last is None else max(last, -1) + 1
+
+    def append(self, rows: DataFrame, replay: str | None = None) -> int:
+        """Add a batch and return its number; with a replay key a batch of that key is replaced."""
         versions = self._versions()
+        batch = self.next_batch() if replay is None else replay_number(replay)
         rows = rows.withColumn("batch", F.lit(batch).cast("long"))
         # The first batch commits the version folder, later ones their partitions.
         if versions:
             self._write(rows, versions[-1], "dynamic")
         else:
             self._write(rows, 1, "static")
+        return batch
+
+    def without(self, replay: str | None) -> DataFrame:
+        """Current rows but those of a replay key: what was there before it."""
+        rows = self.read()
+        return rows if replay is None else rows.where(F.col("batch") != replay_number(replay))
+
+    def replace(self, rows: DataFrame, touched: DataFrame) -> None:
+        """Overwrite the partitions named in touched (partition columns) with rows, which carry `batch`.
+
+        rows may go to other partitions too, if they bring those along whole. The result is staged, as
+        it is made from the partitions it replaces; partitions left without rows are removed.
+        """
+        by = [*self.by, "batch"]
+        with staged_once(rows, "replaced") as rows:
+            before = {tuple(r) for r in touched.select(*by).distinct().collect()}  # bounded by the number of partitions
+            after = {tuple(r) for r in rows.select(*by).distinct().collect()}
+            version = self._versions()[-1]
+            self._write(rows, version, "dynamic")
+        for gone in before - after:
+            names = "/".join(f"{name}={value}" for name, value in zip(by, gone, strict=True))
+            drop_path(self.spark, f"{self._folder(version)}/{names}")
+
+    def rewrite(self, rows: DataFrame) -> None:
+        """Replace all rows, for compaction; versions before the last one are removed."""
+        versions = self._versions()
+        batch = self.next_batch()
+        self._write(rows.withColumn("batch", F.lit(batch).cast("long")), max(versions, default=0) + 1, "static")
+        for old in versions[:-1]:
+            drop_path(self.spark, self._folder(old))
+
 
-    def rewrite(self, rows: DataFrame, batch: int = 0) -> None:
-        """Replace all rows, for upserts and compaction."""
-        last = max(self._versions(), default=0)
-        self._write(rows.withColumn("batch", F.lit(batch).cast("long")), last + 1, "static")
+def replay_number(key: str) -> int:
+    """A negative number of 62 bits that stands for a replay key."""
+    return -1 - int(hashlib.sha256(key.encode()).hexdigest()[:15], 16)
 
 
 def with_shard(rows: DataFrame, key: str = "sha") -> DataFrame:

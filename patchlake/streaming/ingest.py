@@ -17,13 +17,13 @@ def stream_commits(spark: SparkSession, path: str, max_files: int | None = None)
     return parse_records(stream_log(spark, path, max_files))
 
 
-def distinct_commits(commits: DataFrame, delay: str, on: str = "committed_at") -> DataFrame:
-    """First copy of each commit, where copies arrive within `delay` of each other.
+def distinct_commits(commits: DataFrame, delay: str) -> DataFrame:
+    """First copy of each commit, where copies are read within `delay` of each other.
 
-    The watermark bounds the state; copies further apart are caught by the
-    stored-id check of the sink.
+    The watermark bounds the state. It runs on the time of reading, so a log in any order of dates loses
+    nothing; copies further apart pass, and the stored-id check of the sink catches them.
     """
-    dated = commits.withColumn("seen_at", F.coalesce(on, F.current_timestamp())).withWatermark("seen_at", delay)
+    dated = commits.withColumn("seen_at", F.current_timestamp()).withWatermark("seen_at", delay)
     return dated.dropDuplicatesWithinWatermark(["sha"]).drop("seen_at")
 
 
@@ -44,9 +44,11 @@ def ingest(
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        corpus.build(batch, rules, source, batch=batch_id, resume=resume)
+        # The checkpoint is part of the key: a new one starts from 0 again and must not meet old batches.
+        replay = f"{checkpoint}/{batch_id}"
+        corpus.build(batch, rules, source, replay=replay, resume=resume)
         if embedder is not None:
-            corpus.embed(embedder, batch=batch_id)
+            corpus.embed(embedder, replay=replay)
 
     return (
         commits.writeStream.foreachBatch(store)

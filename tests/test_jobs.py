@@ -39,14 +39,15 @@ def test_table_versions(spark, tmp_path):
     def rows(*pairs):
         return spark.createDataFrame(pairs, "sha string, source string")
 
-    table.append(rows(("a", "x"), ("b", "y")), 0)
-    table.append(rows(("c", "x")), 1)
-    table.append(rows(("d", "x")), 1)  # a replay replaces its batch
-    assert sorted((r.sha, r.batch) for r in table.read().collect()) == [("a", 0), ("b", 0), ("d", 1)]
+    assert table.append(rows(("a", "x"), ("b", "y"))) == 0
+    assert table.append(rows(("c", "x"))) == 1
+    assert table.append(rows(("d", "x")), "key") == table.append(rows(("e", "x")), "key") < 0  # a replay replaces its batch
+    assert table.append(rows(("f", "x"))) == 2
+    assert sorted(r.sha for r in table.read().collect()) == ["a", "b", "c", "e", "f"]
     table.rewrite(table.read().where("sha <> 'a'"))
-    assert sorted(r.sha for r in table.read().collect()) == ["b", "d"]
+    assert sorted(r.sha for r in table.read().collect()) == ["b", "c", "e", "f"]
     (tmp_path / "t" / "v000003").mkdir()  # a version that was never committed
-    assert table.read().count() == 2
+    assert table.read().count() == 4
 
 
 def test_resumed_build_and_search(spark, tmp_path):
@@ -111,7 +112,7 @@ def test_limits_and_gates(spark, tmp_path):
         corpus.load()
     corpus.build(read(spark, tmp_path / "one"), RULES, "community", limit=10)
     assert corpus.commits.read().count() == 10
-    corpus.build(read(spark, tmp_path / "one"), RULES, "community", batch=1, limit=10)
+    corpus.build(read(spark, tmp_path / "one"), RULES, "community", limit=10)
     assert corpus.commits.read().count() == 20
     corpus.embed(EMBEDDER, limit=5)
     oldest = corpus.commits.read().orderBy("committed_at", "sha").limit(5)
@@ -120,7 +121,7 @@ def test_limits_and_gates(spark, tmp_path):
     with pytest.raises(ValueError):
         corpus.load("enterprise")
     assert corpus.points.read().count() == 5
-    corpus.embed(EMBEDDER, batch=1)
+    corpus.embed(EMBEDDER)
     corpus.load(recreate=True)
     assert corpus.points.read().count() == 20
 
@@ -142,11 +143,72 @@ def test_stream_equals_batch(spark, tmp_path, resume):
 
 
 def test_stream_dedup(spark, tmp_path):
+    """Newest file first, with repeats: nothing is late."""
     logs = tmp_path / "logs"
     logs.mkdir()
-    for i in range(3):
-        (logs / f"part{i}").write_text(log_text(shas(0, 10)))
+    for i, year in enumerate(("2024", "2020", "2019", "2024")):
+        (logs / f"part{i}").write_text(log_text(shas(10 * (i % 3), 10 * (i % 3) + 10)).replace("2024", year))
     distinct = ingest.distinct_commits(ingest.stream_commits(spark, str(logs), 1), "40 days")
     query = distinct.writeStream.format("memory").queryName("distinct_commits").option("checkpointLocation", str(tmp_path / "ck"))
     query.trigger(availableNow=True).start().awaitTermination()
-    assert spark.table("distinct_commits").agg(F.count("*"), F.countDistinct("sha")).first()[:] == (10, 10)
+    assert spark.table("distinct_commits").agg(F.count("*"), F.countDistinct("sha")).first()[:] == (30, 30)
+
+
+def test_nothing_is_overwritten(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    for i in range(2):
+        (tmp_path / f"log{i}").write_text(log_text(shas(10 * i, 10 * i + 10)))
+    (logs / "late").write_text(log_text(shas(20, 30)))
+    corpus = Corpus(spark, str(tmp_path / "corpus"))
+    for i in range(2):
+        assert corpus.build(read(spark, tmp_path / f"log{i}"), RULES, "community").first()[:] == (10, 0)
+    commits = ingest.stream_commits(spark, str(logs), 1)
+    ingest.ingest(corpus, commits, RULES, "enterprise", str(tmp_path / "new-checkpoint")).awaitTermination()
+    assert corpus.commits.read().select("sha").distinct().count() == corpus.commits.read().count() == 30
+    assert corpus.embed(EMBEDDER, limit=5).first().tokens > 0
+    corpus.embed(EMBEDDER, slice_rows=4)
+    assert corpus.vectors.read().count() == 30
+    corpus.load("community")
+    corpus.load("enterprise")
+    assert corpus.points.read().count() == corpus.postings.read().select("sha").distinct().count() == 30
+    corpus.load("enterprise", resume=False)
+    assert corpus.points.read().count() == 30
+
+
+def test_paid_texts(spark, tmp_path):
+    """Each text is sent once, however often the jobs run."""
+    (tmp_path / "one").write_text(log_text(shas(0, 30)))
+    corpus, sent = Corpus(spark, str(tmp_path / "corpus")), spark.sparkContext.accumulator(0)
+    plain = embed.hashing_embedder(16)
+
+    def counting(texts):
+        sent.add(len(texts))
+        return plain(texts)
+
+    for _ in range(3):
+        corpus.run(read(spark, tmp_path / "one"), RULES, "community", counting, 0.12)
+        assert sent.value == 30
+    assert corpus.vectors.read().count() == 30
+
+
+def test_last_copy_wins_and_sources_share_ids(spark, tmp_path):
+    (tmp_path / "log").write_text(log_text(shas(0, 6), "first") + log_text(shas(3, 6), "second") + log_text(shas(5, 6), "third"))
+    corpus = Corpus(spark, str(tmp_path / "corpus"))
+    corpus.build(read(spark, tmp_path / "log"), RULES, "community")
+    corpus.build(read(spark, tmp_path / "log"), RULES, "enterprise", resume=True)
+    rows = {r.sha: (r.body, r.source) for r in corpus.commits.read().collect()}
+    assert corpus.commits.read().count() == len(rows) == 6
+    assert [rows[x][0] for x in shas(0, 6)] == ["first"] * 3 + ["second"] * 2 + ["third"]
+    assert {source for _, source in rows.values()} == {"enterprise"}
+
+
+def test_upsert_leaves_other_partitions(spark, tmp_path):
+    (tmp_path / "log").write_text(log_text(["00" + "0" * 38, "11" + "0" * 38]))
+    (tmp_path / "more").write_text(log_text(["00" + "0" * 38], "new"))
+    corpus = Corpus(spark, str(tmp_path / "corpus"))
+    corpus.build(read(spark, tmp_path / "log"), RULES, "community")
+    files = {str(x) for x in (tmp_path / "corpus" / "commits").rglob("shard=11/**/*.parquet")}
+    corpus.build(read(spark, tmp_path / "more"), RULES, "community", resume=False)
+    assert files and files == {str(x) for x in (tmp_path / "corpus" / "commits").rglob("shard=11/**/*.parquet")}
+    assert sorted(r.body for r in corpus.commits.read().collect()) == ["body", "new"]
