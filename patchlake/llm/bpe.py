@@ -420,7 +420,7 @@ def binary_rows(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """(id, ids, decoded string) from (id, ids binary). No ids give an empty text."""
-    vocabulary = encoded.sparkSession.sparkContext.broadcast(load_vocabulary(path))
+    vocabulary = encoded.sparkSession.sparkContext.broadcast(load_vocabulary(path).parts())  # bounded by the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(Vocabulary(*vocabulary.value))

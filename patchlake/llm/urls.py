@@ -108,8 +108,10 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule], url: str =
     """pages with url_host, url_path, url_rule and url_verdict.
 
     listed: one column of blocked canonical urls. The rule decides where one fits; else the list blocks and
-    anything else is allowed. Columns of these four names, or that begin with `__llm_`, are replaced.
+    anything else is allowed. Columns of these four names are replaced;
+    those that begin with `__llm_` are left out.
     """
+    pages = pages.select(*[F.col(f"`{name}`") for name in pages.columns if not name.startswith("__llm_")])
     address = F.col(url)
     split = split_by_list(pages.withColumn(KEY, canonical(F.coalesce(address, F.lit("")))), KEY, listed.toDF(KEY))
     host, path = F.coalesce(host_of(address), F.lit("")), F.coalesce(path_of(address), F.lit(""))

@@ -34,7 +34,8 @@ def marks(df: DataFrame, text: str, out: str, gram: int = GRAM, window: int = WI
         return F.shiftleft(F.shiftrightunsigned(hashed, POSITION_BITS + 1), POSITION_BITS).bitwiseOR(last - i)
 
     def window_at(i: Column) -> Column:
-        return F.least(*[F.get(F.col(grams), i + k) for k in range(window)])
+        inside = [F.get(F.col(grams), i + k) for k in range(window)]
+        return F.least(*inside) if window > 1 else inside[0]
 
     def places(array: str, width: int) -> Column:
         n = F.size(array)
