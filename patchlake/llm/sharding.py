@@ -1,8 +1,8 @@
 """Shards by balanced label propagation.
 
 Rows that share a group are linked. Every round joins the rows with their group's votes (bytes by shard) and
-moves them towards the shard that has most of the group, under quotas: what two shards exchange, and the room
-below the capacity. Quotas are kept through a histogram of the moves by a hash, cut where the quota is
+moves them towards the shard that has most of the group, under quotas: the room for linked rows below the
+capacity, and what leaves a shard makes room there. Quotas are kept through a histogram of the moves by a hash, cut where the quota is
 reached, so that nothing but (shards x shards x steps) sums reaches the driver. Groups move whole, as their
 hash is the group's; a group larger than a share of a shard moves row by row. At the end, rows move from
 shards above the mean to shards below it, unlinked rows first, until sizes are near equal.
@@ -63,14 +63,24 @@ def _loads(rows: DataFrame, shards: int) -> list[int]:
 
 
 def _quotas(demand: dict[tuple[int, int], int], loads: list[int], capacity: float) -> dict[tuple[int, int], float]:
-    """What each pair exchanges, and a part of the room in the target."""
-    wants = defaultdict(int)
-    for (_, target), size in demand.items():
-        wants[target] += size
-    return {(a, b): min(size, min(size, demand.get((b, a), 0)) + max(0.0, capacity - loads[b]) * size / wants[b]) for (a, b), size in demand.items()}
+    """How much each pair may move: as if moves were made in turn, none of them beyond the capacity, until no more
+    fits. What leaves a shard makes room there, so exchanges and longer cycles get through."""
+    left, quota, now = dict(demand), defaultdict(float), list(loads)
+    for _ in range(200):
+        moved = 0.0
+        for pair in sorted(left, key=lambda x: (-left[x], x)):
+            size = min(left[pair], max(0.0, capacity - now[pair[1]]))
+            left[pair] -= size
+            quota[pair] += size
+            now[pair[0]] -= size
+            now[pair[1]] += size
+            moved += size
+        if moved <= 0:
+            break
+    return quota
 
 
-def balanced_labels(rows: DataFrame, shards: int, rounds: int = 5, slack: float = 0.02) -> DataFrame:
+def balanced_labels(rows: DataFrame, shards: int, rounds: int = 8, slack: float = 0.02) -> DataFrame:
     """rows (ROW, GROUP, SIZE; GROUP null: unlinked) with SHARD, sizes of the shards near equal.
 
     A group is worth moving where it has more than one row; the copies of a hot group are split among shards
@@ -94,7 +104,8 @@ def balanced_labels(rows: DataFrame, shards: int, rounds: int = 5, slack: float
         demand = {(a, b): size for a, b, size in wanted.groupBy(SHARD, "__llm_to").agg(F.sum(SIZE)).collect()}
         if not demand:
             break
-        cuts = _cuts(wanted, _quotas(demand, _loads(state, shards), capacity))
+        # Unlinked rows can go anywhere later on, so only linked ones take room now.
+        cuts = _cuts(wanted, _quotas(demand, _loads(state.where("__llm_linked"), shards), capacity))
         if not cuts:
             break
         old = path
