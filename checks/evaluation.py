@@ -53,9 +53,9 @@ def latency_p50(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relevance.upper_median(spark.read.parquet(f"{sf_dir}/events.parquet"), "value", "event_type")
 
 
-SYSTEMS = [("click", "C"), ("purchase", "P"), ("view", "V")]
-POOL = f"""{LISTS}, r AS (SELECT *, CASE system WHEN 'click' THEN 0 WHEN 'purchase' THEN 1 ELSE 2 END AS place,
-  upper(left(system,1)) AS mark FROM lists WHERE system IN ('click','purchase','view')),
+SYSTEMS = [("click", "C"), ("error", "E"), ("purchase", "P"), ("signup", "S"), ("view", "V")]
+POOL = f"""{LISTS}, r AS (SELECT *, CASE system WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS place,
+  upper(left(system,1)) AS mark FROM lists),
 g AS (SELECT query_id, sha, min({{'p': place, 'r': rank}}) AS seen, string_agg(DISTINCT mark, '' ORDER BY mark) AS found_by FROM r GROUP BY ALL),
 pool AS (SELECT query_id, sha, found_by, row_number() OVER (PARTITION BY query_id ORDER BY seen, sha) - 1 AS rank FROM g QUALIFY rank < 24)"""
 

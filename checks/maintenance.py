@@ -206,3 +206,94 @@ def run_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = maintain.corpus_stats(corpus.documents(), 0.12, "source").select("source", "commits", "embedded", "chars")
     return stats.join(points, "source")
 
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = changelog.parse_records(changelog.read_log(spark, written_log(spark, sf_dir)))
+    return parsed.withColumn("source", F.col("author_name"))
+
+
+def _share(parts: int, k: int):
+    return F.pmod(F.crc32(F.col("sha").cast("binary")), F.lit(parts)) == k
+
+
+@query(
+    f"""WITH {CURATED}, n AS (SELECT sha, count(DISTINCT term) AS terms FROM (SELECT sha, unnest(list_filter(
+  regexp_split_to_array(lower(doc_text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS term FROM curated) GROUP BY sha)
+SELECT {CURATED_COLUMNS}, 1::BIGINT AS points, terms FROM curated JOIN n USING (sha)"""
+)
+def incremental_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log in four parts: three builds, a stream with a checkpoint of its own, one embedding in slices, loads by source."""
+    corpus, log, root = Corpus(spark, work_path(spark, "corpus")), work_path(spark, "log"), work_path(spark, "stream")
+    parsed = _parsed(spark, sf_dir)
+    for k in range(3):
+        corpus.build(parsed.where(_share(4, k)), RULES, None)
+    changelog.write_log(parsed.where(_share(4, 3)).withColumn("author_name", F.col("source")), log)
+    commits = ingest.stream_commits(spark, log, max_files=2).withColumn("source", F.col("author_name"))
+    ingest.ingest(corpus, commits, RULES, None, f"{root}/checkpoint").awaitTermination()
+    corpus.embed(embed.hashing_embedder(DIM), slice_rows=5000)
+    for source in ("community", "enterprise"):
+        corpus.load(source)
+    points = corpus.points.read().groupBy(F.col("payload.sha").alias("sha")).agg(F.count("*").alias("points"))
+    terms = corpus.postings.read().groupBy("sha").agg(F.count("*").alias("terms"))
+    return curated_columns(corpus.commits.read()).join(points, "sha", "left").join(terms, "sha", "left")
+
+
+@query(
+    f"""WITH {CURATED}, c AS (SELECT count(*) AS n FROM curated)
+SELECT CAST(run AS INTEGER) AS run, n AS commits, n AS vectors, n AS points, CASE WHEN run = 0 THEN n ELSE 0 END AS sent FROM c, range(3) t(run)"""
+)
+def run_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs over one log: stored rows, and texts that each run sent to the embedder."""
+    corpus, parsed, rows = Corpus(spark, work_path(spark, "corpus")), _parsed(spark, sf_dir), []
+    sent, plain = spark.sparkContext.accumulator(0), embed.hashing_embedder(DIM)
+
+    def counting(texts):
+        sent.add(len(texts))
+        return plain(texts)
+
+    for run in range(3):
+        before = sent.value
+        corpus.run(parsed, RULES, None, counting, 0.12)
+        rows.append((run, corpus.commits.read().count(), corpus.vectors.read().count(), corpus.points.read().count(), sent.value - before))
+    return spark.createDataFrame(rows, "run int, commits long, vectors long, points long, sent long")
+
+
+@query(
+    f"""WITH {CURATED} SELECT sha, CASE WHEN substr(sha,1,1) < '4' THEN 'elsewhere' ELSE 'here' END AS source, tag,
+ CASE WHEN substr(sha,1,1) < '4' THEN 'moved' WHEN substr(sha,1,1) < '9' THEN body||' again' ELSE body END AS body, n_files FROM curated"""
+)
+def build_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies within a log, the last one winning, and ids that come again under another source."""
+    corpus, parsed = Corpus(spark, work_path(spark, "corpus")), _parsed(spark, sf_dir).drop("source")
+    first = F.substring("sha", 1, 1)
+    late = parsed.where(first < "9").withColumn("body", F.concat("body", F.lit(" again")))
+    both = parsed.withColumn("copy", F.lit(0)).unionByName(late.withColumn("copy", F.lit(1)))
+    corpus.build(both.withColumn("arrival", F.struct("copy", "arrival")).drop("copy"), RULES, "here")
+    corpus.build(parsed.where(first < "4").withColumn("body", F.lit("moved")), RULES, "elsewhere")
+    return corpus.commits.read().select("sha", "source", "tag", "body", "n_files")
+
+
+@query(f"WITH commit_src AS ({views.COMMIT_SRC_DUCK}) SELECT sha, length(subject) AS n_chars FROM commit_src")
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log that is read twice in one stream, in any order of dates: each commit once."""
+    log, root = written_log(spark, sf_dir), work_path(spark, "stream")
+    twice = ingest.stream_commits(spark, log, max_files=2).unionByName(ingest.stream_commits(spark, log, max_files=3))
+    distinct = ingest.distinct_commits(twice.select("sha", "subject"), "2 days")
+    writer = distinct.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("sha string, subject string").parquet(f"{root}/out").select("sha", F.length("subject").cast("long").alias("n_chars"))
+
+
+@query("SELECT l_orderkey AS sha, count(*) AS n_parents FROM lineitem GROUP BY 1 HAVING count(*) <= 1")
+def merges_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as commits, their line items as parents."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return changelog.drop_merges(items.groupBy(F.col("l_orderkey").alias("sha")).agg(F.count("*").alias("n_parents")))
+
+
+@query("SELECT CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS tokens, round(sum(CAST(l_quantity AS BIGINT)) / 1e6 * 0.12, 9) AS cost FROM lineitem")
+def usage_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    total = maintain.usage(items.select(F.col("l_quantity").cast("long").alias("tokens")), 0.12)
+    return total.select(F.col("tokens").cast("long").alias("tokens"), F.round("cost", 9).alias("cost"))
