@@ -212,11 +212,25 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query()
+PLANES = """planes AS MATERIALIZED (SELECT t, b, list(CAST('0x'||substr(md5(t||':'||b||':'||i),1,8) AS BIGINT) / 4294967296.0::DOUBLE - 0.5 ORDER BY i) AS p
+  FROM range(16) x(t), range(5) y(b), range((SELECT max(len(embedding)) FROM embeddings)) z(i) GROUP BY t, b)"""
+
+
+@query(
+    f"""WITH {MEANS.replace("<vectors>", "embeddings")}, {PLANES},
+stored AS (SELECT vec_id, t, sum(CASE WHEN list_dot_product(CAST(embedding AS DOUBLE[]), p) > 0 THEN 1 << CAST(b AS INTEGER) ELSE 0 END) AS h FROM embeddings, planes GROUP BY ALL),
+probe AS (SELECT label, t, sum(CASE WHEN list_dot_product(vector, p) > 0 THEN 1 << CAST(b AS INTEGER) ELSE 0 END) AS h FROM means, planes GROUP BY ALL),
+found AS (SELECT DISTINCT label, vec_id FROM stored JOIN probe USING (t, h)),
+s AS (SELECT f.label AS query_id, f.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), m.vector), 9) AS score
+  FROM found f JOIN embeddings e ON e.vec_id = f.vec_id JOIN means m ON m.label = f.label)
+SELECT query_id, vec_id, round(score, 6) AS score,
+ CAST(row_number() OVER (PARTITION BY query_id ORDER BY s.score DESC, vec_id) - 1 AS INTEGER) AS rank FROM s QUALIFY rank < 50"""
+)
 def lsh_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Approximate, so rows only; a test measures its recall against `dense_topk`."""
+    """Approximate: the nearest among the vectors that share a bucket with the mean of a label."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return dense.lsh_search(vectors, dense.label_means(vectors), key="vec_id")
+    hits = dense.lsh_search(vectors, dense.label_means(vectors), key="vec_id")
+    return hits.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 # ---- BM25 ----------------------------------------------------------------------
