@@ -14,7 +14,9 @@ from patchlake.functions import text as X
 from patchlake.operators import dense, fusion, lexical, literal, lookup
 from patchlake.operators.curate import curate
 from patchlake.plans import search
-from patchlake.session import staged
+from patchlake.plans.jobs import Corpus
+from patchlake.session import staged, work_path
+from patchlake.sources.store import with_shard
 
 LINKS = dict(repo_by_source={"src1": "example/first", "src2": "example/second"}, default_repo="example/other", link_base="https://example.org")
 WS = X.WHITESPACE.replace("'", "''")
@@ -371,6 +373,27 @@ def dense_bm25_dbsf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("query_id", (F.col("rank") + 1).alias("rank"), "sha", F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {VECTOR.replace("<gain>", RRF_GAIN)} SELECT {HIT}, CAST(NULL AS VARCHAR) AS snippet FROM ranked JOIN corpus c USING (sha)")
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search over what `load` has written: stored vectors and postings."""
+    corpus, docs = Corpus(spark, work_path(spark, "corpus")), views.spark_corpus(spark, sf_dir)
+    corpus.commits.append(with_shard(docs))
+    corpus.vectors.append(docs.where("embedding IS NOT NULL").select("sha", "embedding"))
+    corpus.load()
+    stored = dict(vectors=corpus.search_vectors(), postings=corpus.search_postings())
+    return _hits(search.search(corpus.commits.read(), search_queries(spark, docs), system="vector", **stored, **LINKS))
+
+
+BATCH = f"""{VECTOR.replace("<gain>", RRF_GAIN).replace("rank < 50", "rank < 200").replace("rank <= 10", "rank <= 80")}"""
+
+
+@query(f"WITH {BATCH} SELECT 'vector' AS system, query_id, CAST(rank - 1 AS INTEGER) AS rank, sha FROM ranked")
+def batch_search_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rankings deeper than a search shows: 80 hits from pools of 200."""
+    docs = views.spark_corpus(spark, sf_dir)
+    return search.batch_search(docs, search_queries(spark, docs), ("vector",), k=80, pool=200)
+
+
 # ---- lookup ----------------------------------------------------------------------
 
 _LOOKUPS = """SELECT s_suppkey AS lookup_id, CASE s_suppkey % 7

@@ -81,19 +81,22 @@ def vector_rank(
     fuse: str = "rrf",
     rrf_k: int = fusion.VECTOR_RRF_K,
     key: str = "sha",
+    vectors: DataFrame | None = None,
+    postings: DataFrame | None = None,
 ) -> DataFrame:
-    """(query_id, rank, key, score): dense and BM25 pools merged by rank or by score."""
+    """(query_id, rank, key, score): dense and BM25 pools merged by rank or by score.
+
+    `vectors` (key, embedding, modules, tag, source) and `postings` name the stored index; then `docs` isn't read.
+    """
+    if postings is not None and vectors is None:
+        raise ValueError("stored postings need the stored vectors beside them")
     if fuse not in ("rrf", "dbsf"):
         raise ValueError(f"unknown fusion {fuse!r}")
 
     def block_rank(block: DataFrame) -> DataFrame:
-        embedded = docs.where(F.col("embedding").isNotNull())
-        lists = union_all(
-            [
-                _as_list(dense.dense_search(embedded, block, pool, key), 0, key),
-                _as_list(lexical.bm25_search(embedded, block, pool, key), 1, key),
-            ]
-        )
+        embedded = (docs if vectors is None else vectors).where(F.col("embedding").isNotNull())
+        words = lexical.bm25_search(embedded, block, pool, key) if postings is None else lexical.postings_search(postings, embedded, block, pool, key)
+        lists = union_all([_as_list(dense.dense_search(embedded, block, pool, key), 0, key), _as_list(words, 1, key)])
         fused = fusion.rrf(lists, rrf_k, key) if fuse == "rrf" else fusion.dbsf(lists, key, pooled=True)
         return _cut(fusion.fused_top_k(fused, _depth(queries, k), key), block, k)
 
