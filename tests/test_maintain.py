@@ -15,9 +15,7 @@ def merged(spark, **options):
     return {r.sha: r for r in maintain.upsert(old, new, F.lit("t1"), **options).collect()}
 
 
-@pytest.mark.parametrize("limit", [0, 100])
-def test_upsert(spark, monkeypatch, limit):
-    monkeypatch.setattr(maintain, "is_small", lambda df: bounds.is_small(df, limit))
+def test_upsert(spark):
     rows = merged(spark)
     assert rows["a"].subject == "old a" and rows["a"].embedding == [1.0] and rows["a"].indexed_at == "t0"
     # A new NULL overwrites; tag, vector and first-seen time stay.
