@@ -9,9 +9,9 @@ key, its content; one with budget 2 also has a key for every deletion of one ele
 band and segment by cost: a segment whose keys would bring together many sets gives its budget to one whose
 keys don't.
 
-Keys lead to stars, not to all pairs: every document of a key meets the first one. Verified links join
-documents to components; only stars that still hold several components go on, and there the documents outside
-the centre's component meet the others, block by block, as products of matrices. All links are verified on the
+Keys lead to stars, not to all pairs: the documents of a key meet the first one, unless links have brought them
+together before. Only keys that still hold several components go on, and there the documents outside the
+centre's component meet the others, block by block, as products of matrices. All links are verified on the
 whole sets, which are made anew from the texts, as these are smaller to shuffle than the hashes.
 """
 
@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 
 from patchlake.llm.bpe import text_slices
 from patchlake.llm.components import connected_components
-from patchlake.llm.storage import staged
+from patchlake.llm.storage import drop_folder, new_folder, staged
 
 KEYED = "doc_id long, n long, same_as long, keys array<long>"
 HITS = "key long, center long, doc_id long"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SLOTS = np.uint64((1 << 20) - 1)
-DELETIONS = 24  # keys of a segment with budget 2, about, with what they bring together
+DELETIONS = 24  # keys of a segment with budget 2, about
 CHUNK = 2048  # documents of a block
 COLUMNS = 4096  # elements of a matrix product
 
@@ -204,23 +204,27 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
     return rows.repartition(parts, "key").sortWithinPartitions("key", "doc_id").mapInArrow(run, HITS)
 
 
-def allocate(hits: DataFrame, sizes: list[int], num: int, den: int) -> dict[int, np.ndarray]:
+def allocate(hits: DataFrame, n_keys: int, sizes: list[int], num: int, den: int) -> dict[int, np.ndarray]:
     """Budgets of the bands in which moving them pays.
 
-    A segment whose keys bring together far more documents than the others of its band goes from 1 to 0, and the
-    one with the fewest goes from 1 to 2, where what is saved outweighs the deletion keys. Costs are numbers of
-    pairs by segment, summed over all keys; only those of segments far above the mean come to the driver.
+    The cost of a segment is the number of rows that its shared keys send on. One far above the others goes from
+    1 to 0, and another goes from 1 to 2, which costs some DELETIONS keys for each of those rows. As all
+    keys are made anew then, what is saved must exceed their number. Costs are summed over all keys; only those
+    of segments far above the mean come to the driver.
     """
-    by_key = hits.groupBy("key").count().select(F.col("key").bitwiseAND(int(SLOTS)).alias("slot"), (F.col("count") * (F.col("count") - 1) / 2).alias("pairs"), "count")
-    costs = by_key.groupBy("slot").agg(F.sum("pairs").alias("pairs"), F.sum("count").alias("docs"))
-    mean = costs.agg(F.avg("pairs")).head()[0] or 0.0
-    hot = {row.slot: row.pairs for row in costs.where((F.col("pairs") > 16 * F.lit(mean)) & (F.col("pairs") > DELETIONS * F.col("docs"))).collect()}  # bounded: a sixteenth of the slots
+    costs = hits.groupBy(F.col("key").bitwiseAND(int(SLOTS)).alias("slot")).agg(F.count("*").alias("rows"), F.count_if(F.col("doc_id") == F.col("center")).alias("keys"))
+    mean = costs.agg(F.avg("rows")).head()[0] or 0.0
+    crowded = (F.col("rows") > 16 * F.lit(mean)) & (F.col("rows") > DELETIONS * F.col("keys"))
+    found = costs.where(crowded).select("slot", "rows").collect()  # bounded: a sixteenth of the slots
+    hot = {row.slot for row in found}
+    if sum(row.rows for row in found) <= n_keys:
+        return {}
     bands, out = Bands(num, den), {}
     if not hot or not sizes:
         return out
     for band in range(bands.band(max(sizes)) + 1):
         segments = bands.differences(band) + 1
-        costly = np.flatnonzero(np.isin(slot_of(band, np.arange(segments)).astype(np.int64), list(hot)))
+        costly = np.flatnonzero(np.isin(slot_of(band, np.arange(segments)).astype(np.int64), sorted(hot)))
         # As many cheap segments must be there to take the budget over.
         if len(costly) and 2 * len(costly) <= segments:
             budget = np.ones(segments, dtype=np.int8)
@@ -250,12 +254,12 @@ def _with_chunks(members: DataFrame, star: str, size: int) -> DataFrame:
     return members.join(counts, star).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
 
 
-def star_links(hits: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(center, doc_id, linked) for every document of a star, its set compared with the center's.
+def star_links(edges: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(center, doc_id, linked) for edges (center, doc_id): the document's set compared with the center's.
 
     A star goes through tasks in chunks, the center first in each; a task holds one center at a time.
     """
-    members = _with_chunks(hits.where("doc_id != center").select("center", "doc_id").distinct(), "center", CHUNK)
+    members = _with_chunks(edges, "center", CHUNK)
     members = members.select("center", "chunk", "doc_id", F.lit(1).alias("role"))
     centers = members.select("center", "chunk").distinct().select("center", "chunk", F.col("center").alias("doc_id"), F.lit(0).alias("role"))
     visits = members.unionByName(centers).join(docs, "doc_id").select("center", "chunk", "role", "doc_id", "text")
@@ -316,20 +320,25 @@ def block_links(left: list[np.ndarray], right: list[np.ndarray], num: int, den:
     return rows_l[a], rows_r[b]
 
 
-def open_star_links(stars: DataFrame, parts_of: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) between documents of a star that are in different components, one of them not in its center's.
+def labelled(hits: DataFrame, parts: DataFrame) -> DataFrame:
+    """hits with the components of the document (label) and of the center (center_label)."""
+    label = parts.select(F.col("id").alias("doc_id"), F.col("component").alias("label"))
+    center = parts.select(F.col("id").alias("center"), F.col("component").alias("center_label"))
+    named = hits.join(label, "doc_id", "left").join(center, "center", "left")
+    return named.withColumn("label", F.coalesce("label", "doc_id")).withColumn("center_label", F.coalesce("center_label", "center"))
 
-    stars: (center, doc_id); parts_of: (id, component). Blocks of the outer documents meet blocks of all
-    documents of the star; a task has two blocks of CHUNK documents at a time. Of the links between two
-    components a pair of blocks returns one.
+
+def open_star_links(hits: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between documents that share a key and are in different components, neither its center.
+
+    hits: as from labelled(). Only keys with several components beside the center are open. Blocks of the
+    documents of a star outside its center's component meet blocks of all its documents; a task has two blocks
+    of CHUNK documents at a time. Of the links between two components a pair of blocks returns one.
     """
-    label = parts_of.select(F.col("id").alias("doc_id"), F.col("component").alias("label"))
-    center = parts_of.select(F.col("id").alias("center"), F.col("component").alias("center_label"))
-    named = stars.join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    named = named.join(center, "center", "left").withColumn("outer", F.col("label") != F.coalesce("center_label", "center"))
-    # Stars with one outer component and nobody else but the center have been compared already.
-    kept = named.groupBy("center").agg(F.count_if("outer").alias("n_outer"), F.count("*").alias("n")).where("n_outer > 0 and n > 1")
-    members = _with_chunks(named.join(kept, "center").select("center", "doc_id", "label", "outer"), "center", CHUNK)
+    others = hits.where("doc_id != center").withColumn("outer", F.col("label") != F.col("center_label"))
+    open_keys = others.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
+    named = others.join(open_keys, "key", "left_semi").select("center", "doc_id", "label", "outer").distinct()
+    members = _with_chunks(named, "center", CHUNK)
     every = F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)
     left = members.where("outer").select("center", F.col("chunk").alias("x"), F.explode(every).alias("y"), F.lit(0).alias("side"), "doc_id", "label")
     # A right block is needed only where the left one has documents.
@@ -376,26 +385,48 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
     doc_id has none either. Rows that repeat a doc_id share its component.
     """
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    budgets: dict[int, np.ndarray] = {}
-    keyed = staged(keyed_documents(docs, width, num, den, budgets), "set-keys")
-    hits = staged(shared_keys(keyed), "shared-keys")
+    keyed, hits, n_keys = _shared(docs, width, num, den, {})
     largest = keyed.agg(F.max("n")).head()[0]
-    budgets = allocate(hits, [largest] if largest else [], num, den)
+    budgets = allocate(hits, n_keys, [largest] if largest else [], num, den)
     if budgets:
-        keyed = staged(keyed_documents(docs, width, num, den, budgets), "set-keys")
-        hits = staged(shared_keys(keyed), "shared-keys")
+        keyed, hits, _ = _shared(docs, width, num, den, budgets)
     texts = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]) if _repeats(keyed) else docs
-    found = staged(star_links(hits, texts, width, num, den), "star-links")
+    # First every document meets the smallest of its centers, then those centers that are still apart from it.
+    edges = hits.where("doc_id != center").groupBy("doc_id").agg(F.min("center").alias("center")).select("center", "doc_id")
+    first = staged(star_links(edges, texts, width, num, den), "star-links")
     copies = keyed.where("same_as != doc_id").select(F.col("doc_id").alias("a"), F.col("same_as").alias("b"))
-    links = found.where("linked").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).unionByName(copies)
-    parts = connected_components(links)
-    more = staged(open_star_links(found.select("center", "doc_id"), parts, texts, width, num, den), "open-links")
-    if more.head(1):
-        parts = connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+    parts = connected_components(_ends(first).unionByName(copies))
+    apart = labelled(hits.where("doc_id != center"), parts).where("label != center_label").select("center", "doc_id").distinct()
+    second = staged(star_links(apart.join(first, ["center", "doc_id"], "left_anti"), texts, width, num, den), "star-links")
+    parts = _joined(parts, _ends(second))
+    parts = _joined(parts, staged(open_star_links(labelled(hits, parts), texts, width, num, den), "open-links"))
     out = keyed.join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _shared(docs: DataFrame, width: int, num: int, den: int, budgets: dict[int, np.ndarray]) -> tuple[DataFrame, DataFrame, int]:
+    """(documents without their keys, HITS, number of keys); the keys themselves are removed once they are compared."""
+    path = new_folder(docs.sparkSession, "set-keys")
+    keyed_documents(docs, width, num, den, budgets).write.parquet(path)
+    keyed = docs.sparkSession.read.schema(KEYED).parquet(path)
+    n_keys = keyed.agg(F.sum(F.size("keys"))).head()[0] or 0
+    hits = staged(shared_keys(keyed), "shared-keys")
+    plain = staged(keyed.drop("keys"), "set-sizes")
+    drop_folder(docs.sparkSession, path)
+    return plain, hits, n_keys
+
+
+def _ends(found: DataFrame) -> DataFrame:
+    return found.where("linked").select(F.col("center").alias("a"), F.col("doc_id").alias("b"))
+
+
+def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links (a, b)."""
+    if not links.head(1):
+        return parts
+    return connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
+
+
 def _repeats(keyed: DataFrame) -> bool:
     """Whether a doc_id occurs more than once."""
     return bool(keyed.groupBy("doc_id").count().where("count > 1").head(1))

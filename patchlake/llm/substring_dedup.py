@@ -35,6 +35,7 @@ GRAM = 32
 BLOCK_BYTES = 3 << 20
 SEPARATOR = b"\xff"  # in no UTF-8 text
 EMPTY_HASH = hashlib.sha256(b"").hexdigest()
+BROADCAST_ROWS = 100_000
 NO_ID = -(2**63)  # stands for a null doc_id
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 
@@ -338,8 +339,12 @@ def repeated_runs(texts: DataFrame, firsts: DataFrame, length: int) -> DataFrame
     dealt = repeated.join(shares, "home", "left")
     pieces = staged(passages(texts, firsts, dealt, length), "passages")
     large = pieces.groupBy("home", "share").agg(F.sum(F.octet_length("passage") + 1).alias("bytes")).where(F.col("bytes") > BLOCK_BYTES).select("home", "share")
-    if not large.head(1):
+    large = staged(large, "large-blocks")
+    n_large = large.count()
+    if not n_large:
         return staged(sorted_blocks(pieces, length), "repeated-runs")
+    # Up to a bound these names are sent to all tasks, so that a hot block's passages stay where they are.
+    large = F.broadcast(large) if n_large <= BROADCAST_ROWS else large
     small = pieces.join(large, ["home", "share"], "left_anti")
     rest = pieces.join(large, ["home", "share"], "left_semi")
     return staged(sorted_blocks(small, length).unionByName(grouped_strings(rest, length)), "repeated-runs")

@@ -167,6 +167,25 @@ def test_near_duplicates(spark, width, num, den):
     assert sorted(tuple(r) for r in got.collect()) == brute_components(rows, width, num, den)
 
 
+def test_near_duplicates_with_other_budgets(spark, monkeypatch):
+    """Budgets chosen at random: deletion keys find what the left out segments don't."""
+    rng = np.random.default_rng(8)
+
+    def budgets(hits, n_keys, sizes, num, den):
+        bands, out = ngram_join.Bands(num, den), {}
+        for band in range(bands.band(sizes[0]) + 1):
+            budget = np.ones(bands.differences(band) + 1, dtype=np.int8)
+            moved = rng.permutation(len(budget))[: len(budget) // 2 * 2]
+            budget[moved[::2]], budget[moved[1::2]] = 0, 2
+            out[band] = budget
+        return out
+
+    monkeypatch.setattr(ngram_join, "allocate", budgets)
+    rows = near_rows(11)
+    got = ngram_join.near_duplicates(table(spark, rows), 3, 9, 10)
+    assert sorted(tuple(r) for r in got.collect()) == brute_components(rows, 3, 9, 10)
+
+
 def test_near_duplicates_odd_tables(spark):
     assert ngram_join.near_duplicates(table(spark, [])).count() == 0
     rows = [(1, "a b c d e f", 3), (1, "a b c d e f", 3), (2, "a b c d e f", 3), (None, "a b c d e f", 3), (3, "x " * 30_000, 3)]
@@ -207,11 +226,12 @@ def test_allocation_moves_budgets(spark):
     band = bands.band(200)
     segments = bands.differences(band) + 1
     slots = ngram_join.slot_of(band, np.arange(segments)).astype(np.int64)
-    rows = [(int(slots[0]) | 5 << 20, 0, k) for k in range(400)] + [(int(s) | (k + 9) << 20, 0, k) for s in slots[1:] for k in (0, 1)]
+    rows = [(int(slots[0]) | 5 << 20, 0, k) for k in range(400)] + [(int(s) | 9 << 20, 0, k) for s in slots[1:] for k in (0, 1)]
     hits = spark.createDataFrame(rows, "key long, center long, doc_id long")
-    given = ngram_join.allocate(hits, [200], 9, 10)
+    given = ngram_join.allocate(hits, 300, [200], 9, 10)
     assert given[band][0] == 0 and given[band].sum() == segments and (given[band] == 2).sum() == 1
-    assert ngram_join.allocate(hits.where("doc_id < 2"), [200], 9, 10) == {}
+    assert ngram_join.allocate(hits, 500, [200], 9, 10) == {}  # new keys for all would cost more
+    assert ngram_join.allocate(hits.where("doc_id < 2"), 0, [200], 9, 10) == {}
 
 
 def test_components(spark):
