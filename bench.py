@@ -1,7 +1,7 @@
 """Times the headline queries; prints one JSON line.
 
 BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default all cores),
-BENCH_QUERIES (comma-separated names), BENCH_RUNS (timed runs per query, median).
+BENCH_QUERIES (comma-separated names), BENCH_RUNS (timed runs per query after a warm-up, median; default 1).
 """
 
 from __future__ import annotations
@@ -17,8 +17,11 @@ from patchlake.session import local_session
 
 HEADLINE = (
     "curate_commits curate_filter_files tag_counts corpus_stats resume_anti_join upsert_partial point_ids "
-    "literal_search tokens_positions fts_match fts_cover_rank dense_topk bm25_weights bm25_search rrf_fuse dbsf_fuse "
-    "hybrid_search dense_bm25_search commit_lookup ir_metrics latency_p50 pool_judgments embed_hash"
+    "literal_search tokens_positions fts_match fts_cover_rank dense_topk lsh_knn bm25_weights bm25_search rrf_fuse dbsf_fuse "
+    "hybrid_search dense_bm25_search indexed_search batch_search_deep commit_lookup ir_metrics latency_p50 pool_judgments "
+    "embed_hash index_build stream_upsert run_all "
+    "op1_bpe op2_ngram_join op3_url_filter op4_winnowing op5_best_fit_packing op6_hash_forest op7_language_id "
+    "op8_rans_token_files op9_suffix_dedup op10_label_shards pipeline"
 ).split()
 
 
@@ -26,9 +29,10 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS") or str(os.cpu_count())
     names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or HEADLINE
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     spark = local_session(cores, shuffle_partitions=2 * int(cores))
     queries = importlib.import_module("__spark_entry__").queries()
+    names = [name for name in names if name in queries]
     times: dict[str, float] = {}
     for name in names:
         taken = []

@@ -224,7 +224,7 @@ SELECT {CURATED_COLUMNS}, 1::BIGINT AS points, terms FROM curated JOIN n USING (
 )
 def incremental_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log in four parts: three builds, a stream with a checkpoint of its own, one embedding in slices, loads by source."""
-    corpus, log, root = Corpus(spark, work_path(spark, "corpus")), work_path(spark, "log"), work_path(spark, "stream")
+    corpus, log, root = Corpus(spark, work_path(spark, "corpus"), sharded=False), work_path(spark, "log"), work_path(spark, "stream")
     parsed = _parsed(spark, sf_dir)
     for k in range(3):
         corpus.build(parsed.where(_share(4, k)), RULES, None)
@@ -245,7 +245,7 @@ SELECT CAST(run AS INTEGER) AS run, n AS commits, n AS vectors, n AS points, CAS
 )
 def run_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three runs over one log: stored rows, and texts that each run sent to the embedder."""
-    corpus, parsed, rows = Corpus(spark, work_path(spark, "corpus")), _parsed(spark, sf_dir), []
+    corpus, parsed, rows = Corpus(spark, work_path(spark, "corpus"), sharded=False), _parsed(spark, sf_dir), []
     sent, plain = spark.sparkContext.accumulator(0), embed.hashing_embedder(DIM)
 
     def counting(texts):
@@ -265,7 +265,7 @@ def run_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def build_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies within a log, the last one winning, and ids that come again under another source."""
-    corpus, parsed = Corpus(spark, work_path(spark, "corpus")), _parsed(spark, sf_dir).drop("source")
+    corpus, parsed = Corpus(spark, work_path(spark, "corpus"), sharded=False), _parsed(spark, sf_dir).drop("source")
     first = F.substring("sha", 1, 1)
     late = parsed.where(first < "9").withColumn("body", F.concat("body", F.lit(" again")))
     both = parsed.withColumn("copy", F.lit(0)).unionByName(late.withColumn("copy", F.lit(1)))

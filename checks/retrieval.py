@@ -16,7 +16,6 @@ from patchlake.operators.curate import curate
 from patchlake.plans import search
 from patchlake.plans.jobs import Corpus
 from patchlake.session import staged, work_path
-from patchlake.sources.store import with_shard
 
 LINKS = dict(repo_by_source={"src1": "example/first", "src2": "example/second"}, default_repo="example/other", link_base="https://example.org")
 WS = X.WHITESPACE.replace("'", "''")
@@ -376,8 +375,8 @@ def dense_bm25_dbsf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {VECTOR.replace("<gain>", RRF_GAIN)} SELECT {HIT}, CAST(NULL AS VARCHAR) AS snippet FROM ranked JOIN corpus c USING (sha)")
 def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same search over what `load` has written: stored vectors and postings."""
-    corpus, docs = Corpus(spark, work_path(spark, "corpus")), views.spark_corpus(spark, sf_dir)
-    corpus.commits.append(with_shard(docs))
+    corpus, docs = Corpus(spark, work_path(spark, "corpus"), sharded=False), views.spark_corpus(spark, sf_dir)
+    corpus.commits.append(docs)
     corpus.vectors.append(docs.where("embedding IS NOT NULL").select("sha", "embedding"))
     corpus.load()
     stored = dict(vectors=corpus.search_vectors(), postings=corpus.search_postings())
