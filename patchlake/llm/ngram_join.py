@@ -11,8 +11,9 @@ keys don't.
 
 Keys lead to stars, not to all pairs: the documents of a key meet the first one, unless links have brought them
 together before. Only keys that still hold several components go on, and there the documents outside the
-centre's component meet the others, block by block, as products of matrices. All links are verified on the
-whole sets, which are made anew from the texts, as these are smaller to shuffle than the hashes.
+centre's component meet the others, block by block, as products of matrices. Sizes and odd sketches (parities of
+buckets, which differ in no more bits than the sets do in elements) rule out most pairs before. All links are
+verified on the whole sets, made anew from the texts, as these are smaller to shuffle than the hashes.
 """
 
 from __future__ import annotations
@@ -28,12 +29,13 @@ from patchlake.llm.bpe import text_slices
 from patchlake.llm.components import connected_components
 from patchlake.llm.storage import drop_folder, new_folder, staged
 
-KEYED = "doc_id long, n long, same_as long, keys array<long>"
+KEYED = "doc_id long, n long, same_as long, band int, sketch binary, low_sketch binary, keys array<long>"
 HITS = "key long, center long, doc_id long"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SLOTS = np.uint64((1 << 20) - 1)
 DELETIONS = 24  # keys of a segment with budget 2, about
 CHUNK = 2048  # documents of a block
+SKETCH = 1  # bytes of a sketch for two differences
 COLUMNS = 4096  # elements of a matrix product
 
 
@@ -139,6 +141,26 @@ def segment_keys(grams: np.ndarray, band: int, bands: Bands, budgets: dict[int,
     return np.unique(keys).astype(np.int64)
 
 
+def odd_sketch(grams: np.ndarray, band: int, bands: Bands) -> bytes:
+    """Parities of the numbers of elements in SKETCH buckets for each difference that a link may have.
+
+    Two sketches of a band differ in no more bits than their sets do in elements.
+    """
+    size = SKETCH * (bands.differences(band) // 2 + 1)
+    at = (mixed(grams ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(8 * size)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=8 * size).astype(np.uint8) & 1).tobytes()
+
+
+def may_link(a: tuple, b: tuple, bands: Bands, num: int, den: int) -> bool:
+    """False where sizes or sketches rule a link out; a, b: (n, band, sketch, low_sketch)."""
+    (small, large) = (a, b) if a[0] <= b[0] else (b, a)
+    if den * small[0] < num * large[0] or large[1] - small[1] > 1:
+        return False
+    other = large[2] if large[1] == small[1] else large[3]
+    bits = (int.from_bytes(small[2]) ^ int.from_bytes(other)).bit_count()
+    return bits <= (den - num) * (a[0] + b[0]) // (den + num)
+
+
 def keyed_documents(docs: DataFrame, width: int, num: int, den: int, budgets: dict[int, np.ndarray]) -> DataFrame:
     """KEYED: size of the set, the first document of the task with the same set, and the set's keys.
 
@@ -151,17 +173,18 @@ def keyed_documents(docs: DataFrame, width: int, num: int, den: int, budgets: di
             for begin, end, texts in text_slices(batch.column(1), 1 << 20):
                 ids = batch.column(0).slice(begin, end - begin)
                 sets = gram_sets(texts, width)
-                same, keys = [], []
+                same, keys, marks = [], [], []
                 for doc_id, grams in zip(ids.to_pylist(), sets, strict=True):
                     name = (len(grams), mixed(grams).sum(dtype=np.uint64), mixed(grams ^ MIX).sum(dtype=np.uint64))
                     known = first.setdefault(name, doc_id) if len(grams) else doc_id
                     same.append(known)
-                    own = bands.band(len(grams))
+                    own = bands.band(len(grams)) if len(grams) else -1
+                    marks.append((own, odd_sketch(grams, own, bands) if own >= 0 else b"", odd_sketch(grams, own - 1, bands) if own > 0 else b""))
                     used = [band for band in (own, own - 1) if band >= 0] if len(grams) and known == doc_id and doc_id is not None else []
                     keys.append(np.concatenate([np.zeros(0, dtype=np.int64), *[segment_keys(grams, band, bands, budgets) for band in used]]))
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
                 yield pa.record_batch(
-                    [ids, pa.array([len(x) for x in sets], pa.int64()), pa.array(same, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *keys])))],
+                    [ids, pa.array([len(x) for x in sets], pa.int64()), pa.array(same, pa.int64()), pa.array([x[0] for x in marks], pa.int32()), pa.array([x[1] for x in marks], pa.binary()), pa.array([x[2] for x in marks], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *keys])))],
                     names=[x.split()[0] for x in KEYED.split(", ")],
                 )
 
@@ -254,6 +277,21 @@ def _with_chunks(members: DataFrame, star: str, size: int) -> DataFrame:
     return members.join(counts, star).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
 
 
+def possible(edges: DataFrame, keyed: DataFrame, num: int, den: int) -> DataFrame:
+    """The edges (center, doc_id) that sizes and sketches don't rule out; a sketch is far smaller than a text."""
+    marks = keyed.select("doc_id", F.struct("n", "band", "sketch", "low_sketch").alias("mark")).dropDuplicates(["doc_id"])
+    both = edges.join(marks, "doc_id").join(marks.select(F.col("doc_id").alias("center"), F.col("mark").alias("center_mark")), "center").select("center", "doc_id", "center_mark", "mark")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(num, den)
+        for batch in batches:
+            left, right = ([tuple(x.values()) for x in batch.column(k).to_pylist()] for k in (2, 3))
+            kept = pa.array([may_link(a, b, bands, num, den) for a, b in zip(left, right, strict=True)], pa.bool_())
+            yield pa.record_batch([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["center", "doc_id"])
+
+    return both.mapInArrow(run, "center long, doc_id long")
+
+
 def star_links(edges: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(center, doc_id, linked) for edges (center, doc_id): the document's set compared with the center's.
 
@@ -328,24 +366,99 @@ def labelled(hits: DataFrame, parts: DataFrame) -> DataFrame:
     return named.withColumn("label", F.coalesce("label", "doc_id")).withColumn("center_label", F.coalesce("center_label", "center"))
 
 
-def open_star_links(hits: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) between documents that share a key and are in different components, neither its center.
+def open_stars(hits: DataFrame) -> DataFrame:
+    """(center, doc_id, label, outer) of documents that share a key with one of another component, neither its center.
 
-    hits: as from labelled(). Only keys with several components beside the center are open. Blocks of the
-    documents of a star outside its center's component meet blocks of all its documents; a task has two blocks
-    of CHUNK documents at a time. Of the links between two components a pair of blocks returns one.
+    hits: as from labelled(). Only keys with several components beside the center are open. outer: not in the
+    center's component.
     """
     others = hits.where("doc_id != center").withColumn("outer", F.col("label") != F.col("center_label"))
     open_keys = others.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-    named = others.join(open_keys, "key", "left_semi").select("center", "doc_id", "label", "outer").distinct()
-    members = _with_chunks(named, "center", CHUNK)
+    return others.join(open_keys, "key", "left_semi").select("center", "doc_id", "label", "outer").distinct()
+
+
+def in_blocks(members: DataFrame, payload: list[str]) -> DataFrame:
+    """(center, x, y, side, doc_id, label, payload...): blocks x of outer documents (side 0) beside blocks y of all
+    documents of the star (side 1), sorted so that a task meets two blocks of CHUNK documents after each other."""
+    members = _with_chunks(members, "center", CHUNK)
     every = F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)
-    left = members.where("outer").select("center", F.col("chunk").alias("x"), F.explode(every).alias("y"), F.lit(0).alias("side"), "doc_id", "label")
+    left = members.where("outer").select("center", F.col("chunk").alias("x"), F.explode(every).alias("y"), F.lit(0).alias("side"), "doc_id", "label", *payload)
     # A right block is needed only where the left one has documents.
     wanted = members.where("outer").select("center", F.col("chunk").alias("x")).distinct()
-    right = members.join(wanted, "center").select("center", "x", F.col("chunk").alias("y"), F.lit(1).alias("side"), "doc_id", "label")
-    visits = left.unionByName(right).join(docs, "doc_id").select("center", "x", "y", "side", "doc_id", "label", "text")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    right = members.join(wanted, "center").select("center", "x", F.col("chunk").alias("y"), F.lit(1).alias("side"), "doc_id", "label", *payload)
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return left.unionByName(right).repartition(parts, "center", "x", "y").sortWithinPartitions("center", "x", "y", "side", "doc_id")
+
+
+def near_sketches(members: DataFrame, keyed: DataFrame, num: int, den: int) -> DataFrame:
+    """The members (center, doc_id, label, outer) for which sizes and sketches leave a link with another component
+    of their star possible. Sketches of two blocks are compared in matrices of bits."""
+    marks = keyed.select("doc_id", "n", "band", "sketch", "low_sketch").dropDuplicates(["doc_id"])
+    payload = ["n", "band", "sketch", "low_sketch", "outer"]
+    rows = in_blocks(members.join(marks, "doc_id"), payload)
+
+    def partners(left: list[tuple], right: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each row of left and of right has a possible partner of another label on the other side."""
+        hit_l, hit_r = np.zeros(len(left), dtype=bool), np.zeros(len(right), dtype=bool)
+        for shift in (-1, 0, 1):  # the right band is that of the left one, or a neighbour
+            for band in {x[3] for x in left}:
+                a = [k for k, x in enumerate(left) if x[3] == band]
+                b = [k for k, x in enumerate(right) if x[3] == band + shift]
+                if not a or not b:
+                    continue
+                # Both sketches of the lower band.
+                raw = [np.array([np.frombuffer(side[k][5 if own > low else 4], dtype=np.uint8) for k in of]) for side, of, own, low in ((left, a, band, min(band, band + shift)), (right, b, band + shift, min(band, band + shift)))]
+                sizes = [np.array([side[k][2] for k in of]) for side, of in ((left, a), (right, b))]
+                labels = [np.array([side[k][1] for k in of]) for side, of in ((left, a), (right, b))]
+                for at, k in enumerate(a):
+                    total = sizes[0][at] + sizes[1]
+                    fits = (den * np.minimum(sizes[0][at], sizes[1]) >= num * np.maximum(sizes[0][at], sizes[1])) & (labels[0][at] != labels[1])
+                    few = np.flatnonzero(fits)
+                    if len(few):
+                        bits = np.bitwise_count(raw[1][few] ^ raw[0][at]).sum(1, dtype=np.int64)
+                        near = few[bits <= (den - num) * total[few] // (den + num)]
+                        if len(near):
+                            hit_l[k] = True
+                            hit_r[np.array(b)[near]] = True
+        return hit_l, hit_r
+
+    def finish(center: int, sides: list[list[tuple]]) -> list[tuple]:
+        if not sides[0] or not sides[1]:
+            return []
+        left, right = partners(*sides)
+        return [(center, x[0], x[1], x[6]) for side, hit in zip(sides, (left, right), strict=True) for x, h in zip(side, hit, strict=True) if h]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides = None, [[], []]
+
+        def told(out: list[tuple]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["center", "doc_id", "label", "outer"])
+
+        for batch in batches:
+            block = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            side = batch.column(3).to_pylist()
+            own = list(zip(*(batch.column(k).to_pylist() for k in range(4, 11)), strict=True))
+            out: list[tuple] = []
+            for name, which, row in zip(block, side, own, strict=True):
+                if name != now:
+                    out += finish(now[0], sides) if now else []
+                    now, sides = name, [[], []]
+                sides[which].append(row)
+            if out:
+                yield told(out)
+        if now and (out := finish(now[0], sides)):
+            yield told(out)
+
+    return rows.mapInArrow(run, "center long, doc_id long, label long, outer boolean").distinct()
+
+
+def open_star_links(members: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between members (center, doc_id, label, outer) of a star with different labels.
+
+    Blocks of the outer documents meet blocks of all documents of the star; of the links between two
+    components a pair of blocks returns one.
+    """
+    visits = in_blocks(members.join(docs, "doc_id"), ["text"])
 
     def finish(sides: list[list[tuple[int, int, np.ndarray]]]) -> list[tuple[int, int]]:
         left, right = sides
@@ -374,7 +487,7 @@ def open_star_links(hits: DataFrame, docs: DataFrame, width: int, num: int, den:
         if out := finish(sides):
             yield pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
 
-    return visits.repartition(parts, "center", "x", "y").sortWithinPartitions("center", "x", "y", "side", "doc_id").mapInArrow(run, "a long, b long")
+    return visits.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -393,13 +506,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
     texts = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]) if _repeats(keyed) else docs
     # First every document meets the smallest of its centers, then those centers that are still apart from it.
     edges = hits.where("doc_id != center").groupBy("doc_id").agg(F.min("center").alias("center")).select("center", "doc_id")
-    first = staged(star_links(edges, texts, width, num, den), "star-links")
+    first = staged(star_links(possible(edges, keyed, num, den), texts, width, num, den), "star-links")
     copies = keyed.where("same_as != doc_id").select(F.col("doc_id").alias("a"), F.col("same_as").alias("b"))
     parts = connected_components(_ends(first).unionByName(copies))
     apart = labelled(hits.where("doc_id != center"), parts).where("label != center_label").select("center", "doc_id").distinct()
-    second = staged(star_links(apart.join(first, ["center", "doc_id"], "left_anti"), texts, width, num, den), "star-links")
-    parts = _joined(parts, _ends(second))
-    parts = _joined(parts, staged(open_star_links(labelled(hits, parts), texts, width, num, den), "open-links"))
+    later = possible(apart.join(first, ["center", "doc_id"], "left_anti"), keyed, num, den)
+    parts = _joined(parts, _ends(staged(star_links(later, texts, width, num, den), "star-links")))
+    members = staged(near_sketches(open_stars(labelled(hits, parts)), keyed, num, den), "open-stars")
+    parts = _joined(parts, staged(open_star_links(members, texts, width, num, den), "open-links"))
     out = keyed.join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
