@@ -279,7 +279,7 @@ def _with_chunks(members: DataFrame, star: str, size: int) -> DataFrame:
 
 def possible(edges: DataFrame, keyed: DataFrame, num: int, den: int) -> DataFrame:
     """The edges (center, doc_id) that sizes and sketches don't rule out; a sketch is far smaller than a text."""
-    marks = keyed.select("doc_id", F.struct("n", "band", "sketch", "low_sketch").alias("mark")).dropDuplicates(["doc_id"])
+    marks = keyed.select("doc_id", F.struct("n", "band", "sketch", "low_sketch").alias("mark"))
     both = edges.join(marks, "doc_id").join(marks.select(F.col("doc_id").alias("center"), F.col("mark").alias("center_mark")), "center").select("center", "doc_id", "center_mark", "mark")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,38 +377,41 @@ def open_stars(hits: DataFrame) -> DataFrame:
     return others.join(open_keys, "key", "left_semi").select("center", "doc_id", "label", "outer").distinct()
 
 
-def in_blocks(members: DataFrame, payload: list[str]) -> DataFrame:
-    """(center, x, y, side, doc_id, label, payload...): blocks x of outer documents (side 0) beside blocks y of all
-    documents of the star (side 1), sorted so that a task meets two blocks of CHUNK documents after each other."""
+def in_blocks(members: DataFrame, details: DataFrame) -> DataFrame:
+    """(center, x, y, side, doc_id, label, outer, details...): blocks x of outer documents (side 0) beside blocks y of
+    all documents of the star (side 1), sorted so that a task meets two blocks of CHUNK documents after each other.
+
+    Blocks are laid out on ids; the details (doc_id, ...) join them once.
+    """
     members = _with_chunks(members, "center", CHUNK)
     every = F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)
-    left = members.where("outer").select("center", F.col("chunk").alias("x"), F.explode(every).alias("y"), F.lit(0).alias("side"), "doc_id", "label", *payload)
+    left = members.where("outer").select("center", F.col("chunk").alias("x"), F.explode(every).alias("y"), F.lit(0).alias("side"), "doc_id", "label", "outer")
     # A right block is needed only where the left one has documents.
     wanted = members.where("outer").select("center", F.col("chunk").alias("x")).distinct()
-    right = members.join(wanted, "center").select("center", "x", F.col("chunk").alias("y"), F.lit(1).alias("side"), "doc_id", "label", *payload)
+    right = members.join(wanted, "center").select("center", "x", F.col("chunk").alias("y"), F.lit(1).alias("side"), "doc_id", "label", "outer")
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return left.unionByName(right).repartition(parts, "center", "x", "y").sortWithinPartitions("center", "x", "y", "side", "doc_id")
+    more = [name for name in details.columns if name != "doc_id"]
+    visits = left.unionByName(right).join(details, "doc_id").select("center", "x", "y", "side", "doc_id", "label", "outer", *more)
+    return visits.repartition(parts, "center", "x", "y").sortWithinPartitions("center", "x", "y", "side", "doc_id")
 
 
 def near_sketches(members: DataFrame, keyed: DataFrame, num: int, den: int) -> DataFrame:
     """The members (center, doc_id, label, outer) for which sizes and sketches leave a link with another component
     of their star possible. Sketches of two blocks are compared in matrices of bits."""
-    marks = keyed.select("doc_id", "n", "band", "sketch", "low_sketch").dropDuplicates(["doc_id"])
-    payload = ["n", "band", "sketch", "low_sketch", "outer"]
-    rows = in_blocks(members.join(marks, "doc_id"), payload)
+    rows = in_blocks(members, keyed.select("doc_id", "n", "band", "sketch", "low_sketch"))
 
     def partners(left: list[tuple], right: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         """Whether each row of left and of right has a possible partner of another label on the other side."""
         hit_l, hit_r = np.zeros(len(left), dtype=bool), np.zeros(len(right), dtype=bool)
         for shift in (-1, 0, 1):  # the right band is that of the left one, or a neighbour
-            for band in {x[3] for x in left}:
-                a = [k for k, x in enumerate(left) if x[3] == band]
-                b = [k for k, x in enumerate(right) if x[3] == band + shift]
+            for band in {x[4] for x in left}:
+                a = [k for k, x in enumerate(left) if x[4] == band]
+                b = [k for k, x in enumerate(right) if x[4] == band + shift]
                 if not a or not b:
                     continue
                 # Both sketches of the lower band.
-                raw = [np.array([np.frombuffer(side[k][5 if own > low else 4], dtype=np.uint8) for k in of]) for side, of, own, low in ((left, a, band, min(band, band + shift)), (right, b, band + shift, min(band, band + shift)))]
-                sizes = [np.array([side[k][2] for k in of]) for side, of in ((left, a), (right, b))]
+                raw = [np.array([np.frombuffer(side[k][6 if own > low else 5], dtype=np.uint8) for k in of]) for side, of, own, low in ((left, a, band, min(band, band + shift)), (right, b, band + shift, min(band, band + shift)))]
+                sizes = [np.array([side[k][3] for k in of]) for side, of in ((left, a), (right, b))]
                 labels = [np.array([side[k][1] for k in of]) for side, of in ((left, a), (right, b))]
                 for at, k in enumerate(a):
                     total = sizes[0][at] + sizes[1]
@@ -426,7 +429,7 @@ def near_sketches(members: DataFrame, keyed: DataFrame, num: int, den: int) -> D
         if not sides[0] or not sides[1]:
             return []
         left, right = partners(*sides)
-        return [(center, x[0], x[1], x[6]) for side, hit in zip(sides, (left, right), strict=True) for x, h in zip(side, hit, strict=True) if h]
+        return [(center, x[0], x[1], x[2]) for side, hit in zip(sides, (left, right), strict=True) for x, h in zip(side, hit, strict=True) if h]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sides = None, [[], []]
@@ -458,7 +461,7 @@ def open_star_links(members: DataFrame, docs: DataFrame, width: int, num: int, d
     Blocks of the outer documents meet blocks of all documents of the star; of the links between two
     components a pair of blocks returns one.
     """
-    visits = in_blocks(members.join(docs, "doc_id"), ["text"])
+    visits = in_blocks(members, docs)
 
     def finish(sides: list[list[tuple[int, int, np.ndarray]]]) -> list[tuple[int, int]]:
         left, right = sides
@@ -476,7 +479,7 @@ def open_star_links(members: DataFrame, docs: DataFrame, width: int, num: int, d
             block = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
             side, ids, labels = (batch.column(k).to_pylist() for k in (3, 4, 5))
             out: list[tuple[int, int]] = []
-            for begin, _, texts in text_slices(batch.column(6), 1 << 20):
+            for begin, _, texts in text_slices(batch.column(7), 1 << 20):
                 for k, grams in enumerate(gram_sets(texts, width), begin):
                     if block[k] != now:
                         out += finish(sides)
@@ -503,16 +506,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
     budgets = allocate(hits, n_keys, [largest] if largest else [], num, den)
     if budgets:
         keyed, hits, _ = _shared(docs, width, num, den, budgets)
-    texts = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]) if _repeats(keyed) else docs
+    texts, marks = docs, keyed
+    if _repeats(keyed):
+        texts, marks = (df.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]) for df in (docs, keyed))
     # First every document meets the smallest of its centers, then those centers that are still apart from it.
-    edges = hits.where("doc_id != center").groupBy("doc_id").agg(F.min("center").alias("center")).select("center", "doc_id")
-    first = staged(star_links(possible(edges, keyed, num, den), texts, width, num, den), "star-links")
+    edges = staged(hits.where("doc_id != center").groupBy("doc_id").agg(F.min("center").alias("center")).select("center", "doc_id"), "first-centers")
+    first = staged(star_links(staged(possible(edges, marks, num, den), "star-edges"), texts, width, num, den), "star-links")
     copies = keyed.where("same_as != doc_id").select(F.col("doc_id").alias("a"), F.col("same_as").alias("b"))
     parts = connected_components(_ends(first).unionByName(copies))
     apart = labelled(hits.where("doc_id != center"), parts).where("label != center_label").select("center", "doc_id").distinct()
-    later = possible(apart.join(first, ["center", "doc_id"], "left_anti"), keyed, num, den)
+    later = staged(possible(apart.join(edges, ["center", "doc_id"], "left_anti"), marks, num, den), "star-edges")
     parts = _joined(parts, _ends(staged(star_links(later, texts, width, num, den), "star-links")))
-    members = staged(near_sketches(open_stars(labelled(hits, parts)), keyed, num, den), "open-stars")
+    members = staged(near_sketches(staged(open_stars(labelled(hits, parts)), "open-stars"), marks, num, den), "open-stars")
     parts = _joined(parts, staged(open_star_links(members, texts, width, num, den), "open-links"))
     out = keyed.join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
