@@ -381,7 +381,7 @@ class Decoder:
         return b" ".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
-def text_slices(column: pa.Array | pa.ChunkedArray, limit: int = 4 << 20) -> Iterator[tuple[int, int, list[bytes | None]]]:
+def text_slices(column: pa.Array | pa.ChunkedArray, limit: int = 2 << 20) -> Iterator[tuple[int, int, list[bytes | None]]]:
     """Runs of rows with about limit bytes of text, one row at least."""
     values = column.cast(pa.large_binary())
     values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values

@@ -23,6 +23,7 @@ from patchlake.llm.bpe import text_slices
 BITS = 16
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
+SLICE = 1 << 20  # bytes of text whose grams are in memory at a time, but for longer texts
 SAMPLE_ROWS = 1500  # training rows per language that the weights are fitted on, about
 CALIBRATION = 5  # every fifth sample row sets the temperature
 
@@ -97,7 +98,7 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, total, seen = Grams(), np.zeros(1 << BITS, dtype=np.int64), np.zeros(1 << BITS, dtype=bool)
         for batch in batches:
-            for _, _, values in text_slices(batch.column(0)):
+            for _, _, values in text_slices(batch.column(0), SLICE):
                 features, owners, _ = grams.of(values)
                 edges = [np.searchsorted(owner, np.arange(len(values) + 1)).tolist() for owner in owners]
                 for k in range(len(values)):
@@ -126,7 +127,7 @@ def _sample(training: DataFrame, rows: int, languages: dict[str, int]) -> list[t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
         for batch in batches:
-            for begin, end, values in text_slices(batch.column(2)):
+            for begin, end, values in text_slices(batch.column(2), SLICE):
                 features, owners, _ = grams.of(values)
                 edges = [np.searchsorted(owner, np.arange(len(values) + 1)) for owner in owners]
                 own = [np.unique(np.concatenate([x[e[k] : e[k + 1]] for x, e in zip(features, edges, strict=True)]), return_counts=True) for k in range(len(values))]
@@ -222,7 +223,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
         own, grams = LanguageModel(*parts.value), Grams()
         names = np.array([*own.languages, UNKNOWN], dtype=object)
         for batch in batches:
-            for begin, end, texts in text_slices(batch.column(at)):
+            for begin, end, texts in text_slices(batch.column(at), SLICE):
                 best, score, letters = own.predict(grams, texts)
                 best, score = np.where(letters, best, len(own.languages)), np.where(letters, score, 1.0)
                 rows = batch.slice(begin, end - begin)
