@@ -35,6 +35,7 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 SLOTS = np.uint64((1 << 20) - 1)
 DELETIONS = 24  # keys of a segment with budget 2, about
 CHUNK = 2048  # documents of a block
+BROADCAST_IDS = 100_000  # ids sent to all tasks at most
 SKETCH = 1  # bytes of a sketch for two differences
 COLUMNS = 4096  # elements of a matrix product
 
@@ -271,6 +272,12 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents named in ids (doc_id), filtered where they are read if there are few, so that other texts aren't shuffled."""
+    ids = ids.select("doc_id").distinct()
+    return docs.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= BROADCAST_IDS else docs
+
+
 def _with_chunks(members: DataFrame, star: str, size: int) -> DataFrame:
     """members with chunk, so that no chunk of a star has many more than size rows."""
     counts = members.groupBy(star).agg(F.ceil(F.count("*") / size).alias("chunks"))
@@ -300,7 +307,8 @@ def star_links(edges: DataFrame, docs: DataFrame, width: int, num: int, den: int
     members = _with_chunks(edges, "center", CHUNK)
     members = members.select("center", "chunk", "doc_id", F.lit(1).alias("role"))
     centers = members.select("center", "chunk").distinct().select("center", "chunk", F.col("center").alias("doc_id"), F.lit(0).alias("role"))
-    visits = members.unionByName(centers).join(docs, "doc_id").select("center", "chunk", "role", "doc_id", "text")
+    needed = edges.select("doc_id").unionByName(edges.select(F.col("center").alias("doc_id")))
+    visits = members.unionByName(centers).join(only(docs, needed), "doc_id").select("center", "chunk", "role", "doc_id", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -461,7 +469,7 @@ def open_star_links(members: DataFrame, docs: DataFrame, width: int, num: int, d
     Blocks of the outer documents meet blocks of all documents of the star; of the links between two
     components a pair of blocks returns one.
     """
-    visits = in_blocks(members, docs)
+    visits = in_blocks(members, only(docs, members))
 
     def finish(sides: list[list[tuple[int, int, np.ndarray]]]) -> list[tuple[int, int]]:
         left, right = sides
