@@ -4,7 +4,7 @@ Pieces shorter than a sequence are dealt to groups of bounded size by a hash. A
 longest first; then the local search takes the emptiest bin and moves its pieces elsewhere, exchanging one
 for one or two for one where nothing fits. Every accepted step makes a fuller bin fuller, so the sum of
 squared fills grows until bins are empty. Bins that stay underfull are dissolved and packed once more with
-those of the other groups, until one group is left.
+those of the other groups, until one group is left or that saves no bin.
 """
 
 from __future__ import annotations
@@ -176,7 +176,7 @@ def _packer(columns: list[str], capacity: int, level: int) -> Callable[[tuple, p
     def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["part", "row"], ignore_index=True)
         where, offset, fill = pack_lengths(group["length"].to_numpy(), capacity)
-        return group[columns].assign(sequence_id=(level << 56) + (int(key[0]) << 28) + where, offset=offset, filled=fill)
+        return group[columns].assign(sequence_id=(level << 48) + (int(key[0]) << 24) + where, offset=offset, filled=fill)
 
     return one
 
@@ -185,22 +185,28 @@ def pack(pieces: DataFrame, capacity: int, dense: float = 0.98) -> DataFrame:
     """pieces (length; part and row name a piece) with sequence_id and offset.
 
     Full pieces are sequences of their own. The rest goes through levels of groups; sequences filled to the
-    share dense stay as they are, others are packed again, until a level has a single group.
+    share dense stay as they are, others are packed again, until a level has a single group or makes no fewer
+    bins of its pieces than they had before; then the bins that they had stay.
     """
     full = pieces.where(F.col("length") == capacity).withColumn("sequence_id", (F.lit(-1) - F.col("part")) * (1 << 40) + F.col("row")).withColumn("offset", F.lit(0).cast("long"))
     rest, done, level = pieces.where(F.col("length") < capacity), full, 0
     columns = pieces.columns
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long, filled long"
+    before, bins = None, None  # the underfull bins of the last level, and how many they are
     while True:
         groups = max(1, -(-rest.count() // GROUP_PIECES))
         one = _packer(columns, capacity, level)
         dealt = rest.select(*columns, F.pmod(F.xxhash64(F.lit(level), "part", "row"), F.lit(groups)).alias("__llm_group"))
         packed = staged(dealt.groupBy("__llm_group").applyInPandas(one, schema), f"packed-{level}")
-        good = packed if groups == 1 else packed.where(F.col("filled") >= int(dense * capacity))
-        done = done.unionByName(good.drop("filled"))
+        # Every bin has one piece at offset 0.
+        made, short = packed.where("offset = 0").agg(F.count("*"), F.count_if(F.col("filled") < int(dense * capacity))).head()
+        if bins is not None and made >= bins:
+            return done.unionByName(before)
         if groups == 1:
-            return done
-        rest, level = packed.where(F.col("filled") < int(dense * capacity)).select(*columns), level + 1
+            return done.unionByName(packed.drop("filled"))
+        done = done.unionByName(packed.where(F.col("filled") >= int(dense * capacity)).drop("filled"))
+        before, bins = packed.where(F.col("filled") < int(dense * capacity)).drop("filled"), short
+        rest, level = before.select(*columns), level + 1
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from patchlake.llm import bpe, packing, rans, text_queries, token_files
-from patchlake.llm.storage import new_folder
+from patchlake.llm.storage import new_folder, staged
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
@@ -133,6 +133,17 @@ def test_levels(spark, monkeypatch):
     assert max(fills.values()) <= 100 and len(fills) <= 1.03 * sum(r.length for r in out) / 100 + 1
 
 
+def test_levels_of_pieces_that_share_no_bin(spark, monkeypatch):
+    """Lengths of which no two fit together end too, with the number of bins that they need."""
+    monkeypatch.setattr(packing, "GROUP_PIECES", 50)
+    monkeypatch.setattr(packing, "staged", lambda df, name: staged(df, name) if name != "packed-20" else pytest.fail("levels don't end"))
+    rng = np.random.default_rng(6)
+    rows = [(int(k), int(n), 0, int(k)) for k, n in enumerate(rng.integers(51, 98, 300))]
+    out = packed_rows(packing.pack(spark.createDataFrame(rows, "doc_id long, length long, part int, row long"), 100))
+    assert sorted((r.doc_id, r.length) for r in out) == [(k, n) for k, n, _, _ in rows]
+    assert len({r.sequence_id for r in out}) == 300 and {r.offset for r in out} == {0}
+
+
 def test_coder():
     rng = np.random.default_rng(2)
     tokens = np.minimum(rng.zipf(1.3, 200_000), 4000).astype(np.uint32)
