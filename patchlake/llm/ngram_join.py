@@ -165,7 +165,8 @@ def may_link(a: tuple, b: tuple, bands: Bands, num: int, den: int) -> bool:
 def keyed_documents(docs: DataFrame, width: int, num: int, den: int, budgets: dict[int, np.ndarray]) -> DataFrame:
     """KEYED: size of the set, the first document of the task with the same set, and the set's keys.
 
-    Only that first document has keys, so that very many copies of a text have no more keys than tasks.
+    Only that first document has keys, so that very many copies of a text have no more keys than tasks. A row
+    without doc_id is nobody's first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +178,7 @@ def keyed_documents(docs: DataFrame, width: int, num: int, den: int, budgets: di
                 same, keys, marks = [], [], []
                 for doc_id, grams in zip(ids.to_pylist(), sets, strict=True):
                     name = (len(grams), mixed(grams).sum(dtype=np.uint64), mixed(grams ^ MIX).sum(dtype=np.uint64))
-                    known = first.setdefault(name, doc_id) if len(grams) else doc_id
+                    known = first.setdefault(name, doc_id) if len(grams) and doc_id is not None else doc_id
                     same.append(known)
                     own = bands.band(len(grams)) if len(grams) else -1
                     marks.append((own, odd_sketch(grams, own, bands) if own >= 0 else b"", odd_sketch(grams, own - 1, bands) if own > 0 else b""))

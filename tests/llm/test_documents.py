@@ -193,6 +193,12 @@ def test_near_duplicates_odd_tables(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, -1), (1, 1), (1, 1), (2, 1), (3, 3)]
 
 
+def test_row_without_id_before_its_copies(spark):
+    rows = [(None, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (3, "a b c d e f g h"), (4, "x y z")]
+    got = ngram_join.near_duplicates(table(spark, rows).coalesce(1), 3, 4, 5).collect()
+    assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, -1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
 def test_budgets_keep_every_link():
     """With any budgets that sum to the differences plus one, linked sets share a key."""
     rng = np.random.default_rng(0)
