@@ -7,7 +7,8 @@ elements. The universe is dealt to segments by a hash; each segment of a set has
 within its budget (pigeonhole), so equal segment keys find every linked pair: a segment with budget 1 has one
 key, its content; one with budget 2 also has a key for every deletion of one element. Budgets are chosen per
 band and segment by cost: a segment whose keys would bring together many sets gives its budget to one whose
-keys don't.
+keys don't, if the documents that they bring together are still apart after the first links and cost more than
+keys made anew.
 
 Keys lead to stars, not to all pairs: the documents of a key meet the first one, unless links have brought them
 together before. Only keys that still hold several components go on, and there the documents outside the
@@ -232,17 +233,28 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
 def allocate(hits: DataFrame, n_keys: int, sizes: list[int], num: int, den: int) -> dict[int, np.ndarray]:
     """Budgets of the bands in which moving them pays.
 
-    The cost of a segment is the number of rows that its shared keys send on. One far above the others goes from
-    1 to 0, and another goes from 1 to 2, which costs some DELETIONS keys for each of those rows. As all
-    keys are made anew then, what is saved must exceed their number. Costs are summed over all keys; only those
-    of segments far above the mean come to the driver.
+    The cost of a segment is the number of rows that its open keys lay out in blocks: the documents beside the
+    center, and once more for every CHUNK outer documents that they meet. A key is open while it has several
+    components beside the center; hits without labels count every document as a component. A segment far above
+    the others goes from 1 to 0, and another goes from 1 to 2, which costs some DELETIONS keys for each of its
+    documents. As all keys are made anew then, what is saved must exceed their number. Costs are summed over all
+    keys; only those of segments far above the mean come to the driver.
     """
-    costs = hits.groupBy(F.col("key").bitwiseAND(int(SLOTS)).alias("slot")).agg(F.count("*").alias("rows"), F.count_if(F.col("doc_id") == F.col("center")).alias("keys"))
+    slot = F.col("key").bitwiseAND(int(SLOTS)).alias("slot")
+    costs = hits.groupBy(slot).agg(F.count("*").alias("rows"), F.count_if(F.col("doc_id") == F.col("center")).alias("keys"))
     mean = costs.agg(F.avg("rows")).head()[0] or 0.0
     crowded = (F.col("rows") > 16 * F.lit(mean)) & (F.col("rows") > DELETIONS * F.col("keys"))
-    found = costs.where(crowded).select("slot", "rows").collect()  # bounded: a sixteenth of the slots
-    hot = {row.slot for row in found}
-    if sum(row.rows for row in found) <= n_keys:
+    found = [row.slot for row in costs.where(crowded).select("slot").collect()]  # bounded: a sixteenth of the slots
+    if not found:
+        return {}
+    if "label" not in hits.columns:
+        hits = hits.withColumns({"label": F.col("doc_id"), "center_label": F.col("center")})
+    few = F.broadcast(hits.sparkSession.createDataFrame([(x,) for x in found], "slot long"))
+    others = hits.where("doc_id != center").withColumn("slot", slot).join(few, "slot")
+    by_key = others.groupBy("slot", "key").agg(F.count("*").alias("n"), F.count_if(F.col("label") != F.col("center_label")).alias("n_outer"), F.min("label").alias("low"), F.max("label").alias("high"))
+    work = by_key.where("low != high and n_outer > 0").groupBy("slot").agg(F.sum(F.col("n") + F.col("n") * F.col("n_outer") / CHUNK).alias("work")).collect()
+    hot = {row.slot for row in work}
+    if sum(row.work for row in work) <= n_keys:
         return {}
     bands, out = Bands(num, den), {}
     if not hot or not sizes:
@@ -512,17 +524,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     keyed, hits, n_keys = _shared(docs, width, num, den, {})
     largest = keyed.agg(F.max("n")).head()[0]
+    # What crowded keys cost at most; what they really cost shows after the first links.
     budgets = allocate(hits, n_keys, [largest] if largest else [], num, den)
-    if budgets:
-        keyed, hits, _ = _shared(docs, width, num, den, budgets)
     texts, marks = docs, keyed
     if _repeats(keyed):
         texts, marks = (df.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]) for df in (docs, keyed))
     # First every document meets the smallest of its centers, then those centers that are still apart from it.
     edges = staged(hits.where("doc_id != center").groupBy("doc_id").agg(F.min("center").alias("center")).select("center", "doc_id"), "first-centers")
     first = staged(star_links(staged(possible(edges, marks, num, den), "star-edges"), texts, width, num, den), "star-links")
-    copies = keyed.where("same_as != doc_id").select(F.col("doc_id").alias("a"), F.col("same_as").alias("b"))
-    parts = connected_components(_ends(first).unionByName(copies))
+    parts = connected_components(_ends(first).unionByName(_copies(keyed)))
+    if budgets:
+        budgets = allocate(labelled(hits, parts), n_keys, [largest], num, den)
+    if budgets:
+        # The same sets by other keys; a copy may have another first document now.
+        again, hits, _ = _shared(docs, width, num, den, budgets)
+        parts = _joined(parts, _copies(again))
     apart = labelled(hits.where("doc_id != center"), parts).where("label != center_label").select("center", "doc_id").distinct()
     later = staged(possible(apart.join(edges, ["center", "doc_id"], "left_anti"), marks, num, den), "star-edges")
     parts = _joined(parts, _ends(staged(star_links(later, texts, width, num, den), "star-links")))
@@ -544,6 +560,10 @@ def _shared(docs: DataFrame, width: int, num: int, den: int, budgets: dict[int,
     return plain, hits, n_keys
 
 
+def _copies(keyed: DataFrame) -> DataFrame:
+    return keyed.where("same_as != doc_id").select(F.col("doc_id").alias("a"), F.col("same_as").alias("b"))
+
+
 def _ends(found: DataFrame) -> DataFrame:
     return found.where("linked").select(F.col("center").alias("a"), F.col("doc_id").alias("b"))
 

@@ -240,6 +240,37 @@ def test_allocation_moves_budgets(spark):
     assert ngram_join.allocate(hits.where("doc_id < 2"), 0, [200], 9, 10) == {}
 
 
+def crowd_rows(copies):
+    """Sets of words that share one segment of a band and nothing else, or near copies of one set; and near copies elsewhere."""
+    rng, bands = np.random.default_rng(12), ngram_join.Bands(4, 5)
+    words = [f"w{k}" for k in range(20_000)]
+    hashes = np.concatenate(ngram_join.gram_sets([w.encode() for w in words], 1))
+    band = bands.band(41)
+    segments = bands.differences(band) + 1
+    at = (ngram_join.mixed(hashes + np.uint64(band)) % np.uint64(segments)).astype(int)
+    shared, rest = [words[k] for k in np.flatnonzero(at == 0)[:4]], [words[k] for k in np.flatnonzero(at > 0)]
+    texts = [" ".join([*shared, *rest[38 * k : 38 * k + 38]]) for k in range(200)]
+    if copies:
+        texts = [texts[0].rsplit(" ", 1)[0] + f" y{k}" for k in range(200)]
+    for k in range(10):
+        own = [f"x{k}_{j}" for j in range(int(rng.integers(20, 90)))]
+        texts += [" ".join(own), " ".join([*own, "more"])]
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("copies", [False, True])
+def test_crowded_segment_loses_its_budget(spark, monkeypatch, copies):
+    """near_duplicates itself moves budgets where one segment's documents stay apart; near copies share all segments and keep them."""
+    taken, keyed_documents = [], ngram_join.keyed_documents
+    monkeypatch.setattr(ngram_join, "CHUNK", 4)
+    monkeypatch.setattr(ngram_join, "keyed_documents", lambda *args: taken.append(args[-1]) or keyed_documents(*args))
+    rows = crowd_rows(copies)
+    got = ngram_join.near_duplicates(table(spark, rows), 1, 4, 5)
+    assert sorted(tuple(r) for r in got.collect()) == brute_components(rows, 1, 4, 5)
+    assert [bool(budgets) for budgets in taken] == ([False] if copies else [False, True])
+    assert copies or any(0 in x and 2 in x for x in taken[1].values())
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (200, 201), (201, 200), (None, 3)]
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
