@@ -522,13 +522,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
     doc_id has none either. Rows that repeat a doc_id share its component.
     """
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
+    if _repeats(docs):
+        return _by_rows(docs, width, num, den)
     keyed, hits, n_keys = _shared(docs, width, num, den, {})
     largest = keyed.agg(F.max("n")).head()[0]
     # What crowded keys cost at most; what they really cost shows after the first links.
     budgets = allocate(hits, n_keys, [largest] if largest else [], num, den)
     texts, marks = docs, keyed
-    if _repeats(keyed):
-        texts, marks = (df.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]) for df in (docs, keyed))
     # First every document meets the smallest of its centers, then those centers that are still apart from it.
     edges = staged(hits.where("doc_id != center").groupBy("doc_id").agg(F.min("center").alias("center")).select("center", "doc_id"), "first-centers")
     first = staged(star_links(staged(possible(edges, marks, num, den), "star-edges"), texts, width, num, den), "star-links")
@@ -575,6 +575,18 @@ def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
     return connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
 
 
-def _repeats(keyed: DataFrame) -> bool:
+def _repeats(docs: DataFrame) -> bool:
     """Whether a doc_id occurs more than once."""
-    return bool(keyed.groupBy("doc_id").count().where("count > 1").head(1))
+    return bool(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").head(1))
+
+
+def _by_rows(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """near_duplicates where doc_ids repeat: every row links by its own text under an id of its own, then the rows of a doc_id join."""
+    row_id = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
+    rows = staged(docs.withColumn("row_id", row_id), "text-rows")
+    found = near_duplicates(rows.select(F.col("row_id").alias("doc_id"), "text"), width, num, den).withColumnRenamed("doc_id", "row_id")
+    found = staged(found.join(rows.select("row_id", "doc_id"), "row_id", "left"), "row-components")
+    firsts = found.where(F.col("doc_id").isNotNull()).groupBy("component_id").agg(F.min("doc_id").alias("b"))
+    parts = connected_components(found.join(firsts, "component_id").select(F.col("doc_id").alias("a"), "b").distinct())
+    out = found.select("doc_id", "n_shingles").join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -199,6 +199,14 @@ def test_row_without_id_before_its_copies(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, -1), (1, 1), (2, 1), (3, 1), (4, 4)]
 
 
+def test_every_text_of_a_repeated_id_links(spark):
+    a, b = "a b c d e f g h i j", "k l m n o p q r s t"
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, a), (5, "u v w"), (5, "u v w"), (None, a), (None, b), (6, "z z z")]
+    got = ngram_join.near_duplicates(table(spark, rows), 1, 4, 5).collect()
+    want = [(-1, -1), (-1, -1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (5, 5), (6, 6)]
+    assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == want
+
+
 def test_budgets_keep_every_link():
     """With any budgets that sum to the differences plus one, linked sets share a key."""
     rng = np.random.default_rng(0)
