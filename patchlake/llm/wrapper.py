@@ -215,20 +215,23 @@ def extract(pages: DataFrame) -> DataFrame:
 
     exploded = laid.select("host", "skeleton", "longest", F.explode("blocks").alias("b")).join(few, ["host", "skeleton"])
     at = F.get("nodes", F.col("b.node")).alias("at")
-    texts = exploded.select("host", at, "longest", "b.main", "b.links", F.unhex(F.md5("b.text")).alias("digest"), F.length("b.text").alias("chars"))
-    # One row per text at a node and page that differs: copies of a page count once.
-    seen = texts.groupBy("host", "at", "digest", "main", "longest").agg(F.first("chars").alias("chars"), F.first("links").alias("links"))
-    counts = staged(seen.groupBy("host", "at", "digest", "main").agg(F.count("*").alias("n"), F.first("chars").alias("chars"), F.first("links").alias("links")), "text-counts")
-    # Pages that have the node: texts of a node are few in a page, so a text's share of them is compared with the
-    # different pages, which one more aggregate counts without gathering them.
-    holders = texts.groupBy("host", "at", "longest").agg(F.lit(1).alias("one")).groupBy("host", "at").agg(F.sum("one").alias("pages"))
-    judged = counts.join(holders, ["host", "at"])
+    texts = exploded.select("host", at, F.xxhash64("longest").alias("page"), "b.main", "b.links", "b.text")
+    texts = texts.select("host", "at", "page", "main", "links", F.unhex(F.md5("text")).alias("digest"), F.length("text").alias("chars"))
+    # Copies of a page count once: first one row per text at a node and page that differs, then the pages of each text.
+    seen = texts.groupBy("host", "at", "digest", "main", "page").agg(F.count("*").alias("rows"), F.first("chars").alias("chars"), F.sum("links").alias("links"))
+    per_text = seen.groupBy("host", "at", "digest", "main")
+    counts = per_text.agg(F.count("*").alias("n"), F.sum(F.col("chars") * F.col("rows")).alias("chars"), F.sum("links").alias("links"))
+    frequent = staged(counts.where(F.col("n") >= PAGES), "frequent-texts")
+    holders = texts.groupBy("host", "at", "page").agg(F.lit(1).alias("one")).groupBy("host", "at").agg(F.sum("one").alias("pages"))
     often = F.when(F.col("main"), (F.col("n") >= MAIN_PAGES) & (F.col("n") >= MAIN_SHARE * F.col("pages")))
-    judged = staged(judged.withColumn("template", often.otherwise((F.col("n") >= PAGES) & (F.col("n") >= SHARE * F.col("pages")))), "text-judged")
-    varying = judged.where(~F.col("template")).groupBy("host", "at")
-    weights = varying.agg(F.sum(F.col("chars") * F.col("n")).alias("chars"), F.sum(F.col("links").cast("long") * F.col("n")).alias("links"))
+    often = often.otherwise(F.col("n") >= SHARE * F.col("pages"))
+    template = staged(frequent.join(holders, ["host", "at"]).where(often), "template-texts")
+    # Varying text is all text without the template.
+    less = template.select("host", "at", (-F.col("chars")).alias("chars"), (-F.col("links")).alias("links"))
+    varying = texts.select("host", "at", F.col("chars").cast("long"), F.col("links").cast("long")).unionByName(less)
+    weights = varying.groupBy("host", "at").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"))
     decided = staged(_decided(aligned, weights), "content-nodes")
-    template = judged.where("template").select("host", "at", "digest").distinct()
+    template = template.select("host", "at", "digest").distinct()
     placed = aligned.select("host", "skeleton", F.posexplode("nodes").alias("node", "at")).join(broadcast_if_small(template), ["host", "at"])
     # A page has few texts that stand in most pages, and so has a skeleton.
     dropped = placed.groupBy("host", "skeleton").agg(F.collect_set(F.struct("node", F.lower(F.hex("digest")).alias("digest"))).alias("dropped"))
