@@ -64,8 +64,7 @@ PASS = """(coalesce(q.qmodule,'')='' OR coalesce(c.module=q.qmodule, false)) AND
 
 EXACT = f"""exact AS (SELECT query_id, sha, row_number() OVER (PARTITION BY query_id
   ORDER BY authored_at DESC NULLS FIRST, sha) - 1 AS rank
- FROM q JOIN corpus c ON c.doc_text ILIKE '%'||replace(replace(replace(q.query,'\\','\\\\'),'%','\\%'),'_','\\_')||'%' ESCAPE '\\'
-  AND {PASS} QUALIFY rank < 50)"""
+ FROM q JOIN corpus c ON contains(lower(c.doc_text), lower(q.query)) AND {PASS} QUALIFY rank < 50)"""
 
 
 @query(f"WITH {CORPUS}, {Q}, {EXACT} SELECT query_id, CAST(rank AS INTEGER) AS rank, sha FROM exact")
@@ -74,6 +73,17 @@ def literal_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", "rank", "sha")
 
 
+@query(f"WITH {CORPUS}, {Q}, {EXACT} SELECT query_id, CAST(rank AS INTEGER) AS rank, sha FROM exact")
+def literal_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over a stored corpus: candidates by its trigram index, made in two parts."""
+    corpus, docs = Corpus(spark, work_path(spark, "corpus"), sharded=False), views.spark_corpus(spark, sf_dir)
+    for half in (F.col("sha") < "8", F.col("sha") >= "8"):
+        corpus.commits.append(docs.where(half))
+        corpus.index_texts()
+    hits = literal.literal_search(corpus.commits.read(), spark_queries(spark), index=corpus.search_grams())
+    return hits.select("query_id", "rank", "sha")
+
+
 @query(
     f"""WITH w AS (SELECT unnest(string_split(text, ' ')) AS word FROM documents
  UNION ALL SELECT unnest(string_split(text, ' ')) FROM conversations)

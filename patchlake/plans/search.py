@@ -45,6 +45,7 @@ def hybrid_rank(
     rrf_k: int = fusion.RRF_K,
     key: str = "sha",
     vectors: DataFrame | None = None,
+    grams: DataFrame | None = None,
 ) -> DataFrame:
     """(query_id, rank, key, score): literal + full-text for identifiers, dense + full-text else.
 
@@ -53,7 +54,8 @@ def hybrid_rank(
     first in recency order; the rest follows by fused rank. Every branch applies
     the filters before its own cut. `vectors` names a table of its own for the
     dense branch (key, embedding, modules, tag, source), so that texts and
-    vectors need not be joined; by default `docs` has them.
+    vectors need not be joined; by default `docs` has them. `grams` names a
+    trigram index of the documents, so that literal queries read candidates only.
     """
     keep = list(lexical.DOC_FIELDS) if set(filters.FIELDS) & set(queries.columns) else []
 
@@ -63,7 +65,7 @@ def hybrid_rank(
         tokens = lexical.candidate_token_rows(docs, text, terms, key, *keep)
         lists = union_all(
             [
-                _as_list(literal.literal_search(docs, block.where(is_identifier), pool, key), EXACT, key),
+                _as_list(literal.literal_search(docs, block.where(is_identifier), pool, key, grams), EXACT, key),
                 _as_list(dense.dense_search(docs if vectors is None else vectors, block.where(~is_identifier), pool, key), SEMANTIC, key),
                 _as_list(lexical.fulltext_search(tokens, block, pool, key, terms), LEXICAL, key),
             ]

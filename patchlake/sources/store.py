@@ -20,11 +20,26 @@ from patchlake.session import drop_path, staged_once
 
 # Fixed value: 256 shards of hexadecimal ids.
 SHARD_CHARS = 2
+# Values of a list that a scan tests against the statistics of its row groups and pages.
+MAX_PUSHED = 10_000
+# Bytes of a row group and of a page of a clustered table: a scan skips these units.
+ROW_GROUP, PAGE = 8 << 20, 128 << 10
+
+
+def where_in(df: DataFrame, column: str, values: list) -> DataFrame:
+    """Rows whose column is one of at most MAX_PUSHED values; the whole list reaches the scan, so that row groups
+    and pages of a clustered table without any of them stay unread."""
+    if len(values) > MAX_PUSHED:
+        raise ValueError(f"more than {MAX_PUSHED} values")
+    df.sparkSession.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", str(MAX_PUSHED))
+    return df.where(F.col(column).isin(values))
 
 
 class Table:
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, by: tuple[str, ...] = ()):
-        self.spark, self.path, self.schema, self.by = spark, path.rstrip("/"), schema, by
+    """With `cluster`, the rows of every file lie sorted by these columns, in small row groups."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, by: tuple[str, ...] = (), cluster: tuple[str, ...] = ()):
+        self.spark, self.path, self.schema, self.by, self.cluster = spark, path.rstrip("/"), schema, by, cluster
 
     def _versions(self) -> list[int]:
         jvm = self.spark.sparkContext._jvm
@@ -59,7 +74,11 @@ class Table:
                 rows = rows.withColumn(field.name, F.lit(None).cast(field.dataType))
         # Rebalancing splits a hot partition over several tasks and files.
         placed = rows.select(*self._stored_schema.fieldNames()).hint("rebalance", *[F.col(c) for c in by])
+        if self.cluster:
+            placed = placed.sortWithinPartitions(*by, *self.cluster)
         writer = placed.write.mode("overwrite").option("partitionOverwriteMode", mode)
+        if self.cluster:
+            writer = writer.option("parquet.block.size", ROW_GROUP).option("parquet.page.size", PAGE)
         writer.partitionBy(*by).parquet(self._folder(version))
 
     def next_batch(self) -> int:
