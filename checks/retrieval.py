@@ -130,10 +130,8 @@ PHRASE_ROWS = [
 def _match(spark: SparkSession, sf_dir: str, rows: list) -> DataFrame:
     numbers = [(name, pa.int32()) for name in ("query_id", "clause_id", "elem_id", "offset")]
     fields = [*numbers, ("term", pa.string()), ("negated", pa.bool_())]
-    terms = lexical.with_sizes(spark.createDataFrame(arrow_rows(rows, fields)))
     text = X.search_text(F.col("subject"), F.col("body"), F.col("diff_text"))
-    docs = views.spark_corpus(spark, sf_dir)
-    return lexical.match(lexical.candidate_token_rows(docs, text, terms, "sha"), terms)
+    return lexical.match(views.spark_corpus(spark, sf_dir), text, spark.createDataFrame(arrow_rows(rows, fields)))
 
 
 def _match_sql(rows: list) -> str:
@@ -194,12 +192,8 @@ lex AS (SELECT query_id, sha, score, row_number() OVER (PARTITION BY query_id OR
 
 @query(f"WITH {CORPUS}, {TOKENS}, {Q}, {LEX} SELECT query_id, CAST(rank AS INTEGER) AS rank, sha, round(score, 6) AS score FROM lex")
 def fts_cover_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = spark_queries(spark)
-    terms = lexical.query_terms(queries)
     text = X.search_text(F.col("subject"), F.col("body"), F.col("diff_text"))
-    docs = views.spark_corpus(spark, sf_dir)
-    tokens = lexical.candidate_token_rows(docs, text, terms, "sha", *lexical.DOC_FIELDS)
-    hits = lexical.fulltext_search(tokens, queries, terms=terms)
+    hits = lexical.fulltext_search(views.spark_corpus(spark, sf_dir), text, spark_queries(spark))
     return hits.select("query_id", "rank", "sha", F.round("score", 6).alias("score"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from patchlake.functions import text as X
 from patchlake.functions.bounds import query_blocks, union_all
-from patchlake.operators import dense, filters, fusion, lexical, literal
+from patchlake.operators import dense, fusion, lexical, literal
 
 POOL, DEFAULT_K = 50, 10
 # Lists of the hybrid system, in the order fusion reads them.
@@ -57,17 +57,14 @@ def hybrid_rank(
     vectors need not be joined; by default `docs` has them. `grams` names a
     trigram index of the documents, so that literal queries read candidates only.
     """
-    keep = list(lexical.DOC_FIELDS) if set(filters.FIELDS) & set(queries.columns) else []
 
     def block_rank(block: DataFrame) -> DataFrame:
         is_identifier = X.looks_like_identifier(F.col("query"))
-        terms, text = lexical.query_terms(block), _fulltext_column()
-        tokens = lexical.candidate_token_rows(docs, text, terms, key, *keep)
         lists = union_all(
             [
                 _as_list(literal.literal_search(docs, block.where(is_identifier), pool, key, grams), EXACT, key),
                 _as_list(dense.dense_search(docs if vectors is None else vectors, block.where(~is_identifier), pool, key), SEMANTIC, key),
-                _as_list(lexical.fulltext_search(tokens, block, pool, key, terms), LEXICAL, key),
+                _as_list(lexical.fulltext_search(docs, _fulltext_column(), block, pool, key), LEXICAL, key),
             ]
         )
         return _cut(fusion.pinned_top_k(lists, EXACT, _depth(queries, k), rrf_k, key), block, k)

@@ -107,15 +107,15 @@ def tokenize(text):
     return [t for t in re.split(r"[^a-z0-9]+", text.lower()) if t]
 
 
-def test_fulltext_rank(spark, docs, rows):
-    terms = lexical.query_terms(queries_df(spark))
+@pytest.mark.parametrize("block", [100_000, 3])
+def test_fulltext_rank(spark, docs, rows, monkeypatch, block):
+    monkeypatch.setattr(lexical, "MAX_BROADCAST_ROWS", block)
     text = F.concat_ws(" ", "subject", "diff_text")
-    tokens = lexical.token_rows(docs, text, "sha", *lexical.DOC_FIELDS)
-    got = ranked(lexical.fulltext_search(tokens, queries_df(spark), pool=7), "score")
-    prefiltered = lexical.candidate_token_rows(docs, text, terms, "sha", *lexical.DOC_FIELDS)
-    assert prefiltered.count() < tokens.count()
-    assert ranked(lexical.fulltext_search(prefiltered, queries_df(spark), pool=7), "score") == got
-    assert lexical.candidate_token_rows(docs, text, terms, "sha", max_clauses=1).count() == tokens.count()
+    found = lexical.fulltext_search(docs, text, queries_df(spark), pool=7)
+    got = ranked(found, "score")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("Initial Plan")[0]
+    assert plan.count("hashpartitioning(") == plan.count("hashpartitioning(query_id") == 1 and "WindowGroupLimit" in plan and "Join" not in plan
     for query_id, query, *filters in QUERIES:
         elements = list(dict.fromkeys(tuple(tokenize(w)) for w in query.split() if tokenize(w)))
         want = []
@@ -132,17 +132,26 @@ def test_clauses_phrases_and_negation(spark, docs, rows):
     spec = [
         (0, 0, 0, 0, "the", False), (0, 0, 0, 1, "alpha", False), (0, 0, 1, 0, "delta", True),
         (1, 0, 0, 0, "gamma", False), (1, 1, 0, 0, "delta", False), (1, 1, 1, 0, "of", True), (1, 1, 1, 1, "the", True),
-        (2, 0, 0, 0, "the", False), (2, 0, 0, 1, "the", False),
+        (2, 0, 0, 0, "the", False), (2, 0, 0, 1, "the", False), (3, 0, 0, 0, "the", True),
     ]
     terms = spark.createDataFrame(spec, "query_id int, clause_id int, elem_id int, offset int, term string, negated boolean")
-    tokens = lexical.token_rows(docs, F.col("diff_text"), "sha")
     got = {}
-    for r in lexical.match(tokens, lexical.with_sizes(terms)).collect():
+    for r in lexical.match(docs, F.col("diff_text"), terms).collect():
         got.setdefault(r.query_id, set()).add(r.sha)
     padded = {r[0]: " " + " ".join(tokenize(r[5])) + " " for r in rows}
     assert got[0] == {s for s, t in padded.items() if " the alpha " in t and " delta " not in t}
     assert got[1] == {s for s, t in padded.items() if " gamma " in t or (" delta " in t and " of the " not in t)}
     assert got[2] == {s for s, t in padded.items() if " the the " in t}
+    assert 3 not in got  # nothing but a negated element
+
+
+def test_many_clauses_take_the_same_plan(spark, docs, rows):
+    """200 alternatives of one query."""
+    spec = [(0, i, 0, 0, "alpha" if i == 150 else f"absent{i}", False) for i in range(200)]
+    terms = spark.createDataFrame(spec, "query_id int, clause_id int, elem_id int, offset int, term string, negated boolean")
+    found = lexical.match(docs, F.col("diff_text"), terms)
+    assert {r.sha for r in found.collect()} == {r[0] for r in rows if "alpha" in tokenize(r[5])}
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
 
 
 def test_bm25(spark, docs, rows):
@@ -265,8 +274,7 @@ def test_hybrid_routes(spark, docs, rows):
     split = search.hybrid_rank(docs.drop("embedding"), k_queries, pool=50, vectors=vectors)
     assert ranked(split) == got
     # A plain question fuses the dense and the full-text list.
-    tokens = lexical.token_rows(docs, search._fulltext_column(), "sha", *lexical.DOC_FIELDS)
-    lex = ranked(lexical.fulltext_search(tokens, queries))
+    lex = ranked(lexical.fulltext_search(docs, search._fulltext_column(), queries))
     sem = ranked(dense.dense_search(docs, queries))
     for query_id in (1, 3):
         scores, seen = Counter(), {}
