@@ -9,7 +9,7 @@ from checks import views
 from checks.curation import CURATED, CURATED_COLUMNS, RULES, curated_columns, written_log
 from checks.registry import iso, query
 from patchlake.functions import text as X
-from patchlake.operators import embed, maintain
+from patchlake.operators import block_index, embed, maintain
 from patchlake.plans.jobs import Corpus
 from patchlake.session import work_path
 from patchlake.sources import changelog
@@ -188,7 +188,50 @@ def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus.vectors.append(docs.where("embedding IS NOT NULL").select("sha", "embedding"))
     corpus.load(recreate=True)
     corpus.load()
-    return corpus.postings.read().select("sha", "term", "tf", F.round("weight", 6).alias("weight"))
+    rows = block_index.posting_rows(corpus.search_postings().index)
+    return rows.select("sha", "term", "tf", F.round("weight", 6).alias("weight"))
+
+
+INDEXED = f"""{CORPUS}, tok AS (SELECT sha, unnest(list_filter(regexp_split_to_array(lower(doc_text), '[^\\p{{L}}\\p{{N}}]+'),
+  lambda x: x <> '')) AS term FROM corpus WHERE embedding IS NOT NULL), tf AS (SELECT sha, term, count(*) AS tf FROM tok GROUP BY ALL)"""
+
+
+@query(
+    f"""WITH {INDEXED} SELECT c.sha, 1::BIGINT AS points, coalesce(t.n, 0) AS terms, coalesce(t.tokens, 0)::BIGINT AS tokens FROM corpus c
+ LEFT JOIN (SELECT sha, count(*) AS n, sum(tf) AS tokens FROM tf GROUP BY sha) t USING (sha) WHERE embedding IS NOT NULL"""
+)
+def load_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A load that fails between postings and points, then another: every point has its postings, once."""
+    corpus = Corpus(spark, work_path(spark, "corpus"), sharded=False)
+    docs = views.spark_corpus(spark, sf_dir)
+    corpus.commits.append(docs)
+    vectors = docs.where("embedding IS NOT NULL").select("sha", "embedding")
+    corpus.vectors.append(vectors.where(F.col("sha") < "8"))
+    stored, corpus.points = corpus.points, _Failing(corpus.points)
+    try:
+        corpus.load()
+    except RuntimeError:
+        pass
+    corpus.points = stored
+    corpus.vectors.append(vectors.where(F.col("sha") >= "8"))
+    corpus.load()
+    terms = block_index.posting_rows(corpus.search_postings().index).groupBy("sha").agg(F.count("*").alias("terms"), F.sum("tf").alias("tokens"))
+    points = corpus.points.read().groupBy(F.col("payload.sha").alias("sha")).agg(F.count("*").alias("points"))
+    none = F.lit(0).cast("long")
+    return points.join(terms, "sha", "left").select("sha", "points", F.coalesce("terms", none).alias("terms"), F.coalesce("tokens", none).alias("tokens"))
+
+
+class _Failing:
+    """A table whose next append fails."""
+
+    def __init__(self, table):
+        self._table = table
+
+    def __getattr__(self, name):
+        return getattr(self._table, name)
+
+    def append(self, *args, **options):
+        raise RuntimeError("no space")
 
 
 @query(
@@ -235,7 +278,7 @@ def incremental_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     for source in ("community", "enterprise"):
         corpus.load(source)
     points = corpus.points.read().groupBy(F.col("payload.sha").alias("sha")).agg(F.count("*").alias("points"))
-    terms = corpus.postings.read().groupBy("sha").agg(F.count("*").alias("terms"))
+    terms = block_index.posting_rows(corpus.search_postings().index).groupBy("sha").agg(F.count("*").alias("terms"))
     return curated_columns(corpus.commits.read()).join(points, "sha", "left").join(terms, "sha", "left")
 
 

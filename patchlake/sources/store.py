@@ -86,10 +86,21 @@ class Table:
         last = self.read().agg(F.max("batch")).first()[0]
         return 0 if last is None else max(last, -1) + 1
 
-    def append(self, rows: DataFrame, replay: str | None = None) -> int:
-        """Add a batch and return its number; with a replay key a batch of that key is replaced."""
+    def batches(self) -> list[int]:
+        """Numbers of the batches that have rows."""
+        return sorted(r["batch"] for r in self.read().select("batch").distinct().collect())
+
+    def keep(self, numbers: list[int]) -> None:
+        """Removes all other batches; for tables that are partitioned by batch alone."""
+        if self.by:
+            raise ValueError("the table has other partition columns")
+        for batch in set(self.batches()) - set(numbers):
+            drop_path(self.spark, f"{self._folder(self._versions()[-1])}/batch={batch}")
+
+    def append(self, rows: DataFrame, replay: str | None = None, number: int | None = None) -> int:
+        """Add a batch and return its number; a batch of the same replay key, or of the number given, is replaced."""
         versions = self._versions()
-        batch = self.next_batch() if replay is None else replay_number(replay)
+        batch = number if number is not None else self.next_batch() if replay is None else replay_number(replay)
         rows = rows.withColumn("batch", F.lit(batch).cast("long"))
         # The first batch commits the version folder, later ones their partitions.
         if versions:

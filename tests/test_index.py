@@ -7,7 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from patchlake.operators import literal, trigrams
+from patchlake.operators import block_index, lexical, literal, trigrams
 from patchlake.plans.jobs import Corpus
 from patchlake.sources.store import MAX_PUSHED, where_in
 
@@ -101,3 +101,87 @@ def test_scan_reads_candidates_only(spark, tmp_path):
 def test_where_in_is_bounded(spark):
     with pytest.raises(ValueError):
         where_in(spark.range(3), "id", list(range(MAX_PUSHED + 1)))
+
+
+# ---- BM25 over blocks --------------------------------------------------------------
+
+
+def scored(df):
+    return sorted((r.query_id, r["rank"], r.sha, r.score) for r in df.select("query_id", "rank", "sha", "score").collect())
+
+
+@pytest.mark.parametrize(("block", "first"), [(256, 4), (8, 1)])
+def test_block_search(spark, monkeypatch, block, first):
+    """The same ranking as over the texts, whatever the blocks; ties, filters, queries without hits."""
+    monkeypatch.setattr(block_index, "BLOCK", block)
+    monkeypatch.setattr(block_index, "FIRST_BLOCKS", first)
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(f"{i:03d}", None if i % 50 == 0 else " ".join(rng.choices(words, weights=[1 / (1 + k) for k in range(30)], k=rng.randint(0, 30))), f"s{i % 3}", "FIX" if i % 2 else None) for i in range(400)]
+    rows += [(f"t{i:02d}", "tie w1", "s0", "FIX") for i in range(40)]
+    docs = spark.createDataFrame(rows, "sha string, doc_text string, source string, tag string").withColumn("modules", F.array("source")).repartition(3)
+    asked = [(0, "w1 w29", None, None, None), (1, "w0 w0 w2 w28", None, "FIX", ""), (2, "tie", "s0", None, None), (3, "", None, None, None), (4, "absent", None, None, None), (5, "w3", "none", None, None), (6, "W5,w6", None, None, "s1")]
+    queries = spark.createDataFrame(asked, "query_id int, query string, module string, tag string, source string")
+    index = block_index.block_rows(docs)
+    postings = block_index.Postings(index, block_index.frequencies(index))
+    assert scored(block_index.search(postings, queries, 7)) == scored(lexical.bm25_search(docs, queries, 7))
+    plain = queries.select("query_id", "query")
+    assert scored(block_index.search(postings, plain, 60)) == scored(lexical.bm25_search(docs, plain, 60))
+    assert block_index.search(postings, plain.where("false"), 5).count() == 0
+    want = lexical.postings(docs).select("sha", "term", "tf", F.round("weight", 9).alias("weight"))
+    got = block_index.posting_rows(index).select("sha", "term", "tf", F.round("weight", 9).alias("weight"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_blocks_below_the_bar_stay_unread(spark, tmp_path, monkeypatch):
+    """One block holds all good hits: the lists of the others aren't read; terms reach the scan."""
+    read = []
+    plain = block_index._scored
+
+    def counting(lists, directory, pairs, *rest):
+        read.append(pairs.count())
+        return plain(lists, directory, pairs, *rest)
+
+    monkeypatch.setattr(block_index, "_scored", counting)
+    monkeypatch.setattr(block_index, "BLOCK", 16)
+    monkeypatch.setattr(block_index, "FIRST_BLOCKS", 1)
+    corpus = Corpus(spark, str(tmp_path / "c"), sharded=False)
+    rows = [(f"{i:04d}", "good good good" if 100 <= i < 110 else "good " + "filler " * 200, "s") for i in range(800)]
+    corpus.commits.append(commits(spark, rows).coalesce(1).sortWithinPartitions("sha"))
+    corpus.vectors.append(corpus.commits.read().select("sha", F.array(F.lit(1.0).cast("float")).alias("embedding")))
+    corpus.load()
+    queries = spark.createDataFrame([(0, "good")], "query_id int, query string")
+    found = block_index.search(corpus.search_postings(), queries, 5)
+    assert scored(found) == scored(lexical.bm25_search(corpus.commits.read(), queries, 5))
+    blocks = corpus.postings.read().where("term = 'good'").count()
+    assert blocks >= 50 and read[0] == 1 and read[1] <= 2
+    index = corpus.search_postings().index
+    pushed = where_in(index, "term", ["good"])._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(term,good)" in pushed or "In(term" in pushed
+
+
+def test_load_that_fails(spark, tmp_path, monkeypatch):
+    corpus = Corpus(spark, str(tmp_path / "c"), sharded=False)
+    corpus.commits.append(commits(spark, texts(60)))
+    corpus.vectors.append(corpus.commits.read().select("sha", F.array(F.lit(1.0).cast("float")).alias("embedding")))
+
+    def fail(*args, **options):
+        raise RuntimeError
+
+    for step in ("terms", "points"):
+        with monkeypatch.context() as m:
+            m.setattr(getattr(corpus, step), "append", fail)
+            with pytest.raises(RuntimeError):
+                corpus.load()
+        assert corpus.points.read().count() == corpus.search_postings().index.count() == corpus.search_postings().terms.count() == 0
+    for _ in range(2):
+        corpus.load()
+        rows = block_index.posting_rows(corpus.search_postings().index)
+        assert sorted(map(str, rows.select("sha", "term").collect())) == sorted(map(str, lexical.postings(corpus.commits.read()).select("sha", "term").collect()))
+    with monkeypatch.context() as m:
+        m.setattr(corpus.points, "rewrite", fail)
+        with pytest.raises(RuntimeError):
+            corpus.load(recreate=True)
+    assert corpus.search_postings().terms.where("term = ''").agg(F.sum("n")).first()[0] == 60
+    corpus.load(recreate=True)
+    assert corpus.search_postings().terms.where("term = ''").agg(F.sum("n")).first()[0] == 60 and len(corpus.postings.batches()) == 1

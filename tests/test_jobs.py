@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from patchlake.functions.rules import Rules
-from patchlake.operators import embed, lookup
+from patchlake.operators import block_index, embed, lookup
 from patchlake.plans.jobs import Corpus
 from patchlake.plans.search import hybrid_rank
 from patchlake.sources import changelog
@@ -62,7 +62,8 @@ def test_resumed_build_and_search(spark, tmp_path):
     stored = corpus.commits.read()
     assert stored.count() == 40 and stored.where("body = 'changed'").count() == 10
     assert corpus.vectors.read().count() == corpus.points.read().count() == 40
-    assert corpus.postings.read().where("term = 'shared'").count() == 40
+    rows = block_index.posting_rows(corpus.search_postings().index)
+    assert rows.where("term = 'shared'").count() == 40
 
     queries = spark.createDataFrame([(0, f"token_{'0' * 4}"), (1, "shared")], "query_id int, query string")
     queries = embed.embed_queries(queries, EMBEDDER)
@@ -171,9 +172,13 @@ def test_nothing_is_overwritten(spark, tmp_path):
     assert corpus.vectors.read().count() == 30
     corpus.load("community")
     corpus.load("enterprise")
-    assert corpus.points.read().count() == corpus.postings.read().select("sha").distinct().count() == 30
+    rows = block_index.posting_rows(corpus.search_postings().index)
+    assert corpus.points.read().count() == rows.select("sha").distinct().count() == 30
     corpus.load("enterprise", resume=False)
     assert corpus.points.read().count() == 30
+    assert corpus.postings.batches() == corpus.terms.batches() == corpus.points.batches() and len(corpus.points.batches()) == 1
+    again = block_index.posting_rows(corpus.search_postings().index)
+    assert sorted(map(str, again.collect())) == sorted(map(str, rows.collect()))
 
 
 def test_paid_texts(spark, tmp_path):

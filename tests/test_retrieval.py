@@ -304,16 +304,3 @@ def test_search_hits(spark, docs):
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "WindowGroupLimit" in plan
     assert {r.system for r in runs.select("system").distinct().collect()} == {"hybrid", "vector"}
     assert search.runs_of(queries).count() == 2 * len(QUERIES)
-
-
-def test_stored_postings_need_no_text(spark):
-    docs = spark.createDataFrame([(f"{i:02d}", f"w{i % 3} w{i % 5} shared", "m", "T", "s") for i in range(30)], "sha string, doc_text string, module string, tag string, source string")
-    docs = docs.withColumn("modules", F.array("module")).drop("module")
-    stored = lexical.postings(docs).withColumn("slot", lexical.term_slot(F.col("term")))
-    queries = spark.createDataFrame([(0, "w1 shared", None), (1, "w2 w4", "T"), (2, "w2", "other"), (3, "", None), (4, "absent", None)], "query_id int, query string, tag string")
-    near = lexical.postings_search(stored, docs.drop("doc_text"), queries, 5)
-    want = lexical.bm25_search(docs, queries, 5)
-    assert sorted(map(str, near.select("query_id", "rank", "sha", "score").collect())) == sorted(map(str, want.select("query_id", "rank", "sha", "score").collect()))
-    rows = spark.createDataFrame([("a", "w1", 1, 0.5, lexical.TERM_SLOTS)], "sha string, term string, tf int, weight double, slot string")
-    plan = lexical.postings_search(rows, docs.drop("doc_text"), queries, 5)._jdf.queryExecution().executedPlan().toString()
-    assert "split(" not in plan.split("Scan")[0] and "Cartesian" not in plan
