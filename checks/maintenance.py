@@ -317,6 +317,20 @@ def build_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.commits.read().select("sha", "source", "tag", "body", "n_files")
 
 
+@query(
+    f"""WITH {CURATED} SELECT sha, source, tag, CASE WHEN substr(sha,1,1) < '9' THEN body||' new' ELSE body END AS body, n_files FROM curated"""
+)
+def stream_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An older and a newer file with the same ids in one micro-batch: the newer copies win."""
+    corpus, parsed, root = Corpus(spark, work_path(spark, "corpus"), sharded=False), _parsed(spark, sf_dir), work_path(spark, "stream")
+    named = parsed.withColumn("author_name", F.col("source"))
+    changelog.write_log(named, f"{root}/log/a")
+    changelog.write_log(named.where(F.substring("sha", 1, 1) < "9").withColumn("body", F.concat("body", F.lit(" new"))), f"{root}/log/b")
+    commits = ingest.stream_commits(spark, f"{root}/log/*").withColumn("source", F.col("author_name"))
+    ingest.ingest(corpus, commits, RULES, None, f"{root}/checkpoint").awaitTermination()
+    return corpus.commits.read().select("sha", "source", "tag", "body", "n_files")
+
+
 @query(f"WITH commit_src AS ({views.COMMIT_SRC_DUCK}) SELECT sha, length(subject) AS n_chars FROM commit_src")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log that is read twice in one stream, in any order of dates: each commit once."""

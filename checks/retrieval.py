@@ -11,7 +11,7 @@ from checks.curation import CURATED, RULES
 from checks.maintenance import CORPUS
 from checks.registry import iso, query
 from patchlake.functions import text as X
-from patchlake.operators import dense, fusion, lexical, literal, lookup
+from patchlake.operators import cells, dense, fusion, lexical, literal, lookup
 from patchlake.operators.curate import curate
 from patchlake.plans import search
 from patchlake.plans.jobs import Corpus
@@ -238,6 +238,45 @@ def lsh_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
+N_CELLS, PROBES = 24, 8
+
+
+def _cells_sql(rounds: int = 8) -> str:
+    """K-means by unrolled rounds: sums of whole numbers, first centers by md5."""
+    unit = "list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))"
+    parts = [
+        "raw AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)",
+        f"unit AS MATERIALIZED (SELECT vec_id, u, list_transform(u, lambda x: round_even(x * 1048576, 0)) AS q FROM (SELECT vec_id, {unit} AS u FROM raw))",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) - 1 AS cell, u AS c FROM unit QUALIFY cell < {N_CELLS})",
+    ]
+    for k in range(rounds + 1):
+        assigned = f"(SELECT vec_id, arg_max(cell, (s, -cell)) AS cell FROM (SELECT vec_id, cell, list_dot_product(q, c) AS s FROM unit, c{k}) GROUP BY vec_id)"
+        if k == rounds:
+            parts.append(f"placed AS MATERIALIZED {assigned}")
+            break
+        sums = f"SELECT cell, i, sum(x) AS x FROM (SELECT cell, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM {assigned} JOIN unit USING (vec_id)) GROUP BY ALL"
+        lists = f"SELECT cell, list(x ORDER BY i) AS v FROM ({sums}) GROUP BY cell"
+        parts.append(f"c{k + 1} AS MATERIALIZED (SELECT c.cell, coalesce({unit}, c.c) AS c FROM c{k} c LEFT JOIN ({lists}) USING (cell))")
+    return ", ".join(parts) + f", centers AS (SELECT * FROM c{rounds})"
+
+
+@query(
+    f"""WITH {_cells_sql()}, {MEANS.replace("<vectors>", "embeddings")},
+probe AS (SELECT label, vector, cell FROM means, centers QUALIFY row_number() OVER (PARTITION BY label
+  ORDER BY round(list_dot_product(list_transform(vector, lambda x: x / sqrt(list_dot_product(vector, vector))), c), 9) DESC, cell) <= {PROBES}),
+s AS (SELECT label AS query_id, vec_id, round(list_cosine_similarity(u, vector), 9) AS score FROM probe JOIN placed USING (cell) JOIN unit USING (vec_id))
+SELECT query_id, vec_id, round(score, 6) AS score,
+ CAST(row_number() OVER (PARTITION BY query_id ORDER BY s.score DESC, vec_id) - 1 AS INTEGER) AS rank FROM s QUALIFY rank < 50"""
+)
+def cells_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate: the nearest to the mean of every label among the vectors in its eight nearest cells of 24."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    centers = cells.fit(vectors, N_CELLS, "vec_id")
+    stored = cells.Cells(staged(cells.placed(vectors, centers, "vec_id"), "cells"), centers, PROBES)
+    hits = cells.search(stored, dense.label_means(vectors), key="vec_id")
+    return hits.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
 # ---- BM25 ----------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from patchlake.functions import text as X
 from patchlake.functions.bounds import query_blocks, union_all
-from patchlake.operators import block_index, dense, fusion, lexical, literal
+from patchlake.operators import block_index, cells, dense, fusion, lexical, literal
 
 POOL, DEFAULT_K = 50, 10
 # Lists of the hybrid system, in the order fusion reads them.
@@ -82,10 +82,12 @@ def vector_rank(
     key: str = "sha",
     vectors: DataFrame | None = None,
     postings: block_index.Postings | None = None,
+    near: cells.Cells | None = None,
 ) -> DataFrame:
     """(query_id, rank, key, score): dense and BM25 pools merged by rank or by score.
 
     `vectors` (key, embedding, modules, tag, source) and `postings` name the stored index; then `docs` isn't read.
+    With `near` the dense pool is approximate and reads the probed cells only.
     """
     if postings is not None and vectors is None:
         raise ValueError("stored postings need the stored vectors beside them")
@@ -95,7 +97,8 @@ def vector_rank(
     def block_rank(block: DataFrame) -> DataFrame:
         embedded = (docs if vectors is None else vectors).where(F.col("embedding").isNotNull())
         words = lexical.bm25_search(embedded, block, pool, key) if postings is None else block_index.search(postings, block, pool, key)
-        lists = union_all([_as_list(dense.dense_search(embedded, block, pool, key), 0, key), _as_list(words, 1, key)])
+        found = dense.dense_search(embedded, block, pool, key) if near is None else cells.search(near, block, pool, key)
+        lists = union_all([_as_list(found, 0, key), _as_list(words, 1, key)])
         fused = fusion.rrf(lists, rrf_k, key) if fuse == "rrf" else fusion.dbsf(lists, key, pooled=True)
         return _cut(fusion.fused_top_k(fused, _depth(queries, k), key), block, k)
 

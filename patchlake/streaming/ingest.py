@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from patchlake.functions.rules import Rules
 from patchlake.operators import embed
 from patchlake.plans.jobs import Corpus
-from patchlake.sources.changelog import parse_records, stream_log
+from patchlake.sources.changelog import batch_arrival, parse_records, stream_log
 
 
 def stream_commits(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -41,11 +41,15 @@ def ingest(
 
     With `resume` stored ids are skipped and new rows appended; without it each
     batch is upserted, which repeats without effect because rows are keyed.
+    Copies of an id within a batch fold in order of arrival: by file name, then
+    by place in the file.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
         # The checkpoint is part of the key: a new one starts from 0 again and must not meet old batches.
         replay = f"{checkpoint}/{batch_id}"
+        if "arrival" in batch.columns:
+            batch = batch_arrival(batch)
         corpus.build(batch, rules, source, replay=replay, resume=resume)
         if embedder is not None:
             corpus.embed(embedder, replay=replay)

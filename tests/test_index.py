@@ -7,7 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from patchlake.operators import block_index, lexical, literal, trigrams
+from patchlake.operators import block_index, cells, dense, lexical, literal, trigrams
 from patchlake.plans.jobs import Corpus
 from patchlake.sources.store import MAX_PUSHED, where_in
 
@@ -185,3 +185,54 @@ def test_load_that_fails(spark, tmp_path, monkeypatch):
     assert corpus.search_postings().terms.where("term = ''").agg(F.sum("n")).first()[0] == 60
     corpus.load(recreate=True)
     assert corpus.search_postings().terms.where("term = ''").agg(F.sum("n")).first()[0] == 60 and len(corpus.postings.batches()) == 1
+
+
+# ---- cells ---------------------------------------------------------------------------
+
+
+def clustered(spark, n, k=12, seed=5):
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(k, 16))
+    rows = [(f"{i:04d}", (middle[i % k] + 0.4 * rng.normal(size=16)).tolist(), f"s{i % 2}") for i in range(n)]
+    rows += [("zero", [0.0] * 16, "s0"), ("none", None, "s0")]
+    return spark.createDataFrame(rows, "sha string, embedding array<float>, source string").withColumn("modules", F.array("source")).withColumn("tag", F.lit("T"))
+
+
+def test_cells(spark):
+    vectors = clustered(spark, 600)
+    centers = cells.fit(vectors, 12)
+    assert np.array_equal(centers, cells.fit(vectors.repartition(7), 12))  # however the rows are spread
+    stored = cells.placed(vectors, centers).cache()
+    assert stored.count() == 601 and [r.cell for r in stored.where("sha = 'zero'").collect()] == [cells.NOWHERE]
+    queries = vectors.where("sha < '0040'").selectExpr("sha AS query_id", "embedding AS vector", "if(sha < '0010', 's1', null) AS source")
+    probes = cells.measured_probes(stored, centers, queries, 10, 0.9)
+    assert probes < 6
+    exact = {(r.query_id, r.sha): r.score for r in dense.dense_search(vectors, queries, 10).collect()}
+    near = {(r.query_id, r.sha): r.score for r in cells.search(cells.Cells(stored, centers, probes), queries, 10).collect()}
+    hits = set(exact) & set(near)
+    assert len(hits) >= 0.85 * len(exact) and all(exact[x] == pytest.approx(near[x], abs=1e-8) for x in hits)
+    assert all(int(sha) % 2 for query, sha in near if query < "0010" and sha != "zero")
+    every = {(r.query_id, r.sha) for r in cells.search(cells.Cells(stored, centers, 12), queries, 10).collect()}
+    assert every == set(exact)
+    assert cells.fit(vectors.where("false"), 5).shape[0] == 0
+    assert cells.search(cells.Cells(stored, np.zeros((0, 1)), 0), queries, 10).count() == 0
+
+
+def test_only_probed_cells_are_read(spark, tmp_path):
+    corpus = Corpus(spark, str(tmp_path / "c"), sharded=False)
+    vectors = clustered(spark, 600)
+    corpus.commits.append(vectors.select("sha", "source", "modules", "tag", F.lit("text").alias("doc_text")))
+    corpus.vectors.append(vectors.where("embedding IS NOT NULL AND sha < '0500'").select("sha", "embedding"))
+    corpus.load()
+    corpus.index_vectors(12)
+    corpus.vectors.append(vectors.where("embedding IS NOT NULL AND sha >= '0500'").select("sha", "embedding"))
+    corpus.load()
+    probes = corpus.index_vectors()
+    near = corpus.search_cells()
+    assert near.probes == probes < 6 and near.vectors.count() == 601
+    queries = vectors.where("sha = '0007'").selectExpr("0 AS query_id", "embedding AS vector")
+    found = cells.search(near, queries, 10)
+    want = [r.sha for r in dense.dense_search(vectors, queries, 10).collect()]
+    assert len(set(want) & {r.sha for r in found.collect()}) >= 8
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "cell#" in plan.split("PartitionFilters: [")[1].split("]")[0]
