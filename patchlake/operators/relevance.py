@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 
 from patchlake.functions.bounds import settled_if_small
 from patchlake.operators.ranking import top_k
+from patchlake.session import staged
+
+
+# A median is read off a list of at most so many rows; ranges are cut at so many quantiles.
+FEW_VALUES, QUANTILES = 10_000, 1_024
 
 
 # ---- metrics ----------------------------------------------------------------
@@ -66,22 +71,54 @@ def system_metrics(per_query: DataFrame) -> DataFrame:
 def upper_median(df: DataFrame, value: str, *by: str) -> DataFrame:
     """Element n // 2 of the sorted values of each group, exactly.
 
-    Approximate percentiles, exact to one rank in 10,000, bracket the wanted
-    rank; only the values inside, a two-thousandth of the group folded to one row
-    per distinct value, are ordered in one task.
+    Each round is one pass that counts, in every task, the values below and inside a range of the group and
+    sketches those inside; the next range lies between the sketched quantiles around the wanted rank. When no
+    range holds more than FEW_VALUES rows, or only one value, what is left is folded to a row per value and
+    summed up. A range that missed the rank, which the counts show, is replaced by the side that holds it.
     """
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"))
-    bracket = rows.groupBy(*by).agg(
-        F.count("*").alias("n"),
-        F.percentile_approx("v", F.lit(0.4997), F.lit(10_000)).alias("low"),
-        F.percentile_approx("v", F.lit(0.5002), F.lit(10_000)).alias("high"),
-    )
-    # NULL marks the rows below the bracket: they are only counted.
-    near = rows.join(settled_if_small(bracket), list(by)).where(F.col("v") <= F.col("high"))
+    cuts = F.array(*[F.lit(i / QUANTILES) for i in range(QUANTILES + 1)])
+
+    def sketch(values: Column) -> list[Column]:
+        return [F.percentile_approx(values, cuts, F.lit(16 * QUANTILES)).alias("q"), F.min(values).alias("first"), F.max(values).alias("last")]
+
+    # Before the first round a range is the whole group.
+    start = rows.groupBy(*by).agg(F.count("*").alias("inside"), *sketch(F.col("v")))
+    state = start.withColumn("below", F.lit(0).cast("long")).withColumn("wanted", F.floor(F.col("inside") / 2))
+    state = staged(state.withColumn("low", F.col("first")).withColumn("high", F.col("last")), "median")
+    while state.where((F.col("inside") > FEW_VALUES) & (F.col("low") < F.col("high"))).head(1):
+        place = (F.col("wanted") - F.col("below")) / F.col("inside") * QUANTILES
+        around = [F.greatest(F.floor(place).cast("int") - 1, F.lit(0)), F.least(F.ceil(place).cast("int") + 1, F.lit(QUANTILES))]
+        done = (F.col("inside") <= FEW_VALUES) | (F.col("low") == F.col("high"))
+        # Without a sketch, after a miss, the range itself is sketched.
+        low = F.when(done, F.col("low")).otherwise(F.coalesce(F.get("q", around[0]), F.col("low")))
+        high = F.when(done, F.col("high")).otherwise(F.coalesce(F.get("q", around[1]), F.col("high")))
+        ranges = state.select(*by, "wanted", low.alias("low"), high.alias("high"), F.col("low").alias("from"), F.col("high").alias("to"))
+        near = rows.join(settled_if_small(ranges), list(by)).where(F.col("v") <= F.col("to"))
+        within = F.col("v").between(F.col("low"), F.col("high"))
+        counted = near.groupBy(*by, "wanted", "low", "high", "from", "to").agg(
+            F.count_if(F.col("v") < F.col("low")).alias("below"),
+            F.count_if(within).alias("inside"),
+            *sketch(F.when(within, F.col("v"))),
+        )
+        missed_low, missed_high = F.col("wanted") < F.col("below"), F.col("wanted") >= F.col("below") + F.col("inside")
+        missed = missed_low | missed_high
+        state = staged(
+            counted.select(
+                *by, "wanted", "below",
+                F.when(~missed, F.col("q")).alias("q"),
+                F.when(missed, F.lit(2**62)).otherwise(F.col("inside")).alias("inside"),
+                F.when(missed_low, F.col("from")).when(missed_high, F.col("high")).otherwise(F.col("first")).alias("low"),
+                F.when(missed_low, F.col("low")).when(missed_high, F.col("to")).otherwise(F.col("last")).alias("high"),
+            ),
+            "median",
+        )
+    near = rows.join(settled_if_small(state.select(*by, "wanted", "low", "high")), list(by)).where(F.col("v") <= F.col("high"))
+    # NULL marks the rows below the range: they are only counted.
     inside = F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v")
-    counts = near.groupBy(*by, "n", inside).agg(F.count("*").alias("c"))
+    counts = near.groupBy(*by, "wanted", inside).agg(F.count("*").alias("c"))
     upto = F.sum("c").over(W.partitionBy(*by).orderBy(F.asc_nulls_first("v")))
-    reached = counts.withColumn("upto", upto).where((F.col("upto") > F.floor(F.col("n") / 2)) & F.col("v").isNotNull())
+    reached = counts.withColumn("upto", upto).where((F.col("upto") > F.col("wanted")) & F.col("v").isNotNull())
     return reached.groupBy(*by).agg(F.min("v").alias(value))
 
 

@@ -46,6 +46,24 @@ def test_upper_median(spark, n):
     assert got == {"hot": sorted(values)[n // 2], "one": 7.0}
 
 
+@pytest.mark.parametrize("shape", ["even", "skewed", "hot", "negative"])
+def test_upper_median_in_rounds(spark, monkeypatch, shape):
+    """Many rounds over small ranges: extremes, a value that half of the rows hold, groups of different sizes."""
+    monkeypatch.setattr(relevance, "FEW_VALUES", 5)
+    monkeypatch.setattr(relevance, "QUANTILES", 8)
+    rng = random.Random(shape)
+    draw = {
+        "even": lambda: rng.random(),
+        "skewed": lambda: math.exp(rng.uniform(-600, 600)),
+        "hot": lambda: 1.0 if rng.random() < 0.6 else rng.random() * 2,
+        "negative": lambda: -math.exp(rng.gauss(0, 9)),
+    }[shape]
+    values = {f"g{n}": [draw() for _ in range(n)] for n in (1, 2, 7, 300, 3001)}
+    df = spark.createDataFrame([(g, v) for g, found in values.items() for v in found], "g string, v double")
+    got = {r.g: r.v for r in relevance.upper_median(df, "v", "g").collect()}
+    assert got == {g: sorted(found)[len(found) // 2] for g, found in values.items()}
+
+
 def test_pool(spark):
     rows = [("q", 0, i, s) for i, s in enumerate("cab")] + [("p", 0, i, s) for i, s in enumerate("xa")] + [("z", 0, 0, "n")]
     df = spark.createDataFrame(rows, "system string, query_id int, rank int, sha string")
