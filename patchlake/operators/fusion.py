@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from patchlake.functions.bounds import MAX_QUERY_BLOCK, settled
 from patchlake.functions.text import MAX_K
 from patchlake.operators.ranking import rounded, top_k
-from patchlake.sources.store import with_shard
+from patchlake.sources.store import MAX_PUSHED, where_in, with_shard
 
 # Rank constants of the two search systems.
 RRF_K = 60
@@ -65,8 +65,10 @@ def hydrate(ranked: DataFrame, docs: DataFrame, *columns: str, few: bool = False
     """Ranked keys with document columns; keys without a document drop out.
 
     With `few` the caller vouches for a bounded ranking (queries x k). It is
-    computed first and broadcast, and of a table laid out by shard only the
-    partitions that hold a hit are read. Else the two sides are shuffled.
+    computed first and broadcast. The keys, up to MAX_PUSHED of them, reach the
+    scan, which skips the pages of a clustered table that hold none; of a table
+    laid out by shard only the partitions that hold a hit are read. Else the two
+    sides are shuffled.
     """
     if not few:
         return docs.select(key, *columns).join(ranked, key)
@@ -74,4 +76,7 @@ def hydrate(ranked: DataFrame, docs: DataFrame, *columns: str, few: bool = False
     if "shard" in docs.columns:
         shards = with_shard(hits, key).select("shard").distinct().collect()
         docs = docs.where(F.col("shard").isin([r["shard"] for r in shards]))
+    keys = [r[0] for r in hits.select(key).distinct().collect()]
+    if len(keys) <= MAX_PUSHED:
+        docs = where_in(docs, key, keys)
     return docs.select(key, *columns).join(F.broadcast(hits), key)

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchlake.functions import text as X
 from patchlake.functions.bounds import is_small, settled
 from patchlake.operators.fusion import hydrate
-from patchlake.sources.store import SHARD_CHARS
+from patchlake.sources.store import MAX_PUSHED, SHARD_CHARS, pushed_lists
 
 # A full id, the default cut, the columns of a record.
 FULL_ID_CHARS = 40
 MAX_DIFF_CHARS = 24000
+# Prefixes that a scan tests one by one; beyond them only the shards of the requests are read.
+MAX_PREFIXES = 256
 RECORD = ("source", "tag", "subject", "body", "modules", "files", "n_files", "authored_at", "diff_text")
 
 
@@ -41,11 +45,18 @@ def lookup(
     lengths = asked.agg(F.collect_set("n")).scalar()
     part = F.when(F.col("n") == 0, F.col("sha")).otherwise(F.expr("left(sha, n)"))
     ids = commits
-    if small and "shard" in commits.columns:
-        # Requests that name a whole shard restrict the scan to it.
-        starts = [r[0] for r in asked.select(F.substring("part", 1, SHARD_CHARS)).distinct().collect()]
-        if all(len(start) == SHARD_CHARS for start in starts):
-            ids = commits.where(F.col("shard").isin(starts))
+    if small:
+        named = asked.select("part", "n").distinct().collect()
+        starts = {r["part"][:SHARD_CHARS] for r in named}
+        if "shard" in commits.columns and all(len(start) == SHARD_CHARS for start in starts):
+            # Requests that name a whole shard restrict the scan to it.
+            ids = commits.where(F.col("shard").isin(sorted(starts)))
+        whole, prefixes = [r["part"] for r in named if r["n"] == 0], [r["part"] for r in named if r["n"]]
+        if len(whole) <= MAX_PUSHED and len(prefixes) <= MAX_PREFIXES:
+            # Ids and prefixes reach the scan, which skips pages of a table clustered by id.
+            pushed_lists(commits.sparkSession)
+            fits = reduce(lambda a, b: a | b, [F.col("sha").startswith(p) for p in prefixes], F.col("sha").isin(whole) if whole else F.lit(False))
+            ids = ids.where(fits)
     parts = ids.select("sha", F.explode(lengths).alias("n")).select("sha", "n", part.alias("part"))
     found = parts.join(F.broadcast(asked) if small else asked, ["n", "part"])
     counted = found.groupBy("lookup_id").agg(F.count("*").alias("n_found"), F.min("sha").alias("sha"))

@@ -22,8 +22,13 @@ from patchlake.session import drop_path, staged_once
 SHARD_CHARS = 2
 # Values of a list that a scan tests against the statistics of its row groups and pages.
 MAX_PUSHED = 10_000
-# Bytes of a row group and of a page of a clustered table: a scan skips these units.
-ROW_GROUP, PAGE = 8 << 20, 128 << 10
+# Bytes of a row group, and bytes and rows of a page, of a clustered table: a scan skips these units.
+ROW_GROUP, PAGE, PAGE_ROWS = 8 << 20, 128 << 10, 256
+
+
+def pushed_lists(spark: SparkSession) -> None:
+    """Lets lists of up to MAX_PUSHED values reach the row groups and pages whole."""
+    spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", str(MAX_PUSHED))
 
 
 def where_in(df: DataFrame, column: str, values: list) -> DataFrame:
@@ -31,7 +36,7 @@ def where_in(df: DataFrame, column: str, values: list) -> DataFrame:
     and pages of a clustered table without any of them stay unread."""
     if len(values) > MAX_PUSHED:
         raise ValueError(f"more than {MAX_PUSHED} values")
-    df.sparkSession.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", str(MAX_PUSHED))
+    pushed_lists(df.sparkSession)
     return df.where(F.col(column).isin(values))
 
 
@@ -78,7 +83,7 @@ class Table:
             placed = placed.sortWithinPartitions(*by, *self.cluster)
         writer = placed.write.mode("overwrite").option("partitionOverwriteMode", mode)
         if self.cluster:
-            writer = writer.option("parquet.block.size", ROW_GROUP).option("parquet.page.size", PAGE)
+            writer = writer.option("parquet.block.size", ROW_GROUP).option("parquet.page.size", PAGE).option("parquet.page.row.count.limit", PAGE_ROWS)
         writer.partitionBy(*by).parquet(self._folder(version))
 
     def next_batch(self) -> int:

@@ -7,7 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from patchlake.operators import block_index, cells, dense, lexical, literal, trigrams
+from patchlake.operators import block_index, cells, dense, fusion, lexical, literal, lookup, trigrams
 from patchlake.plans.jobs import Corpus
 from patchlake.sources.store import MAX_PUSHED, where_in
 
@@ -236,3 +236,46 @@ def test_only_probed_cells_are_read(spark, tmp_path):
     assert len(set(want) & {r.sha for r in found.collect()}) >= 8
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "cell#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+# ---- ids -----------------------------------------------------------------------------
+
+
+def scanned(df):
+    """Rows that the scans of a plan have returned."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves, total, waiting = [], 0, [plan.finalPhysicalPlan() if hasattr(plan, "finalPhysicalPlan") else plan]
+    while waiting:
+        node = waiting.pop()
+        name = node.getClass().getSimpleName()
+        if name.endswith("QueryStageExec"):
+            waiting.append(node.plan())
+        elif name == "AdaptiveSparkPlanExec":
+            waiting.append(node.executedPlan())
+        elif name == "FileSourceScanExec":
+            total += node.metrics().apply("numOutputRows").value()
+            leaves.append(name)
+        children = node.children()
+        waiting += [children.apply(i) for i in range(children.size())]
+    assert leaves
+    return total
+
+
+def test_ids_read_few_pages(spark, tmp_path):
+    """40 ids of 200,000 rows: a twentieth of the rows is read, by hydration and by lookup."""
+    corpus = Corpus(spark, str(tmp_path / "c"), sharded=False)
+    rows = spark.range(200_000).select(F.sha1(F.col("id").cast("string").cast("binary")).alias("sha"), F.lit("s").alias("source"), F.lit("x").alias("subject"), F.col("id").cast("string").alias("doc_text"))
+    corpus.commits.append(rows)
+    ids = [r.sha for r in rows.where("id % 5000 = 7").collect()]
+    wanted = spark.createDataFrame([(i, x) for i, x in enumerate(ids)], "query_id int, sha string")
+    got = fusion.hydrate(wanted, corpus.commits.read(), "doc_text", few=True)
+    assert sorted(r.sha for r in got.collect()) == sorted(ids)
+    assert scanned(got) <= 40 * 256 <= 200_000 / 19
+    links = dict(repo_by_source={}, default_repo="r", link_base="https://example.org")
+    asked = spark.createDataFrame([(i, x if i % 2 else x[:14]) for i, x in enumerate(ids)], "lookup_id int, sha string")
+    found = lookup.lookup(corpus.commits.read(), asked, **links)
+    assert sorted(r.sha for r in found.collect()) == sorted(ids)
+    pushed = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(sha" in pushed or "In(sha" in pushed
+    assert scanned(found) <= 40 * 256
