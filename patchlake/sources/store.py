@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from patchlake.functions.bounds import broadcast_if_small
 from patchlake.session import drop_path, staged_once
 
 # Fixed value: 256 shards of hexadecimal ids.
@@ -119,22 +120,6 @@ class Table:
         rows = self.read()
         return rows if replay is None else rows.where(F.col("batch") != replay_number(replay))
 
-    def replace(self, rows: DataFrame, touched: DataFrame) -> None:
-        """Overwrite the partitions named in touched (partition columns) with rows, which carry `batch`.
-
-        rows may go to other partitions too, if they bring those along whole. The result is staged, as
-        it is made from the partitions it replaces; partitions left without rows are removed.
-        """
-        by = [*self.by, "batch"]
-        with staged_once(rows, "replaced") as rows:
-            before = {tuple(r) for r in touched.select(*by).distinct().collect()}  # bounded by the number of partitions
-            after = {tuple(r) for r in rows.select(*by).distinct().collect()}
-            version = self._versions()[-1]
-            self._write(rows, version, "dynamic")
-        for gone in before - after:
-            names = "/".join(f"{name}={value}" for name, value in zip(by, gone, strict=True))
-            drop_path(self.spark, f"{self._folder(version)}/{names}")
-
     def rewrite(self, rows: DataFrame) -> None:
         """Replace all rows, for compaction; versions before the last one are removed."""
         versions = self._versions()
@@ -144,6 +129,65 @@ class Table:
             drop_path(self.spark, self._folder(old))
 
 
+class KeyedTable(Table):
+    """A table with one row per key: new rows are appended, changed ones lie beside it until they are folded in.
+
+    A change is a row of the `refreshed` columns with a sequence number, in a table of its own; reading takes the
+    last of each key. Nothing is overwritten in place, and a change costs what it brings, wherever the old rows
+    lie. A refreshed column that a change lacks becomes null. `fold` writes the changes into the rows.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, refreshed: tuple[str, ...], by: tuple[str, ...] = (), cluster: tuple[str, ...] = (), key: str = "sha"):
+        super().__init__(spark, path, schema, by, cluster)
+        self.key, self.refreshed = key, tuple(c for c in refreshed if c in schema.fieldNames())
+        fields = [schema[key], *[schema[c] for c in self.refreshed], T.StructField("seq", T.LongType())]
+        self.changes = Table(spark, f"{path}-changes", T.StructType(fields), cluster=(key,))
+
+    def read(self) -> DataFrame:
+        return self._resolved(super().read(), self.changes.read() if self.changes.batches() else None)
+
+    def without(self, replay: str | None) -> DataFrame:
+        if replay is None:
+            return self.read()
+        own = F.col("batch") != replay_number(replay)
+        return self._resolved(super().read().where(own), self.changes.read().where(own) if self.changes.batches() else None)
+
+    def _resolved(self, rows: DataFrame, changes: DataFrame | None) -> DataFrame:
+        """Rows with the last change of their key. Only changed rows are joined; the others pass through."""
+        if changes is None:
+            return rows
+        last = changes.groupBy(self.key).agg(F.max_by(F.struct(*self.refreshed), "seq").alias("last"))
+        keys = broadcast_if_small(changes.select(self.key).distinct())
+        kept = [c for c in rows.columns if c not in self.refreshed]
+        old = rows.select(*kept).join(keys, self.key, "left_semi").join(last, self.key)
+        changed = old.select(*[F.col(f"last.{c}").alias(c) if c in self.refreshed else F.col(c) for c in rows.columns])
+        return rows.join(keys, self.key, "left_anti").unionByName(changed)
+
+    def upsert(self, rows: DataFrame, replay: str | None = None) -> None:
+        """Rows with unique keys: known keys are changed, new ones appended with the time in `indexed_at`."""
+        stored = super().read()
+        if replay is not None:
+            stored = stored.where(F.col("batch") != replay_number(replay))
+        keys = rows.select(self.key)
+        known = stored.select(self.key).join(broadcast_if_small(keys), self.key, "left_semi")
+        with staged_once(known, "known") as known:
+            known = broadcast_if_small(known)
+            changed = rows.join(known, self.key, "left_semi")
+            if not known.isEmpty():
+                last = self.changes.read().agg(F.max("seq")).first()[0]
+                number = F.lit(0 if last is None else last + 1).cast("long")
+                self.changes.append(changed.select(self.key, *[c for c in self.refreshed if c in rows.columns]).withColumn("seq", number), replay)
+            fresh = rows.join(known, self.key, "left_anti")
+            if not fresh.isEmpty():
+                self.append(fresh, replay)
+
+    def fold(self) -> None:
+        """All rows as one batch with their changes. Between the two steps changes are applied twice, to no effect."""
+        self.rewrite(self.read().drop("batch"))
+        if self.changes.batches():
+            self.changes.keep([])
+
+
 def replay_number(key: str) -> int:
     """A negative number of 62 bits that stands for a replay key."""
     return -1 - int(hashlib.sha256(key.encode()).hexdigest()[:15], 16)

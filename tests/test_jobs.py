@@ -218,3 +218,42 @@ def test_upsert_leaves_other_partitions(spark, tmp_path):
     corpus.build(read(spark, tmp_path / "more"), RULES, "community", resume=False)
     assert files and files == {str(x) for x in (tmp_path / "corpus" / "commits").rglob("shard=11/**/*.parquet")}
     assert sorted(r.body for r in corpus.commits.read().collect()) == ["body", "new"]
+
+
+def test_changes_lie_beside_the_rows(spark, tmp_path):
+    """Changes are appended, the last one counts, and folding them in changes no row; an upsert can be repeated."""
+    corpus = Corpus(spark, str(tmp_path / "corpus"))
+    (tmp_path / "log").write_text(log_text(shas(0, 40)))
+    corpus.build(read(spark, tmp_path / "log"), RULES, "community")
+    files = {str(x) for x in (tmp_path / "corpus" / "commits").rglob("*.parquet")}
+    columns = ["sha", "source", "tag", "body", "doc_text", "shard"]
+
+    def rows():
+        return sorted(map(tuple, corpus.commits.read().select(columns).collect()))
+
+    for k, body in enumerate(("second", "third")):
+        (tmp_path / body).write_text(log_text(shas(10 * k, 30 + 15 * k), body))
+        for _ in range(2):
+            corpus.build(read(spark, tmp_path / body), RULES, "enterprise", resume=False, replay=f"key{k}")
+    found = {r[0]: (r[1], r[3]) for r in rows()}
+    want = {x: ("community", "body") for x in shas(0, 40)} | dict.fromkeys(shas(0, 30), ("enterprise", "second")) | dict.fromkeys(shas(10, 45), ("enterprise", "third"))
+    assert found == want and len(rows()) == 45
+    assert files <= {str(x) for x in (tmp_path / "corpus" / "commits").rglob("*.parquet")}
+    before, indexed = rows(), {r.sha: r.indexed_at for r in corpus.commits.read().select("sha", "indexed_at").collect()}
+    corpus.compact()
+    assert rows() == before and corpus.commits.changes.batches() == []
+    assert {r.sha: r.indexed_at for r in corpus.commits.read().select("sha", "indexed_at").collect()} == indexed
+
+
+def test_slices_are_read_once(spark, tmp_path):
+    (tmp_path / "one").write_text(log_text(shas(0, 60)))
+    corpus, seen = Corpus(spark, str(tmp_path / "corpus"), sharded=False), spark.sparkContext.accumulator(0)
+    corpus.build(read(spark, tmp_path / "one"), RULES, "community")
+    plain = embed.hashing_embedder(16)
+
+    def counting(texts):
+        seen.add(len(texts))
+        return plain(texts)
+
+    corpus.embed(counting, slice_rows=7)
+    assert seen.value == 60 and len(corpus.vectors.batches()) >= 8 and corpus.vectors.read().count() == 60
