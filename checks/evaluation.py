@@ -10,6 +10,8 @@ from checks.registry import query
 from checks.retrieval import HYBRID, LISTS, RRF_GAIN, VECTOR, rank_lists, search_queries
 from patchlake.operators import relevance
 from patchlake.plans import search
+from patchlake.plans.judgments import Judgments
+from patchlake.session import work_path
 
 # An item is relevant for a user when a purchase of it was worth more than 20.
 _QRELS = "SELECT DISTINCT user_id AS query_id, props AS sha FROM events WHERE event_type = 'purchase' AND value > 20"
@@ -101,6 +103,49 @@ def judge_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relevance.replace_judgments(spark.sql(_QRELS), answers, relevance.judge(pooled, answers))
 
 
+@query(
+    f"""WITH {POOL}, qrels AS ({_QRELS}), ans AS ({_ANSWERS})
+SELECT query_id, sha FROM qrels WHERE query_id NOT IN (SELECT query_id FROM ans) AND query_id % 5 <> 0
+UNION ALL SELECT query_id, sha FROM pool JOIN ans USING (query_id)
+WHERE query_id % 5 <> 0 AND (raw = 'a' OR (raw = '2-4,1' AND rank < 4) OR (raw = '3 99' AND rank = 2))
+UNION ALL SELECT query_id, sha FROM pool WHERE query_id % 5 = 0 AND rank < 2 AND query_id IN (SELECT query_id FROM ans)
+UNION ALL SELECT query_id, sha FROM qrels WHERE query_id % 5 = 0 AND query_id NOT IN (SELECT query_id FROM ans)"""
+)
+def judgments_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table of judgments: filled, answered, folded, and a fifth of the answers given again."""
+    pooled = relevance.pool(_rankings(spark, sf_dir), SYSTEMS, 12)
+    answers = spark.sql(_ANSWERS)
+    stored = Judgments(spark, work_path(spark, "judgments"), spark.table("events").schema["user_id"].dataType)
+    stored.store(spark.sql(_QRELS))
+    stored.answer(pooled, answers)
+    stored.compact()
+    stored.answer(pooled, answers.where("query_id % 5 = 0").withColumn("raw", F.lit("2,1")))
+    return stored.read()
+
+
+@query(
+    f"""WITH h AS (WITH {HYBRID} SELECT 'hybrid' AS system, query_id, rank, sha FROM hybrid),
+v AS (WITH {VECTOR.replace("<gain>", RRF_GAIN)} SELECT 'vector' AS system, query_id, rank, sha FROM ranked),
+found AS (SELECT system, query_id, CAST(rank-1 AS INTEGER) AS rank, sha FROM (SELECT * FROM h UNION ALL SELECT * FROM v)),
+qrels AS (SELECT e.label AS query_id, sha1(CAST(e.vec_id AS VARCHAR)) AS sha FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id),
+n AS (SELECT query_id, count(*) AS n_rel FROM qrels GROUP BY ALL),
+d AS (SELECT system, query_id, count(DISTINCT sha) AS hits, sum(1/log2(rank+2)) AS dcg FROM found JOIN qrels USING (query_id, sha) WHERE rank < 10 GROUP BY ALL),
+runs AS (SELECT system, query_id FROM (VALUES ('hybrid'), ('vector')) s(system), range(10) q(query_id)),
+m AS (SELECT system, query_id, coalesce(hits,0)/n_rel AS recall,
+  coalesce(dcg,0)/list_sum(list_transform(range(CAST(least(n_rel,10) AS BIGINT)), lambda i: 1/log2(i+2))) AS ndcg
+  FROM runs JOIN n USING (query_id) LEFT JOIN d USING (system, query_id))
+SELECT system, count(*) AS n_queries, round(avg(recall), 6) AS mean_recall, round(avg(ndcg), 6) AS mean_ndcg, true AS timed FROM m GROUP BY system"""
+)
+def batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both systems on the query set, timed by block; vectors of a query's label are relevant."""
+    docs = views.spark_corpus(spark, sf_dir)
+    rankings, runs = search.timed_search(docs, search_queries(spark, docs))
+    qrels = docs.where("label IS NOT NULL").select(F.col("label").alias("query_id"), "sha")
+    report = relevance.system_metrics(relevance.query_metrics(rankings, qrels, 10, runs))
+    timed = (F.col("p50_ms") > 0) & (F.col("mean_ms") > 0)
+    return report.select("system", "n_queries", F.round("mean_recall", 6).alias("mean_recall"), F.round("mean_ndcg", 6).alias("mean_ndcg"), timed.alias("timed"))
+
+
 @query(
     f"""WITH h AS (WITH {HYBRID} SELECT 'hybrid' AS system, query_id, rank, sha FROM hybrid),
 v AS (WITH {VECTOR.replace("<gain>", RRF_GAIN)} SELECT 'vector' AS system, query_id, rank, sha FROM ranked)

@@ -12,7 +12,7 @@ from patchlake.functions import text as X
 from patchlake.operators import block_index, embed, maintain
 from patchlake.plans.jobs import Corpus
 from patchlake.session import work_path
-from patchlake.sources import changelog
+from patchlake.sources import changelog, files
 from patchlake.streaming import ingest
 
 CORPUS = f"corpus AS MATERIALIZED ({views.CORPUS_DUCK})"
@@ -354,3 +354,44 @@ def usage_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     total = maintain.usage(items.select(F.col("l_quantity").cast("long").alias("tokens")), 0.12)
     return total.select(F.col("tokens").cast("long").alias("tokens"), F.round("cost", 9).alias("cost"))
+
+
+@query(
+    f"""WITH {CORPUS}, o AS (SELECT sha FROM corpus ORDER BY committed_at NULLS LAST, sha LIMIT 150)
+SELECT sha, len(list_filter(regexp_split_to_array(lower(doc_text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) > 0 AS has_vector
+ FROM corpus JOIN o USING (sha)"""
+)
+def embed_oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An embedding with a limit serves the oldest documents, twice 75 of them."""
+    corpus = Corpus(spark, work_path(spark, "corpus"), sharded=False)
+    corpus.commits.append(views.spark_corpus(spark, sf_dir))
+    for _ in range(2):
+        corpus.embed(embed.hashing_embedder(DIM), limit=75)
+    direction = F.exists("embedding", lambda x: x != 0)
+    return corpus.vectors.read().select("sha", direction.alias("has_vector"))
+
+
+@query(f"WITH {CURATED} SELECT sha, 1::BIGINT AS vectors FROM curated")
+def stream_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream that embeds each micro-batch as it stores it."""
+    log, root = written_log(spark, sf_dir), work_path(spark, "corpus")
+    corpus = Corpus(spark, root, sharded=False)
+    commits = ingest.stream_commits(spark, log, max_files=4).withColumn("source", F.col("author_name"))
+    ingest.ingest(corpus, commits, RULES, None, f"{root}/checkpoint", embedder=embed.hashing_embedder(DIM)).awaitTermination()
+    return corpus.vectors.read().groupBy("sha").agg(F.count("*").alias("vectors"))
+
+
+@query(
+    f"""WITH t AS (SELECT DISTINCT text FROM benchmark), tok AS (SELECT text, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS term FROM t),
+tf AS (SELECT text, term, count(*) AS tf FROM tok GROUP BY ALL), coded AS (SELECT text, tf, CAST('0x'||substr(md5(term),1,8) AS BIGINT) AS h FROM tf),
+cells AS (SELECT text, CAST((h // 2) % {DIM} AS INTEGER) AS cell, sum(CASE WHEN h % 2 = 1 THEN tf ELSE -tf END) AS s FROM coded GROUP BY ALL)
+SELECT text AS query, cell, round(CAST(CAST(s / sqrt(sum(s*s) OVER (PARTITION BY text)) AS FLOAT) AS DOUBLE), 6) AS x FROM cells QUALIFY s <> 0"""
+)
+def query_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts as a query file, read back and embedded."""
+    path = work_path(spark, "queries")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text").distinct()
+    items.select(F.to_json(F.struct(F.col("text").alias("query"), F.lit("nl").alias("class")))).write.text(path)
+    queries = embed.embed_queries(files.read_queries(spark, path), embed.hashing_embedder(DIM))
+    cells = queries.select("query", F.posexplode("vector").alias("cell", "x")).where(F.col("x") != 0)
+    return cells.withColumn("x", F.round(F.col("x").cast("double"), 6))

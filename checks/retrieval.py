@@ -426,6 +426,21 @@ def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(search.search(corpus.commits.read(), search_queries(spark, docs), system="vector", **stored, **LINKS))
 
 
+CLAMPED = VECTOR.replace("<gain>", RRF_GAIN).replace("rank <= 10", "rank <= 50")
+
+
+@query(
+    f"""WITH {CLAMPED} SELECT query_id, CAST(rank AS INTEGER) AS rank, sha FROM ranked
+WHERE rank <= least(50, greatest(1, CASE query_id % 4 WHEN 0 THEN -3 WHEN 1 THEN 7 WHEN 2 THEN 99 ELSE 5 END))"""
+)
+def search_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries that ask for too few, too many and no stated number of hits."""
+    docs = views.spark_corpus(spark, sf_dir)
+    k = F.expr("CASE query_id % 4 WHEN 0 THEN -3 WHEN 1 THEN 7 WHEN 2 THEN 99 END")
+    queries = search_queries(spark, docs).withColumn("k", k)
+    return search.search(docs, queries, system="vector", k=5, **LINKS).select("query_id", "rank", "sha")
+
+
 BATCH = f"""{VECTOR.replace("<gain>", RRF_GAIN).replace("rank < 50", "rank < 200").replace("rank <= 10", "rank <= 80")}"""
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchlake.functions import text as X
 from patchlake.functions.bounds import query_blocks, union_all
 from patchlake.operators import block_index, cells, dense, fusion, lexical, literal
+from patchlake.session import staged
 
 POOL, DEFAULT_K = 50, 10
 # Lists of the hybrid system, in the order fusion reads them.
@@ -164,6 +167,17 @@ def batch_search(docs: DataFrame, queries: DataFrame, systems: tuple[str, ...] =
     )
 
 
-def runs_of(queries: DataFrame, systems: tuple[str, ...] = ("hybrid", "vector")) -> DataFrame:
-    """(system, query_id) of what `batch_search` ran."""
-    return queries.select(F.explode(F.array(*[F.lit(s) for s in systems])).alias("system"), "query_id")
+def timed_search(docs: DataFrame, queries: DataFrame, systems: tuple[str, ...] = ("hybrid", "vector"), **options) -> tuple[DataFrame, DataFrame]:
+    """(rankings, runs): `batch_search` with (system, query_id, ms) of everything that was searched.
+
+    Each system answers one block of queries after the other; a query's time is its share of its block's.
+    """
+    rankings, runs = [], []
+    for block in query_blocks(queries):
+        n = block.count()
+        for name in systems:
+            started = time.perf_counter()
+            rankings.append(staged(batch_search(docs, block, (name,), **options), "ranked"))
+            ms = (time.perf_counter() - started) * 1000 / max(n, 1)
+            runs.append(block.select(F.lit(name).alias("system"), "query_id", F.lit(ms).alias("ms")))
+    return union_all(rankings), union_all(runs)
