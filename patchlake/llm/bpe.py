@@ -8,7 +8,7 @@ Results equal those of the tokenizers library for tokenizers whose normalizer is
 space, lower case, whose pre-tokenizer drops white space and maps bytes to characters, and whose model is
 BPE with a word-end suffix; other files are refused. Null texts count as empty. White space produces no
 ids, so the text is cut at ASCII white space first and every chunk is encoded once per task while the
-chunk table has room; the table has a bound and starts anew beyond it.
+chunk table has room; beyond its bound it keeps the chunks that come again and again.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ NEVER = np.int32(2**31 - 1)
 # Row lengths up to which fragments share a matrix; longer fragments take the heap.
 WIDTHS = (2, 4, 6, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64)
 CHUNKS_KEPT = 200_000
+CELLS = 1_000_000  # symbols of fragments that are merged together
 
 
 @dataclass(frozen=True)
@@ -128,6 +129,19 @@ class Encoder:
         self.classes = vocabulary.classes
         self._clear()
 
+    def state(self) -> dict:
+        """The tables that the vocabulary gives: bounded by it, made once and sent to every task."""
+        left_out = ("normal", "known", "pool", "used", "start", "size", "again")
+        return {name: value for name, value in self.__dict__.items() if name not in left_out}
+
+    @classmethod
+    def restore(cls, state: dict) -> Encoder:
+        made = cls.__new__(cls)
+        made.__dict__.update(state)
+        made.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        made._clear()
+        return made
+
     # pair -> rank, an open table probed for whole arrays at once
 
     def _hash_pairs(self, left: np.ndarray, right: np.ndarray) -> None:
@@ -243,7 +257,7 @@ class Encoder:
         for width in WIDTHS:
             which = np.flatnonzero((sizes > low) & (sizes <= width))
             low = width
-            for part in np.array_split(which, 1 + len(which) // 100_000):
+            for part in np.array_split(which, 1 + len(which) * width // CELLS):
                 if len(part):
                     at = starts[part][:, None] + np.arange(width)
                     inside = np.arange(width) < sizes[part][:, None]
@@ -271,11 +285,26 @@ class Encoder:
         self.pool = np.empty(1 << 16, dtype=np.int32)
         self.used = 0
         self.start, self.size = np.empty(1 << 16, dtype=np.int64), np.empty(1 << 16, dtype=np.int64)
+        self.again = np.zeros(1 << 16, dtype=bool)  # met in more than one batch
+
+    def _shrink(self) -> None:
+        """Forgets chunks that only one batch has had, and all if too many are left."""
+        old, sizes, starts, pool = list(self.known), self.size, self.start, self.pool
+        kept = np.flatnonzero(self.again[: len(old)])
+        self._clear()
+        if 2 * len(kept) <= self.keep and 2 * int(sizes[kept].sum()) <= 8 * self.keep:
+            for at in kept.tolist():
+                self.known[old[at]] = len(self.known)
+            size = sizes[kept]
+            ends = size.cumsum()
+            flat = pool[np.repeat(starts[kept] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+            self._add(np.arange(len(kept)), flat, size)
 
     def _add(self, at: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> None:
         """Enters the ids of the chunks with the numbers at."""
         while len(self.start) < len(self.known):
             self.start, self.size = np.concatenate([self.start, self.start]), np.concatenate([self.size, self.size])
+            self.again = np.concatenate([self.again, np.zeros_like(self.again)])
         while len(self.pool) < self.used + len(flat):
             self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
         self.pool[self.used : self.used + len(flat)] = flat
@@ -345,12 +374,13 @@ class Encoder:
             words += own
             counts.append(len(own))
         if len(self.known) > self.keep or self.used > 8 * self.keep:
-            self._clear()
+            self._shrink()
         first = len(self.known)
         index = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
         if self.known.new:
             self._learn(self.known.new, first)
             self.known.new = []
+        self.again[index[index < first]] = True
         sizes, starts = self.size[index], self.start[index]
         ends = sizes.cumsum()
         total = int(ends[-1]) if len(ends) else 0
@@ -359,6 +389,11 @@ class Encoder:
         return flat.astype(np.uint32), np.diff(edges)
 
 
+@lru_cache(maxsize=4)
+def encoder_state(path: str) -> dict:
+    return Encoder(load_vocabulary(path)).state()
+
+
 class Numbered(dict):
     """Numbers its keys as they are first asked for; new has the latest ones."""
 
@@ -399,10 +434,10 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     A null text is an empty one. Repeated rows stay; other columns are left out.
     """
-    vocabulary = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path).parts())  # bounded by the vocabulary
+    tables = docs.sparkSession.sparkContext.broadcast(encoder_state(path))  # bounded by the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(*vocabulary.value))
+        encoder = Encoder.restore(tables.value)
         for batch in batches:
             for begin, end, texts in text_slices(batch.column(1)):
                 flat, counts = encoder.encode(texts)
@@ -448,10 +483,11 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     What encode_documents and decode_documents return, digested where it is made: ids and decoded texts are
     several times as large as the texts and needn't leave the task.
     """
-    vocabulary = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path).parts())  # bounded by the vocabulary
+    tables = docs.sparkSession.sparkContext.broadcast(encoder_state(path))  # bounded by the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder, digests = Encoder(Vocabulary(*vocabulary.value)), Decoder(Vocabulary(*vocabulary.value)), Digests(len(vocabulary.value[0]))
+        encoder = Encoder.restore(tables.value)
+        decoder, digests = Decoder(encoder.vocabulary), Digests(len(encoder.vocabulary.tokens))
         for batch in batches:
             for begin, end, texts in text_slices(batch.column(1)):
                 flat, counts = encoder.encode(texts)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchlake.llm.bpe import Encoder, Vocabulary, load_vocabulary, text_slices
+from patchlake.llm.bpe import Encoder, encoder_state, text_slices
 from patchlake.llm.storage import staged
 
 GROUP_PIECES = 40_000
@@ -142,10 +142,10 @@ def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 
 def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0) -> DataFrame:
     """Pieces of every whole text: its ids and the end id, cut every capacity tokens. Null texts count as empty."""
-    vocabulary = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path).parts())  # bounded by the vocabulary
+    tables = docs.sparkSession.sparkContext.broadcast(encoder_state(path))  # bounded by the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(*vocabulary.value))
+        encoder = Encoder.restore(tables.value)
         part, row = TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype="<u4")
         for batch in batches:

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchlake.llm.bpe import Encoder, Vocabulary, load_vocabulary, text_slices
+from patchlake.llm.bpe import Encoder, encoder_state, load_vocabulary, text_slices
 from patchlake.llm.rans import Coder, crc32_of_both, scaled
 from patchlake.llm.storage import drop_folder, new_folder
 
@@ -30,18 +30,22 @@ def encode_sorted(docs: DataFrame, path: str, end_id: int, parts: int) -> DataFr
     """(doc_id, part, place, n, ids): ids of every whole text and the end id, in ascending doc_id order.
 
     part counts the ranges of doc_id, place the ids before it in its range. Ids are 16 bits wide where the
-    vocabulary allows. A null text counts as empty; rows without doc_id come first.
+    vocabulary allows. A null text counts as empty; rows without doc_id come first. One more row of each part,
+    with place -1 and n 0, holds how often each id occurs in it.
     """
-    vocabulary = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path).parts())  # bounded by the vocabulary
+    n_tokens = len(load_vocabulary(path).tokens)
+    tables = docs.sparkSession.sparkContext.broadcast(encoder_state(path))  # bounded by the vocabulary
     kind = id_type(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(*vocabulary.value))
+        encoder = Encoder.restore(tables.value)
         part, place = TaskContext.get().partitionId(), 0
+        total = np.zeros(n_tokens, dtype="<i8")
         for batch in batches:
             for begin, stop, texts in text_slices(batch.column(1)):
                 flat, counts = encoder.encode(texts)
                 flat = np.insert(flat, counts.cumsum(), np.uint32(end_id)).astype(kind)
+                total += np.bincount(flat, minlength=n_tokens)
                 counts = counts + 1
                 ends = counts.cumsum()
                 raw = flat.tobytes()
@@ -52,6 +56,10 @@ def encode_sorted(docs: DataFrame, path: str, end_id: int, parts: int) -> DataFr
                     names=[x.split()[0] for x in RAW.split(", ")],
                 )
                 place += int(ends[-1]) if len(ends) else 0
+        if place:
+            row = [None, part, -1, 0, zlib.compress(total.tobytes(), 1)]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.record_batch([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in RAW.split(", ")])
 
     rows = docs.select(docs["doc_id"].cast("long"), docs["text"]).repartitionByRange(parts, F.col("doc_id").asc_nulls_first())
     return rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(run, RAW)
@@ -61,20 +69,20 @@ def id_type(path: str) -> str:
     return "<u2" if len(load_vocabulary(path).tokens) <= 1 << 16 else "<u4"
 
 
-def _counts(raw: DataFrame, kind: str, n_tokens: int) -> np.ndarray:
-    """How often each id occurs in all documents: counted in the tasks, summed in a shuffle."""
+def _counts(raw: DataFrame, n_tokens: int) -> np.ndarray:
+    """How often each id occurs in all documents: the sum of what the tasks have counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n_tokens, dtype=np.int64)
         for batch in batches:
-            column = batch.column(0)
-            for begin in range(0, len(column), 256):
-                total += np.bincount(np.frombuffer(b"".join(column.slice(begin, 256).to_pylist()), dtype=kind), minlength=n_tokens)
+            for packed in batch.column(0).to_pylist():
+                total += np.frombuffer(zlib.decompress(packed), dtype="<i8")
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at, pa.int64()), pa.array(total[at])], names=["id", "n"])
 
     out = np.zeros(n_tokens, dtype=np.int64)
-    for token, n in raw.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n")).collect():  # bounded by the vocabulary
+    sums = raw.where(F.col("place") < 0).select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n"))
+    for token, n in sums.collect():  # bounded by the vocabulary
         out[token] = n
     return out
 
@@ -89,7 +97,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int) -> None:
     raw = spark.read.schema(RAW).parquet(stage)
     sums = sorted(raw.groupBy("part").agg(F.sum("n")).collect())  # bounded: one row per range
     begins = dict(zip([part for part, _ in sums], np.concatenate([[0], np.cumsum([n for _, n in sums])]).tolist(), strict=False))
-    frequencies = scaled(_counts(raw, kind, n_tokens))
+    frequencies = scaled(_counts(raw, n_tokens))
     table = [(int(x), int(frequencies[x])) for x in np.flatnonzero(frequencies)]
     spark.createDataFrame(table, "id int, frequency int").coalesce(1).write.parquet(f"{folder}/frequencies")
 
@@ -121,7 +129,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int) -> None:
         if waiting:
             yield block()
 
-    raw.mapInArrow(run, BLOCKS).write.parquet(f"{folder}/blocks")
+    raw.where(F.col("place") >= 0).mapInArrow(run, BLOCKS).write.parquet(f"{folder}/blocks")
     drop_folder(spark, stage)
 
 
