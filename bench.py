@@ -17,11 +17,11 @@ from patchlake.session import local_session
 
 HEADLINE = (
     "curate_commits curate_filter_files tag_counts corpus_stats resume_anti_join upsert_partial point_ids "
-    "literal_search tokens_positions fts_match fts_cover_rank dense_topk lsh_knn bm25_weights bm25_search rrf_fuse dbsf_fuse "
+    "literal_search literal_indexed tokens_positions fts_match fts_cover_rank dense_topk lsh_knn cells_knn bm25_weights bm25_search rrf_fuse dbsf_fuse "
     "hybrid_search dense_bm25_search indexed_search batch_search_deep commit_lookup ir_metrics latency_p50 pool_judgments "
     "embed_hash index_build stream_upsert run_all "
     "op1_bpe op2_ngram_join op3_url_filter op4_winnowing op5_best_fit_packing op6_hash_forest op7_language_id "
-    "op8_rans_token_files op9_suffix_dedup op10_label_shards pipeline"
+    "op8_rans_token_files op9_suffix_dedup op10_label_shards op11_wrapper_text op12_merkle_manifest op13_shared_search pipeline"
 ).split()
 
 
