@@ -84,6 +84,7 @@ def with_next(docs: DataFrame, order: str, values: list[str], parts: int, prepar
 
     Rows are cut into ranges of the order column at its quantiles; every range also gets the first row of the
     next one, so that a window over a range sees all it needs. One shuffle of the rows, no global sort.
+    Rows that share an order value follow one another by the first of the values, largest first and null last.
     """
     key = F.coalesce(F.col(order), F.lit(-(2**63)))
     docs = docs.withColumn("__llm_key", key)
@@ -96,7 +97,9 @@ def with_next(docs: DataFrame, order: str, values: list[str], parts: int, prepar
     # A range goes on with the top of the range below; the lowest one with the top of all.
     follows = [(below, part) for (_, below), (part, _) in zip([tops[-1], *tops[:-1]], tops, strict=True)]
     goes_to = ranged.sparkSession.createDataFrame(follows, "__llm_key long, __llm_to int")
-    borrowed = ranged.join(F.broadcast(goes_to), "__llm_key").dropDuplicates(["__llm_key", "__llm_to"]).withColumn("__llm_part", F.col("__llm_to"))
+    # Of rows with the same order value, the one that comes first in the window's order.
+    leads = F.max_by(F.struct(*ranged.columns), F.struct(F.col(values[0]).isNotNull(), F.col(values[0]))).alias("row")
+    borrowed = ranged.join(F.broadcast(goes_to), "__llm_key").groupBy("__llm_key", "__llm_to").agg(leads).select("row.*", "__llm_to").withColumn("__llm_part", F.col("__llm_to"))
     both = prepare(ranged.withColumn("__llm_borrowed", F.lit(False)).unionByName(borrowed.select(*ranged.columns, F.lit(True).alias("__llm_borrowed"))))
     window = Window.partitionBy("__llm_part").orderBy("__llm_borrowed", F.desc("__llm_key"), F.desc(values[0]))
     led = both.select("*", *[F.lead(v).over(window).alias(f"__llm_next_{v}") for v in values])

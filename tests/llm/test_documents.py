@@ -116,6 +116,11 @@ def test_next_row(spark):
         assert got == {9: "g", 7: "e", 5: None, 3: "a", 1: "n", None: "i"}
     assert [r[2] for r in winnow.with_next(table(spark, [(1, "a")]), "doc_id", ["text"], 4).collect()] == ["a"]
     assert winnow.with_next(table(spark, []), "doc_id", ["text"], 4).count() == 0
+    # Rows of one id at the edge of a range: the next of 9 is the same whatever the ranges.
+    rows = [(9, "a"), (7, "g1"), (7, "g3"), (7, "g2"), (7, None), (5, "z")]
+    for parts in (1, 2, 3, 5):
+        got = sorted(map(tuple, winnow.with_next(table(spark, rows).repartition(3), "doc_id", ["text"], parts).select("doc_id", "text", "__llm_next_text").collect()), key=str)
+        assert got == sorted([(9, "a", "g3"), (7, "g3", "g2"), (7, "g2", "g1"), (7, "g1", None), (7, None, "z"), (5, "z", "a")], key=str)
 
 
 # ---- n-gram join -----------------------------------------------------------------
