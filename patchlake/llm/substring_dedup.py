@@ -12,7 +12,8 @@ A block has at most BLOCK_BYTES. A text with more passages than that deals them
 (passages get shorter then); where one anchor alone has more, its strings are compared by a grouping on
 the strings themselves, which Spark sums up before it shuffles and whose join it can split.
 
-Equal texts count once: all copies but that with the smallest id go, if they have LENGTH bytes.
+Equal texts count once: all copies but that with the smallest id go, if they have LENGTH bytes. Names of texts
+are hashes that a digest confirms, so different texts never count as copies.
 """
 
 from __future__ import annotations
@@ -350,6 +351,32 @@ def repeated_runs(texts: DataFrame, firsts: DataFrame, length: int) -> DataFrame
     return staged(sorted_blocks(small, length).unionByName(grouped_strings(rest, length)), "repeated-runs")
 
 
+def named_texts(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """rows (doc_id, text, ...) with text_id, equal for equal texts alone, and the first copies: (text_id, doc_id).
+
+    The name is a 64-bit hash that length and 120 bits of SHA-256 confirm. Where different texts share a name,
+    all of that name get another one, made of another digest, until none is shared. First copies are of texts
+    of length bytes or more.
+    """
+    rows, tries = rows.withColumn("text_id", F.xxhash64("text")), 0
+    while True:
+        digest = F.sha2(F.col("text").cast("binary"), 256)
+        facts = rows.select("text_id", "doc_id", F.octet_length("text").alias("n"), digest.alias("digest"))
+        for k in range(2):
+            facts = facts.withColumn(f"digest_{k}", F.conv(F.substring("digest", 1 + 15 * k, 15), 16, 10).cast("long"))
+        checked = ("n", "digest_0", "digest_1")
+        ends = [end(name).alias(f"{name}_{end.__name__}") for name in checked for end in (F.min, F.max)]
+        firsts = staged(facts.groupBy("text_id").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("doc_id"), *ends), "first-copies")
+        shared = firsts.where(" or ".join(f"{name}_min != {name}_max" for name in checked)).select("text_id", F.lit(True).alias("__llm_shared"))
+        n_shared = shared.count()
+        if not n_shared:
+            return rows, firsts.where(F.col("n_min") >= length).select("text_id", "doc_id")
+        tries += 1
+        other = F.xxhash64(F.sha2(F.concat(F.lit(f"{tries} "), F.col("text")).cast("binary"), 256))
+        rows = rows.join(F.broadcast(shared) if n_shared <= BROADCAST_ROWS else shared, "text_id", "left")
+        rows = rows.withColumn("text_id", F.when(F.col("__llm_shared"), other).otherwise(F.col("text_id"))).drop("__llm_shared")
+
+
 def deduplicate(docs: DataFrame, length: int = LENGTH, digest: bool = False, text: str = "text") -> DataFrame:
     """(row, n_bytes, n_removed, n_spans, kept) of all documents; row has the columns of docs but the text.
 
@@ -360,8 +387,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, digest: bool = False, tex
     """
     own = [F.col(f"`{name}`") for name in docs.columns if name != text]
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(*own).alias("row"))
-    rows = rows.withColumn("text_id", F.xxhash64("text"))
+    rows, firsts = named_texts(rows, length)
     long = rows.where(F.octet_length("text") >= length)
-    firsts = staged(long.groupBy("text_id").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("doc_id")), "first-copies")
     runs = repeated_runs(long.select("text_id", "text"), firsts, length)
     return cleaned(rows, firsts, runs, length, digest)

@@ -347,6 +347,36 @@ def test_repeated_strings(spark, monkeypatch, block):
     assert sorted((r.row.doc_id if r.row.doc_id is not None else -1, r.n_bytes, r.n_removed, r.n_spans, r.kept) for r in got.collect()) == brute_removed(rows, 100)
 
 
+def texts_of_one_hash(rng):
+    """Two ASCII texts of 128 letters with the same xxhash64: what one word of a lane changes, its next one undoes."""
+    first, second, size = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 1 << 64
+    back = pow(second, -1, size)
+
+    def turned(state, word):
+        state = (state + word * second) % size
+        return ((state << 31 | state >> 33) % size) * first % size
+
+    letters = np.arange(97, 123, dtype=np.uint8)
+    start = (42 + first + second) % size
+    text = rng.choice(letters, 128).tobytes()
+    one, two = (int.from_bytes(text[at : at + 8], "little") for at in (0, 32))
+    while True:
+        word = rng.choice(letters, 8).tobytes()
+        other = (two + (turned(start, one) - turned(start, int.from_bytes(word, "little"))) * back) % size
+        tail = other.to_bytes(8, "little")
+        if word != text[:8] and all(32 < x < 127 for x in tail):
+            return text.decode(), (word + text[8:32] + tail + text[40:]).decode()
+
+
+def test_texts_of_one_hash(spark):
+    one, two = texts_of_one_hash(np.random.default_rng(8))
+    rows = [(1, one), (2, two), (3, one), (4, two), (5, "short")]
+    df = table(spark, rows)
+    assert one != two and df.select(F.xxhash64("text")).distinct().count() == 2
+    kept = {r.row.doc_id: r.kept for r in substring_dedup.deduplicate(df).collect()}
+    assert kept == {1: one, 2: two, 3: "", 4: "", 5: "short"}
+
+
 def test_repeated_strings_odd_tables(spark):
     assert substring_dedup.deduplicate(table(spark, []), 100).count() == 0
     text = "é" * 100
