@@ -1,9 +1,8 @@
 """Best-fit packing of token pieces, improved by swap-based local search.
 
 Pieces shorter than a sequence are dealt to groups of bounded size by a hash. A group is packed by best fit,
-longest first; then the local search takes the emptiest bin and moves its pieces elsewhere, exchanging one
-for one or two for one where nothing fits. Every accepted step makes a fuller bin fuller, so the sum of
-squared fills grows until bins are empty. Bins that stay underfull are dissolved and packed once more with
+longest first; then the local search moves pieces between underfull bins and exchanges one for one or two for
+one. Every step makes a fuller bin fuller, so the sum of squared fills grows until bins are empty. Bins that stay underfull are dissolved and packed once more with
 those of the other groups, until one group is left or that saves no bin.
 """
 
@@ -12,6 +11,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -62,66 +62,138 @@ class Bins:
         self.items[at].remove((length, piece))
         self._room(at, self.free[at] + length)
 
-    def _swap(self, a: int, ours: list[tuple[int, int]], b: int, theirs: tuple[int, int]) -> None:
-        for item in ours:
-            self._take(a, *item)
-        self._take(b, *theirs)
-        for item in ours:
-            self._put(b, *item)
-        self._put(a, *theirs)
-
-    def _partner(self, donor: int, length: int) -> tuple[int, tuple[int, int]] | None:
-        """A bin and a piece of it that length may replace; the exchange that fills a bin most."""
-        best = None
-        for free, at in reversed(self.open):
-            if at == donor or self.free[at] >= self.free[donor]:
-                continue
-            if best and free <= best[0]:
-                break
-            own = self.items[at]
-            k = bisect_left(own, (length - free, -1))
-            if k < len(own) and own[k][0] < length:
-                gain = length - own[k][0]
-                if not best or gain > best[0]:
-                    best = gain, at, own[k]
-        return best and best[1:]
-
     def empty(self, donor: int) -> bool:
-        """Tries to empty a bin into fuller ones."""
-        while self.items[donor]:
-            moved = False
-            for item in reversed(self.items[donor]):
-                at = bisect_left(self.open, (item[0], -1))
-                while at < len(self.open) and self.open[at][1] == donor:
-                    at += 1
-                if at < len(self.open):
-                    target = self.open[at][1]
-                    self._take(donor, *item)
-                    self._put(target, *item)
-                    moved = True
-                    break
-            if moved:
-                continue
-            own = self.items[donor]
-            for ours in [[x] for x in reversed(own)] + [[x, y] for k, x in enumerate(own[:8]) for y in own[k + 1 : 8]]:
-                found = self._partner(donor, sum(x for x, _ in ours))
-                if found:
-                    self._swap(donor, ours, *found)
-                    moved = True
-                    break
-            if not moved:
-                return False
-        return True
+        """Moves the pieces of a bin into fuller ones; whether none is left."""
+        for item in reversed(self.items[donor].copy()):
+            at = bisect_left(self.open, (item[0], -1))
+            if at < len(self.open) and self.open[at][1] == donor:
+                at += 1
+            if at < len(self.open) and self.open[at][0] <= self.free[donor]:
+                self._take(donor, *item)
+                self._put(self.open[at][1], *item)
+        return not self.items[donor]
 
     def improve(self) -> None:
-        """Empties bins from the emptiest on, while the last tries worked."""
-        failed = 0
-        for _, at in sorted(((free, at) for free, at in self.open), reverse=True):
-            if not self.items[at] or not self.free[at]:
-                continue
-            failed = 0 if self.empty(at) else failed + 1
-            if failed >= 16:
+        """Passes over all underfull bins until one empties no bin, or as few are left as the lengths allow."""
+        least = -(-sum(x for items in self.items for x, _ in items) // self.capacity)
+        while True:
+            before = sum(map(bool, self.items))
+            if before <= least:
                 return
+            Exchange(self).run()
+            for _, at in sorted(self.open, reverse=True):
+                if self.free[at] < self.capacity:
+                    self.empty(at)
+            if sum(map(bool, self.items)) >= before:
+                return
+
+
+class Exchange:
+    """A pass of the local search over the pieces of underfull bins.
+
+    The fullest bin takes what fills it most from bins that are no fuller: a piece, a longer piece for one or
+    for two of its own, or two pieces for one of its own; again until it is full or nothing fits. Then it leaves
+    the pass and the next one takes. Each step adds to the sum of squared fills; free space gathers in the
+    emptiest bins until they have no piece left.
+    """
+
+    def __init__(self, bins: Bins) -> None:
+        self.bins = bins
+        self.pool = {at for free, at in bins.open if free < bins.capacity}
+        self.at: dict[int, list[tuple[int, int]]] = {}  # length -> (bin, piece) in the pool
+        self.have = 0  # bit n: a piece of length n is in the pool
+        self.mirror = 0  # the same bits from capacity down
+        for at in self.pool:
+            for item in bins.items[at]:
+                self._enter(at, *item)
+        self.queue = [(bins.free[at], at) for at in self.pool]
+        heapify(self.queue)
+
+    def _enter(self, at: int, length: int, piece: int) -> None:
+        own = self.at.setdefault(length, [])
+        if not own:
+            self.have |= 1 << length
+            self.mirror |= 1 << (self.bins.capacity - length)
+        own.append((at, piece))
+
+    def _leave(self, at: int, length: int, piece: int) -> None:
+        own = self.at[length]
+        own.remove((at, piece))
+        if not own:
+            self.have ^= 1 << length
+            self.mirror ^= 1 << (self.bins.capacity - length)
+
+    def _longest(self, length: int) -> int:
+        """The longest piece of the pool of at most this length, else 0."""
+        return (self.have & ((1 << (length + 1)) - 1)).bit_length() - 1 if length > 0 and self.have else 0
+
+    def _holder(self, length: int) -> tuple[int, int]:
+        """The emptiest bin that has a piece of this length, and the piece."""
+        return max(self.at[length], key=lambda x: (self.bins.free[x[0]], x))
+
+    def _trade(self, taker: int, ours: list[tuple[int, int]], giver: int, theirs: tuple[int, int]) -> None:
+        """theirs goes from giver, a bin of the pool, to taker; ours the other way."""
+        bins = self.bins
+        bins._take(giver, *theirs)
+        self._leave(giver, *theirs)
+        for item in ours:
+            bins._take(taker, *item)
+            bins._put(giver, *item)
+            self._enter(giver, *item)
+        bins._put(taker, *theirs)
+        heappush(self.queue, (bins.free[giver], giver))
+
+    def _single(self, taker: int) -> bool:
+        """One piece for none, one or two of the taker's: the exchange that fills it most, then with the longest piece."""
+        bins, best = self.bins, None
+        own, free = bins.items[taker], bins.free[taker]
+        for ours in [*([x, y] for k, x in enumerate(own) for y in own[:k]), *([x] for x in own), []]:
+            out = sum(x for x, _ in ours)
+            length = self._longest(min(bins.capacity, out + free))
+            if length > out and (best is None or (length - out, length) > (best[0], best[2])):
+                best = length - out, ours, length
+        if not best:
+            return False
+        giver, piece = self._holder(best[2])
+        self._trade(taker, best[1], giver, (best[2], piece))
+        return True
+
+    def _double(self, taker: int) -> bool:
+        """Two pieces that fill the taker up, for one of its own that has room where the longer of them was."""
+        bins = self.bins
+        for ours in bins.items[taker]:
+            total = ours[0] + bins.free[taker]
+            both = self.have & (self.mirror >> (bins.capacity - total)) if total <= bins.capacity else 0
+            while both:
+                long = both.bit_length() - 1
+                both ^= 1 << long
+                if 2 * long < total:
+                    break
+                if 2 * long == total and len(self.at[long]) < 2:
+                    continue
+                giver, piece = self._holder(long)
+                if bins.free[giver] + long < ours[0]:
+                    continue
+                self._trade(taker, [ours], giver, (long, piece))
+                short = total - long
+                if not self.at.get(short):  # it was the taker's own
+                    return True
+                other, piece = self._holder(short)
+                self._trade(taker, [], other, (short, piece))
+                return True
+        return False
+
+    def run(self) -> None:
+        bins = self.bins
+        while self.queue:
+            free, taker = heappop(self.queue)
+            if taker not in self.pool or free != bins.free[taker]:
+                continue  # it has left, or has changed since
+            self.pool.discard(taker)
+            for item in bins.items[taker]:
+                self._leave(taker, *item)
+            while bins.items[taker] and bins.free[taker] and (self._single(taker) or self._double(taker)):
+                pass
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

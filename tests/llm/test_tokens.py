@@ -117,7 +117,25 @@ def test_local_search():
         bins.open.append((100, at))
         for length in items:
             bins._put(at, length, 10 * at + len(bins.items[at]))
-    assert bins.empty(2)
+    bins.improve()
+    assert sorted(map(len, bins.items)) == [0, 3, 3]
+
+
+@pytest.mark.parametrize("low,high,n,capacity,saved", [(300, 901, 3000, 2048, 12), (500, 1101, 3000, 2048, 30), (30, 60, 300, 100, 1)])
+def test_local_search_saves_bins(low, high, n, capacity, saved):
+    """Fewer bins than best fit alone, and no step that lowers the sum of squared fills."""
+    lengths = np.random.default_rng(3).integers(low, high, n)
+    bins = packing.Bins(capacity)
+    for at in np.argsort(-lengths, kind="stable").tolist():
+        bins.add(int(lengths[at]), at)
+    greedy = len(bins.items)
+    squares = sum((capacity - free) ** 2 for free in bins.free)
+    packing.Exchange(bins).run()
+    assert sum((capacity - free) ** 2 for free in bins.free) > squares
+    assert sorted(piece for items in bins.items for _, piece in items) == list(range(n))
+    bins.improve()
+    assert sum(map(bool, bins.items)) <= greedy - saved
+    assert all(sum(x for x, _ in items) == capacity - free <= capacity for items, free in zip(bins.items, bins.free, strict=True))
 
 
 def test_levels(spark, monkeypatch):
