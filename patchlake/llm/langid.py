@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from patchlake.llm.bpe import text_slices
+from patchlake.llm.memory import released
 
 BITS = 16
 ORDERS = (1, 2, 3)
@@ -111,7 +112,7 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
         yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["feature", "n"])
 
     out = np.zeros(1 << BITS, dtype=np.int64)
-    for feature, n in texts.mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n")).collect():  # bounded: 2^BITS
+    for feature, n in texts.mapInArrow(released(run), "feature long, n long").groupBy("feature").agg(F.sum("n")).collect():  # bounded: 2^BITS
         out[feature] = n
     return out
 
@@ -133,7 +134,7 @@ def _sample(training: DataFrame, rows: int, languages: dict[str, int]) -> list[t
                 own = [np.unique(np.concatenate([x[e[k] : e[k + 1]] for x, e in zip(features, edges, strict=True)]), return_counts=True) for k in range(len(values))]
                 yield pa.record_batch([batch.column(0).slice(begin, end - begin), batch.column(1).slice(begin, end - begin), pa.array([x.astype("<u2").tobytes() for x, _ in own], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in own], pa.binary())], names=["lang", "fold", "features", "counts"])
 
-    rows_found = chosen.mapInArrow(run, "lang string, fold int, features binary, counts binary").collect()  # bounded: rows per language, 2^BITS features each
+    rows_found = chosen.mapInArrow(released(run), "lang string, fold int, features binary, counts binary").collect()  # bounded: rows per language, 2^BITS features each
     found = [(lang, fold, np.frombuffer(x, dtype="<u2").astype(np.int64), np.frombuffer(n, dtype="<u4").astype(float)) for lang, fold, x, n in rows_found]
     return sorted(found, key=lambda x: (x[0], x[1], x[2].tobytes(), x[3].tobytes()))
 
@@ -230,7 +231,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
                 yield pa.record_batch([*rows.columns, pa.array(names[best].tolist(), pa.string()), pa.array(score, pa.float64())], names=[*kept, "lang_pred", "lang_score"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def held_out(doc_id: Column) -> Column:

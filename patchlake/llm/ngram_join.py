@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from patchlake.llm.bpe import text_slices
 from patchlake.llm.components import connected_components
+from patchlake.llm.memory import released
 from patchlake.llm.storage import drop_folder, new_folder, staged
 
 KEYED = "doc_id long, n long, same_as long, band int, sketch binary, low_sketch binary, keys array<long>"
@@ -191,7 +192,7 @@ def keyed_documents(docs: DataFrame, width: int, num: int, den: int, budgets: di
                     names=[x.split()[0] for x in KEYED.split(", ")],
                 )
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, KEYED)
+    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(released(run), KEYED)
 
 
 def shared_keys(keyed: DataFrame) -> DataFrame:
@@ -227,7 +228,7 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
 
     rows = keyed.select(F.explode("keys").alias("key"), "doc_id")
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "key").sortWithinPartitions("key", "doc_id").mapInArrow(run, HITS)
+    return rows.repartition(parts, "key").sortWithinPartitions("key", "doc_id").mapInArrow(released(run), HITS)
 
 
 def allocate(hits: DataFrame, n_keys: int, sizes: list[int], num: int, den: int) -> dict[int, np.ndarray]:
@@ -309,7 +310,7 @@ def possible(edges: DataFrame, keyed: DataFrame, num: int, den: int) -> DataFram
             kept = pa.array([may_link(a, b, bands, num, den) for a, b in zip(left, right, strict=True)], pa.bool_())
             yield pa.record_batch([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["center", "doc_id"])
 
-    return both.mapInArrow(run, "center long, doc_id long")
+    return both.mapInArrow(released(run), "center long, doc_id long")
 
 
 def star_links(edges: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -338,7 +339,7 @@ def star_links(edges: DataFrame, docs: DataFrame, width: int, num: int, den: int
                 if out:
                     yield pa.record_batch([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["center", "doc_id", "linked"])
 
-    return visits.repartition(parts, "center", "chunk").sortWithinPartitions("center", "chunk", "role", "doc_id").mapInArrow(run, "center long, doc_id long, linked boolean")
+    return visits.repartition(parts, "center", "chunk").sortWithinPartitions("center", "chunk", "role", "doc_id").mapInArrow(released(run), "center long, doc_id long, linked boolean")
 
 
 def block_links(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -473,7 +474,7 @@ def near_sketches(members: DataFrame, keyed: DataFrame, num: int, den: int) -> D
         if now and (out := finish(now[0], sides)):
             yield told(out)
 
-    return rows.mapInArrow(run, "center long, doc_id long, label long, outer boolean").distinct()
+    return rows.mapInArrow(released(run), "center long, doc_id long, label long, outer boolean").distinct()
 
 
 def open_star_links(members: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -511,7 +512,7 @@ def open_star_links(members: DataFrame, docs: DataFrame, width: int, num: int, d
         if out := finish(sides):
             yield pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
 
-    return visits.mapInArrow(run, "a long, b long")
+    return visits.mapInArrow(released(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:

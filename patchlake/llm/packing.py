@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchlake.llm.bpe import Encoder, encoder_state, text_slices
+from patchlake.llm.memory import released
 from patchlake.llm.storage import staged
 
 GROUP_PIECES = 40_000
@@ -241,7 +242,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0) ->
                     names=[x.split()[0] for x in PIECES.split(", ")],
                 )
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, PIECES)
+    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(released(run), PIECES)
 
 
 def _packer(columns: list[str], capacity: int, level: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchlake.llm.bpe import text_slices
+from patchlake.llm.memory import released
 from patchlake.llm.ngram_join import mixed
 from patchlake.llm.storage import staged
 from patchlake.llm.suffix_sort import repeated_starts
@@ -128,8 +129,8 @@ def repeated_anchors(texts: DataFrame, length: int) -> DataFrame:
             last = (hashed[-1], ids[-1], place[-1], home[-1], bool(told[-1]))
 
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = texts.mapInArrow(cut, "hash long, text_id long, place int").repartition(parts, "hash").sortWithinPartitions("hash", "text_id", "place")
-    return rows.mapInArrow(join, "text_id long, place int, home long")
+    rows = texts.mapInArrow(released(cut), "hash long, text_id long, place int").repartition(parts, "hash").sortWithinPartitions("hash", "text_id", "place")
+    return rows.mapInArrow(released(join), "text_id long, place int, home long")
 
 
 def passages(texts: DataFrame, firsts: DataFrame, repeated: DataFrame, length: int) -> DataFrame:
@@ -169,7 +170,7 @@ def passages(texts: DataFrame, firsts: DataFrame, repeated: DataFrame, length: i
                 kinds_out = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.record_batch([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds_out)], names=["text_id", "doc_id", "home", "share", "start", "n", "passage"])
 
-    return rows.repartition(parts, "text_id").sortWithinPartitions("text_id", "kind", "place").mapInArrow(run, "text_id long, doc_id long, home long, share int, start long, n long, passage binary")
+    return rows.repartition(parts, "text_id").sortWithinPartitions("text_id", "kind", "place").mapInArrow(released(run), "text_id long, doc_id long, home long, share int, start long, n long, passage binary")
 
 
 def cut_passages(text: bytes, place: np.ndarray, home: np.ndarray, shares: np.ndarray, length: int) -> list[tuple]:
@@ -197,7 +198,7 @@ def once_per_task(texts: DataFrame) -> DataFrame:
             new = [k for k, x in enumerate(ids) if x not in seen and not seen.add(x)]
             yield batch if len(new) == len(ids) else batch.take(pa.array(new, pa.int32()))
 
-    return texts.select("text_id", "text").mapInArrow(run, "text_id long, text string")
+    return texts.select("text_id", "text").mapInArrow(released(run), "text_id long, text string")
 
 
 def sorted_blocks(pieces: DataFrame, length: int) -> DataFrame:
@@ -241,7 +242,7 @@ def sorted_blocks(pieces: DataFrame, length: int) -> DataFrame:
             yield pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in range(3)], names=["text_id", "start", "n"])
 
     rows = pieces.select("home", "share", "doc_id", "text_id", "start", "n", "passage")
-    return rows.repartition(parts, "home", "share").sortWithinPartitions("home", "share").mapInArrow(run, "text_id long, start long, n long")
+    return rows.repartition(parts, "home", "share").sortWithinPartitions("home", "share").mapInArrow(released(run), "text_id long, start long, n long")
 
 
 def grouped_strings(pieces: DataFrame, length: int) -> DataFrame:
@@ -252,7 +253,7 @@ def grouped_strings(pieces: DataFrame, length: int) -> DataFrame:
             for doc_id, text_id, start, n, passage in zip(*(column.to_pylist() for column in batch.columns), strict=True):
                 yield pa.record_batch([pa.array([doc_id] * n, pa.int64()), pa.array([text_id] * n, pa.int64()), pa.array(range(start, start + n), pa.int64()), pa.array([passage[k : k + length] for k in range(n)], pa.binary())], names=["doc_id", "text_id", "start", "string"])
 
-    strings = pieces.select("doc_id", "text_id", "start", "n", "passage").mapInArrow(run, "doc_id long, text_id long, start long, string binary")
+    strings = pieces.select("doc_id", "text_id", "start", "n", "passage").mapInArrow(released(run), "doc_id long, text_id long, start long, string binary")
     first = strings.groupBy("string").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
     again = strings.join(first, "string").where(F.struct("doc_id", "start") != F.col("first"))
     return again.select("text_id", "start", F.lit(1).cast("long").alias("n"))
@@ -304,11 +305,11 @@ def cleaned(rows: DataFrame, firsts: DataFrame, runs: DataFrame, length: int, di
             if at:
                 yield pa.record_batch([batch.column(6).take(pa.array(at, pa.int32())), *(pa.array([x[i] for x in out], pa.int64()) for i in range(3)), pa.array([x[3] for x in out], pa.string())], names=["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    bodies = rows.select("text_id", "doc_id", "text", "row").mapInArrow(once, schema)
+    bodies = rows.select("text_id", "doc_id", "text", "row").mapInArrow(released(once), schema)
     every = filled(runs, 0).unionByName(filled(firsts, 1)).unionByName(bodies)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_rows = every.repartition(parts, "text_id").sortWithinPartitions("text_id", "kind", "start")
-    return sorted_rows.mapInArrow(run, f"row {row_type}, n_bytes long, n_removed long, n_spans long, kept string")
+    return sorted_rows.mapInArrow(released(run), f"row {row_type}, n_bytes long, n_removed long, n_spans long, kept string")
 
 
 def without(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
