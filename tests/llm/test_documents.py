@@ -443,6 +443,20 @@ def test_temperature():
     rng = np.random.default_rng(0)
     truth = [(int(k), 5.0 * np.eye(3)[k if rng.random() < 0.8 else (k + 1) % 3]) for k in rng.integers(0, 3, 400)]
     assert langid.fit_temperature(truth) > 1.5  # too sure of itself
+    right = [(k, 0.01 * np.eye(3)[k]) for _, k in truth_rows(rng, 400)]
+    assert 0.0002 < langid.fit_temperature(right) < 0.02  # without an error, below the first range's end
+    assert langid.fit_temperature([]) == langid.fit_temperature([(0, np.zeros(3))]) == 1.0
+
+
+def truth_rows(rng, n):
+    return [(i, int(k)) for i, k in enumerate(rng.integers(0, 3, n))]
+
+
+def test_cuts():
+    assert langid.cuts("äbc".encode()) == [] and langid.cuts(b"") == []
+    text = "Der Übergang war schön und grün"
+    assert [len(x.decode()) for x in langid.cuts(text.encode())] == list(langid.CUTS)
+    assert all(x.decode() in text for x in langid.cuts(text.encode()))
 
 
 # ---- sharding --------------------------------------------------------------------
