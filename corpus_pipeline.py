@@ -12,7 +12,7 @@ from patchlake.llm.text_queries import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-MIN_SCORE = 0.3  # a language is accepted from this calibrated probability on
+MIN_SCORE = 0.5  # calibrated probability from which a language is more likely right than wrong
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
