@@ -26,6 +26,15 @@ def test_stages(spark):
     assert packed.select("doc_id").distinct().count() == docs.count() and packed.where("offset + length > 2048").count() == 0
 
 
+def test_language_stage_rejects_other_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    other = [(20_000, "Это предложение на русском языке, совсем другое"), (20_001, "これは日本語の文章です。とても違います"), (20_002, "xqzv wkjh bnmt")]
+    rows = spark.createDataFrame([(k, text, None, "s", len(text)) for k, text in other], docs.schema)
+    kept = corpus_pipeline.known_language(spark, docs.unionByName(rows), SF_DIR).select("doc_id").collect()
+    assert not {r.doc_id for r in kept} & {k for k, _ in other}
+    assert len(kept) >= 0.998 * docs.where("text rlike '[a-zA-Z]'").count()
+
+
 def test_rows_without_id_or_repeated(spark):
     rows = [(1, "a b c d e f g", "en", "s", 13), (1, "a b c d e f g", "en", "s", 13), (2, "a b c d e f g", "en", "s", 13), (None, "a b c d e f g", "en", "s", 13)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
