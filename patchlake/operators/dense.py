@@ -25,7 +25,7 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-def _best(candidates: pd.DataFrame, k: int) -> pd.DataFrame:
+def best_rows(candidates: pd.DataFrame, k: int) -> pd.DataFrame:
     ordered = candidates.sort_values(["q", "score", "key"], ascending=[True, False, True], kind="stable")
     return ordered.groupby("q", sort=False).head(k)
 
@@ -59,7 +59,7 @@ def _scan(batches: Iterator[pa.RecordBatch], shared, k: int, schema: pa.Schema)
             r, q = np.nonzero((scores >= bar) & (scores > -np.inf))
             if len(r):
                 fresh = pd.DataFrame({"q": q, "score": scores[r, q], "key": keys[at + r]})
-                best = _best(pd.concat([best, fresh]) if len(best) else fresh, k)
+                best = best_rows(pd.concat([best, fresh]) if len(best) else fresh, k)
                 stats = best.groupby("q")["score"].agg(["size", "min"])
                 full = stats[stats["size"] >= k]
                 floor[full.index.to_numpy()] = full["min"].to_numpy()
