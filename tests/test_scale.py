@@ -53,6 +53,16 @@ def orders(spark, tmp_path):
     return str(tmp_path)
 
 
+def test_patches_are_made_after_the_join(spark, orders, no_broadcast):
+    src = views.spark_commit_src(spark, orders)
+    assert "patch" not in moved(src)
+    head = "diff --git a/{0} b/{0}\n@@ -0,0 +1 @@\n"
+    patches = {r.subject.split()[-1]: r.patch for r in src.collect()}
+    # In order of the lines; a block without a name or number is left out, a patch without blocks is null.
+    assert patches["1"] == head.format("core/static/src/app.js") + "+fourteen\n" * 8 + head.format("addons/payment_stripe/tests/test_model.py") + "+eleven\n" * 120 + head.format("addons/spreadsheet_dashboard/models/model.py") + "+ten\n" * 2
+    assert patches["2"] is None and patches["3"] is None and len(patches) == 4
+
+
 def test_bm25_shuffles_no_postings(spark):
     texts = ["a b c", "a a b", "c c c c", "d", None, "a c", "b b a x y"]
     docs = spark.createDataFrame([(f"{i}", t, ["m"], "T", "s" if i % 2 else "u") for i, t in enumerate(texts)], "sha string, doc_text string, modules array<string>, tag string, source string")
