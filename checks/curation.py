@@ -208,7 +208,7 @@ def installed_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def module_prune_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Modules touched by the commits reachable at the end of a range and not at its start."""
-    at_end = views.spark_commit_src(spark, sf_dir)
+    at_end = C.touched_modules(views.spark_commit_src(spark, sf_dir), RULES)
     at_start = spark.sql(
         "SELECT sha1(CAST(o_orderkey AS STRING)) AS sha FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01'"
     )

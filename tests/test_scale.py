@@ -63,6 +63,12 @@ def test_patches_are_made_after_the_join(spark, orders, no_broadcast):
     assert patches["2"] is None and patches["3"] is None and len(patches) == 4
 
 
+def test_modules_of_a_range_without_patches_in_the_join(spark, orders, no_broadcast):
+    found = curation.module_prune_dim(spark, orders)
+    assert "patch" not in moved(found) and "block" not in moved(found)
+    assert {r.module for r in found.collect()} == {"core", "payment_stripe", "spreadsheet_dashboard"}
+
+
 def test_bm25_shuffles_no_postings(spark):
     texts = ["a b c", "a a b", "c c c c", "d", None, "a c", "b b a x y"]
     docs = spark.createDataFrame([(f"{i}", t, ["m"], "T", "s" if i % 2 else "u") for i, t in enumerate(texts)], "sha string, doc_text string, modules array<string>, tag string, source string")
