@@ -69,6 +69,18 @@ def test_modules_of_a_range_without_patches_in_the_join(spark, orders, no_broadc
     assert {r.module for r in found.collect()} == {"core", "payment_stripe", "spreadsheet_dashboard"}
 
 
+def test_written_logs_are_compressed(spark, tmp_path):
+    patch = "diff --git a/addons/sale/a.py b/addons/sale/a.py\n" + "+line\n" * 5000
+    rows = [(f"{i:040x}", "n", "e", None, None, "s", "b", patch) for i in range(200)]
+    commits = spark.createDataFrame(rows, "sha string, author_name string, author_email string, authored_at timestamp, committed_at timestamp, subject string, body string, patch string")
+    path = str(tmp_path / "log")
+    changelog.write_log(commits, path)
+    size = sum(f.stat().st_size for f in Path(path).glob("part-*"))
+    assert size < 200 * len(patch) / 20
+    read = changelog.parse_records(changelog.read_log(spark, path))
+    assert read.count() == 200 and read.select("patch").distinct().collect() == [(patch,)]
+
+
 def test_bm25_shuffles_no_postings(spark):
     texts = ["a b c", "a a b", "c c c c", "d", None, "a c", "b b a x y"]
     docs = spark.createDataFrame([(f"{i}", t, ["m"], "T", "s" if i % 2 else "u") for i, t in enumerate(texts)], "sha string, doc_text string, modules array<string>, tag string, source string")
