@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from patchlake.functions import text as X
 from patchlake.functions.bounds import is_small, settled
 from patchlake.operators.fusion import hydrate
-from patchlake.sources.store import MAX_PUSHED, SHARD_CHARS, pushed_lists
+from patchlake.sources.store import MAX_PUSHED, SHARD_CHARS, one_of, pushed_lists
 
 # A full id, the default cut, the columns of a record.
 FULL_ID_CHARS = 40
@@ -55,7 +55,7 @@ def lookup(
         if len(whole) <= MAX_PUSHED and len(prefixes) <= MAX_PREFIXES:
             # Ids and prefixes reach the scan, which skips pages of a table clustered by id.
             pushed_lists(commits.sparkSession)
-            fits = reduce(lambda a, b: a | b, [F.col("sha").startswith(p) for p in prefixes], F.col("sha").isin(whole) if whole else F.lit(False))
+            fits = reduce(lambda a, b: a | b, [F.col("sha").startswith(p) for p in prefixes], one_of("sha", whole))
             ids = ids.where(fits)
     parts = ids.select("sha", F.explode(lengths).alias("n")).select("sha", "n", part.alias("part"))
     found = parts.join(F.broadcast(asked) if small else asked, ["n", "part"])

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,13 +23,24 @@ from patchlake.session import drop_path, staged_once
 SHARD_CHARS = 2
 # Values of a list that a scan tests against the statistics of its row groups and pages.
 MAX_PUSHED = 10_000
+# Values that Spark hands to Parquet as one chain of comparisons; a chain of thousands overflows the stack.
+MAX_CHAIN = 256
 # Bytes of a row group, and bytes and rows of a page, of a clustered table: a scan skips these units.
 ROW_GROUP, PAGE, PAGE_ROWS = 8 << 20, 128 << 10, 256
 
 
 def pushed_lists(spark: SparkSession) -> None:
-    """Lets lists of up to MAX_PUSHED values reach the row groups and pages whole."""
-    spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", str(MAX_PUSHED))
+    """Lets lists of up to MAX_CHAIN values reach the row groups and pages whole; `one_of` makes longer ones of these."""
+    spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", str(MAX_CHAIN))
+
+
+def one_of(column: str, values: list) -> Column:
+    """True for the values of a list, as a balanced tree of short lists that reaches the scan at any length."""
+    ordered = sorted(value for value in values if value is not None)
+    tests = [F.col(column).isin(ordered[i : i + MAX_CHAIN]) for i in range(0, len(ordered), MAX_CHAIN)] or [F.lit(False)]
+    while len(tests) > 1:
+        tests = [tests[i] | tests[i + 1] if i + 1 < len(tests) else tests[i] for i in range(0, len(tests), 2)]
+    return tests[0]
 
 
 def where_in(df: DataFrame, column: str, values: list) -> DataFrame:
@@ -38,7 +49,7 @@ def where_in(df: DataFrame, column: str, values: list) -> DataFrame:
     if len(values) > MAX_PUSHED:
         raise ValueError(f"more than {MAX_PUSHED} values")
     pushed_lists(df.sparkSession)
-    return df.where(F.col(column).isin(values))
+    return df.where(one_of(column, values))
 
 
 class Table:

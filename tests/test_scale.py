@@ -81,6 +81,14 @@ def test_written_logs_are_compressed(spark, tmp_path):
     assert read.count() == 200 and read.select("patch").distinct().collect() == [(patch,)]
 
 
+def test_long_lists_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "ids")
+    spark.range(20_000).select(F.sha1(F.col("id").cast("string")).alias("sha")).sort("sha").coalesce(1).write.parquet(path)
+    ids = [r.sha for r in spark.read.parquet(path).sort("sha").limit(MAX_PUSHED - 1).collect()]
+    found = where_in(spark.read.parquet(path), "sha", [*ids, None])
+    assert found.count() == len(ids) and where_in(spark.read.parquet(path), "sha", []).count() == 0
+
+
 def test_bm25_shuffles_no_postings(spark):
     texts = ["a b c", "a a b", "c c c c", "d", None, "a c", "b b a x y"]
     docs = spark.createDataFrame([(f"{i}", t, ["m"], "T", "s" if i % 2 else "u") for i, t in enumerate(texts)], "sha string, doc_text string, modules array<string>, tag string, source string")
