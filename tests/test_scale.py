@@ -89,6 +89,40 @@ def test_long_lists_reach_the_scan(spark, tmp_path):
     assert found.count() == len(ids) and where_in(spark.read.parquet(path), "sha", []).count() == 0
 
 
+def test_one_slice_keeps_several_tasks_busy(spark, tmp_path):
+    corpus = Corpus(spark, str(tmp_path / "corpus"), sharded=False)
+    docs = spark.range(6000).select(F.sha1(F.col("id").cast("string")).alias("sha"), F.lit("x").alias("source"), F.concat(F.lit("text "), "id").alias("doc_text"))
+    corpus.commits.append(docs.coalesce(1))
+    plain = embed.hashing_embedder(16)
+    seen = spark.sparkContext.accumulator(0)
+
+    class Parts:
+        """Counts tasks: each adds one on its first request."""
+
+        def __init__(self):
+            self.first = True
+
+        def __call__(self, texts):
+            if self.first:
+                self.first = False
+                seen.add(1)
+            return plain(texts)
+
+    corpus.embed(Parts())
+    assert corpus.vectors.read().select("sha").distinct().count() == 6000 == corpus.vectors.read().count()
+    assert seen.value > 2
+
+
+def test_batches_are_known_without_a_job(spark, tmp_path):
+    table = Table(spark, str(tmp_path / "t"), Corpus(spark, str(tmp_path)).vectors.schema)
+    rows = spark.range(3).select(F.col("id").cast("string").alias("sha"))
+    assert table.batches() == [] and table.append(rows) == 0 and table.append(rows) == 1
+    kept = table.append(rows, "key")
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    assert table.batches() == [kept, 0, 1] and table.next_batch() == 2
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
+
+
 def test_bm25_shuffles_no_postings(spark):
     texts = ["a b c", "a a b", "c c c c", "d", None, "a c", "b b a x y"]
     docs = spark.createDataFrame([(f"{i}", t, ["m"], "T", "s" if i % 2 else "u") for i, t in enumerate(texts)], "sha string, doc_text string, modules array<string>, tag string, source string")
