@@ -24,7 +24,7 @@ def new_wide_rows(incoming: DataFrame, stored: DataFrame, source: str | None = N
     """`new_rows` for rows that carry texts: decided on keys, so texts are not shuffled.
 
     A small batch probes the stored keys as a broadcast. A large one compares
-    keys only, and when few are new those are broadcast to pick the rows.
+    keys only, and when few are stored, or few are new, those are broadcast to pick the rows.
     """
     done = (stored.where(F.col("source") == source) if source else stored).select(key)
     keys = incoming.select(key)
@@ -32,6 +32,9 @@ def new_wide_rows(incoming: DataFrame, stored: DataFrame, source: str | None = N
     if batch is not None:
         known = done.join(F.broadcast(batch), key, "left_semi")
         return incoming.join(F.broadcast(known), key, "left_anti")
+    known = keys_if_few(keys.join(done, key, "left_semi"), key, MAX_BROADCAST_ROWS)
+    if known is not None:
+        return incoming.join(F.broadcast(known), key, "left_anti")
     fresh = keys_if_few(keys.join(done, key, "left_anti"), key, MAX_BROADCAST_ROWS)
     if fresh is not None:
         return incoming.join(F.broadcast(fresh), key, "left_semi")

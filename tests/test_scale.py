@@ -154,3 +154,12 @@ def test_postings_are_counted_in_the_row(spark):
     wanted = lexical.term_counts(lexical.tokenized(plain, F.col("doc_text"), "sha"), "sha")
     weights = wanted.select("sha", "term", "tf", lexical.bm25_weight(F.col("tf"), F.col("doc_len")).alias("weight"))
     assert sorted(weights.collect()) == sorted(lexical.postings(plain).collect())
+
+
+def test_all_new_rows_move_no_text(spark, no_broadcast, monkeypatch):
+    monkeypatch.setattr(maintain, "MAX_BROADCAST_ROWS", 5)
+    incoming = spark.range(20).select(F.col("id").cast("string").alias("sha"), F.lit("text").alias("patch"))
+    for stored, n in ((incoming.limit(0), 20), (incoming.where("sha < '11'"), 17), (incoming.where("sha <> '7'"), 1), (incoming.where("sha < '5'"), 5)):
+        assert maintain.new_wide_rows(incoming, stored.select("sha")).count() == n
+    found = maintain.new_wide_rows(incoming, incoming.where("sha < '11'").select("sha"))
+    assert "SortMergeJoin" not in found._jdf.queryExecution().sparkPlan().toString()
