@@ -5,8 +5,11 @@ apart, so a linked pair lies in one band or in neighbouring ones. In a band, lin
 elements. The universe is dealt to segments by a hash; each segment of a set has a budget: 0 (left out), 1
 (must be equal) or 2 (may differ by one element). When the budgets of a band sum to h + 1, some segment stays
 within its budget (pigeonhole), so equal segment keys find every linked pair: a segment with budget 1 has one
-key, its content; one with budget 2 also has a key for every deletion of one element. Budgets are chosen per
-band and segment by cost: a segment whose keys would bring together many sets gives its budget to one whose
+key, its content; one with budget 2 also has a key for every deletion of one element. An empty segment would
+bring together all sets that have none of its elements. So there are more than h + 1 segments, as many as it
+takes for the segments in which a set has elements to hold budgets of h + 1 by themselves: such a set meets each
+linked one in one of them and has no keys of empty ones. The few other sets have these too. Budgets are chosen by
+band and segment, by cost: a segment whose keys would bring together many sets gives its budget to one whose
 keys don't, if the documents that they bring together are still apart after the first links and cost more than
 keys made anew.
 
@@ -99,6 +102,7 @@ class Bands:
     def __init__(self, num: int, den: int) -> None:
         self.num, self.den = num, den
         self.tops = [0]  # band k has the sizes tops[k] + 1 .. tops[k + 1]
+        self.room: dict[int, int] = {}  # differences by band
 
     def band(self, n: int) -> int:
         """Sizes in one band or the next below cover all partners: a partner of n has at most n * den / num elements."""
@@ -107,13 +111,29 @@ class Bands:
             self.tops.append(max(low, low * self.den // self.num))
         return int(np.searchsorted(self.tops, n)) - 1
 
-    def differences(self, band: int) -> int:
+    def most_apart(self, band: int) -> int:
         """The most elements in which two linked sets differ, the smaller of them in band."""
         self.band(self.tops[-1] + 1) if band + 1 >= len(self.tops) else None
         top = self.tops[band + 1]
         # |a| <= top and |b| <= |a| den / num; the difference is at most (den - num) / (den + num) of both.
         return (self.den - self.num) * (top + top * self.den // self.num) // (self.den + self.num)
 
+    def differences(self, band: int) -> int:
+        """The differences that the segments of a band, one more, make room for: most_apart() or more.
+
+        So many that the band's smallest sets fill more than most_apart() segments, by three standard deviations;
+        at most three segments for each of most_apart() + 1.
+        """
+        if band not in self.room:
+            needed = self.most_apart(band) + 1
+            some = np.arange(needed, 3 * needed + 1)
+            load = (self.tops[band] + 1) / some
+            free = np.exp(-load)
+            deviation = np.sqrt(some * free * np.maximum(0, 1 - (1 + load) * free))
+            enough = np.append(np.flatnonzero(some * (1 - free) - 3 * deviation >= needed), len(some) - 1)
+            self.room[band] = int(some[enough[0]]) - 1 if needed > 1 else 0
+        return self.room[band]
+
 
 def slot_of(band: int, segments: np.ndarray) -> np.ndarray:
     """A number of SLOT_BITS for each segment of a band; the lowest bits of its keys."""
@@ -121,7 +141,11 @@ def slot_of(band: int, segments: np.ndarray) -> np.ndarray:
 
 
 def segment_keys(grams: np.ndarray, band: int, bands: Bands, budgets: dict[int, np.ndarray]) -> np.ndarray:
-    """Keys of one set in one band; a band without budgets has 1 for each of its segments."""
+    """Keys of one set in one band; a band without budgets has 1 for each of its segments.
+
+    Where the segments with elements have budgets of more than bands.most_apart(band), one of them stays within
+    its budget, so that empty ones with budget 1 need no keys.
+    """
     given = budgets.get(band)
     segments = bands.differences(band) + 1 if given is None else len(given)
     at = (mixed(grams + np.uint64(band)) % np.uint64(segments)).astype(np.int64)
@@ -138,8 +162,11 @@ def segment_keys(grams: np.ndarray, band: int, bands: Bands, budgets: dict[int,
         return (mixed(content ^ mixed(slot + np.uint64(band << 32))) & ~SLOTS) | slot
 
     if given is None:
-        return named(sums, slots).astype(np.int64)
-    used, cut = np.flatnonzero(given), np.flatnonzero(given[at] == 2)
+        used = filled if len(filled) > bands.most_apart(band) else np.arange(segments)
+        return named(sums[used], slots[used]).astype(np.int64)
+    enough = given[filled].sum() > bands.most_apart(band)
+    used = np.flatnonzero((given == 2) | (given == 1) & ((counts > 0) | ~enough))
+    cut = np.flatnonzero(given[at] == 2)
     keys = np.concatenate([named(sums[used], slots[used]), named(sums[at[cut]] - terms[cut], slots[at[cut]])])
     return np.unique(keys).astype(np.int64)
 

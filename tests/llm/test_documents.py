@@ -239,6 +239,35 @@ def test_budgets_keep_every_link():
                 assert len(np.intersect1d(*keys)), (len(a), len(b))
 
 
+def test_empty_segments_bring_no_sets_together():
+    """Sets without a common element share no key, however many they are."""
+    rng, bands, met = np.random.default_rng(3), ngram_join.Bands(4, 5), []
+    sizes = [n for n in (60, 300, 396) for _ in range(200)]
+    for n in sizes:
+        grams = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        met.append(np.concatenate([ngram_join.segment_keys(grams, bands.band(n) - k, bands, {}) for k in (0, 1)]))
+    _, copies = np.unique(np.concatenate(met), return_counts=True)
+    assert (copies > 1).sum() <= 30  # few sets have so few segments with elements that the empty ones count
+
+
+@pytest.mark.parametrize("moved", [False, True])
+def test_sets_that_only_empty_segments_link(moved):
+    """Eight segments with elements, each of which differs in one: such sets keep the keys of their empty segments."""
+    bands = ngram_join.Bands(4, 5)
+    band = bands.band(40)
+    segments = bands.differences(band) + 1
+    pool = np.random.default_rng(4).integers(0, 2**63, 5000).astype(np.uint64)
+    at = (ngram_join.mixed(pool + np.uint64(band)) % np.uint64(segments)).astype(int)
+    parts = [pool[at == k] for k in range(8)]
+    a = np.sort(np.concatenate([x[:5] for x in parts]))
+    b = np.sort(np.concatenate([x[:4] if k < 4 else x[:6] for k, x in enumerate(parts)]))
+    assert ngram_join.are_linked(len(np.intersect1d(a, b)), len(a), len(b), 4, 5)
+    budget = np.ones(segments, dtype=np.int8)
+    budget[[8, 9]] = (0, 2)
+    keys = [ngram_join.segment_keys(x, band, bands, {band: budget} if moved else {}) for x in (a, b)]
+    assert len(np.intersect1d(*keys))
+
+
 def test_allocation_moves_budgets(spark):
     """A segment that brings very many sets together gives its budget away."""
     bands = ngram_join.Bands(9, 10)
