@@ -149,9 +149,8 @@ class Encoder:
         keys = left << 32 | right
         self.keys = np.full(self.slots, -1, dtype=np.int64)
         self.ranks = np.full(self.slots, NEVER, dtype=np.int32)
-        at, todo, self.probes = self._slot(keys), np.arange(len(keys)), 0
+        at, todo = self._slot(keys), np.arange(len(keys))
         while len(todo):
-            self.probes += 1
             spots, first = np.unique(at[todo], return_index=True)
             free = self.keys[spots] < 0
             placed = todo[first[free]]
@@ -165,12 +164,16 @@ class Encoder:
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = left.astype(np.int64) << 32 | right
         at = self._slot(keys)
-        found = np.full(len(keys), NEVER, dtype=np.int32)
-        for _ in range(self.probes):
-            hit = self.keys[at] == keys
-            found[hit] = self.ranks[at[hit]]
-            at += 1
-            at %= self.slots
+        here = self.keys[at]
+        found = np.where(here == keys, self.ranks[at], NEVER)
+        # A taken slot passes its other keys on to the next one.
+        todo = np.flatnonzero((here != keys) & (here >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) % self.slots
+            here = self.keys[at[todo]]
+            hit = here == keys[todo]
+            found[todo[hit]] = self.ranks[at[todo[hit]]]
+            todo = todo[~hit & (here >= 0)]
         return found
 
     # fragments
@@ -367,16 +370,11 @@ class Encoder:
 
     def encode(self, texts: Iterable[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the number of ids of each text."""
-        words: list[bytes] = []
-        counts = []
-        for text in texts:
-            own = (text or b"").split()
-            words += own
-            counts.append(len(own))
+        words, of, counts = distinct_chunks([text or b"" for text in texts])
         if len(self.known) > self.keep or self.used > 8 * self.keep:
             self._shrink()
         first = len(self.known)
-        index = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+        index = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))[of]
         if self.known.new:
             self._learn(self.known.new, first)
             self.known.new = []
@@ -385,10 +383,25 @@ class Encoder:
         ends = sizes.cumsum()
         total = int(ends[-1]) if len(ends) else 0
         flat = self.pool[np.repeat(starts - ends + sizes, sizes) + np.arange(total)]
-        edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
+        edges = np.concatenate([[0], ends])[np.concatenate([[0], counts.cumsum()])]
         return flat.astype(np.uint32), np.diff(edges)
 
 
+def distinct_chunks(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct runs without ASCII white space, the number of each run among them, and how many runs each text has."""
+    parts = pa.compute.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+    coded = parts.values.dictionary_encode()
+    of, edges = coded.indices.to_numpy().astype(np.int64), parts.offsets.to_numpy()
+    # White space at the ends of a text, and a text without any run, leave empty runs.
+    lengths = pa.compute.binary_length(coded.dictionary).to_numpy()
+    real = lengths[of] > 0
+    counts = np.diff(np.concatenate([[0], real.cumsum()])[edges])
+    kept = np.flatnonzero(lengths > 0)
+    number = np.zeros(len(lengths), dtype=np.int64)
+    number[kept] = np.arange(len(kept))
+    return coded.dictionary.take(pa.array(kept)).cast(pa.large_binary()).to_pylist(), number[of[real]], counts
+
+
 @lru_cache(maxsize=4)
 def encoder_state(path: str) -> dict:
     return Encoder(load_vocabulary(path)).state()

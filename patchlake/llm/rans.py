@@ -49,19 +49,19 @@ class Coder:
         freq, begin = self.freq[tokens], self.begin[tokens]
         if n and not freq.all():
             raise ValueError("a token without frequency")
-        limit = freq << np.uint64(63 - SCALE_BITS)
+        limit, others = freq << np.uint64(63 - SCALE_BITS), np.uint64(1 << SCALE_BITS) - freq
         state = np.full(LANES, LOW, dtype=np.uint64)
         shed, marks, words = [], [], 0
         for row in reversed(range(rows)):
             part = slice(row * LANES, min(n, (row + 1) * LANES))
             x = state[: part.stop - part.start]
-            over = x >= limit[part]
-            out = x[over].astype(np.uint32)
-            words += len(out)
-            shed.append(out)
-            x[over] >>= np.uint64(32)
-            quotient, rest = np.divmod(x, freq[part])
-            x[:] = (quotient << np.uint64(SCALE_BITS)) + rest + begin[part]
+            over = np.flatnonzero(x >= limit[part])
+            full = x[over]
+            words += len(over)
+            shed.append(full.astype(np.uint32))
+            x[over] = full >> np.uint64(32)
+            # quotient * 2^SCALE_BITS + rest + begin, as rest is x - quotient * freq.
+            x += x // freq[part] * others[part] + begin[part]
             if row and row % CHECKPOINT == 0:
                 marks.append((row, words, state.copy()))
         stream = np.concatenate([state.view("<u4"), *shed[::-1]]).astype("<u4") if rows else np.empty(0, dtype="<u4")
@@ -96,14 +96,16 @@ class Coder:
             width = min(n - row * lanes, lanes)
             x = state[:width]
             slot = x & mask
-            token = self.token[slot]
+            token = self.token.take(slot)
             begin = (row - first) * lanes
             tokens[begin : begin + width] = token
-            x[:] = self.freq[token] * (x >> np.uint64(SCALE_BITS)) + slot - self.begin[token]
-            under = x < LOW
-            need = int(under.sum())
-            x[under] = (x[under] << np.uint64(32)) | stream[at : at + need].astype(np.uint64)
-            at += need
+            x >>= np.uint64(SCALE_BITS)
+            x *= self.freq.take(token)
+            x += slot
+            x -= self.begin.take(token)
+            under = np.flatnonzero(x < LOW)
+            x[under] = (x[under] << np.uint64(32)) | stream[at : at + len(under)]
+            at += len(under)
         if checkpoint is None and zlib.crc32(tokens.astype("<u4").tobytes()) != kept[0]:
             raise ValueError("wrong tokens")
         return tokens

@@ -55,6 +55,37 @@ def test_long_fragments(library):
         assert encoder.encode([word.encode()])[0].tolist() == ids_of(library, word)
 
 
+def test_a_batch_asks_for_a_chunk_once():
+    """However often a chunk stands in a batch, the chunk table is asked once; white space is as bytes.split() has it."""
+    asked = []
+
+    class Asked(bpe.Numbered):
+        def __getitem__(self, key):
+            asked.append(key)
+            return super().__getitem__(key)
+
+    texts = [b"", b" ", b"the cat the\tcat\x0b\x0cthe ", None, b"\r\nthe\x1ccat \xc2\xa0cat the"]
+    words, of, counts = bpe.distinct_chunks([x or b"" for x in texts])
+    assert [words[k] for k in of] == [x for text in texts for x in (text or b"").split()]
+    assert counts.tolist() == [len((text or b"").split()) for text in texts]
+    encoder = bpe.Encoder(bpe.load_vocabulary(PATH))
+    encoder.known = Asked()
+    encoder.encode(texts)
+    assert sorted(asked) == sorted(set(words)) and len(words) == 4
+
+
+def test_ranks_of_pairs():
+    """Pairs whose slot another pair has taken are found behind it, others nowhere."""
+    vocabulary = bpe.load_vocabulary(PATH)
+    encoder = bpe.Encoder(vocabulary)
+    left, right, _ = vocabulary.merges.T
+    assert np.array_equal(encoder._rank(left, right), np.arange(len(left)))
+    merges = set(zip(left.tolist(), right.tolist(), strict=True))
+    some = np.random.default_rng(2).integers(0, len(vocabulary.tokens), (2, 20_000))
+    found = encoder._rank(*some) < bpe.NEVER
+    assert found.tolist() == [pair in merges for pair in zip(*some.tolist(), strict=True)]
+
+
 def test_character_classes(library):
     """A sample of all planes, tried out on the library's own splitter."""
     classes = bpe.load_vocabulary(PATH).classes
