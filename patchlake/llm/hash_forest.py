@@ -1,8 +1,8 @@
 """Approximate nearest neighbours with a forest of hash prefixes.
 
 Vectors are dealt to blocks of bounded size; a block has TREES sorted arrays of 64-bit hash strings (signs of
-projections on random hyperplanes through the block's mean). Queries come in blocks too, and every pair of
-blocks is one step: a query descends in each tree to its longest matching prefix, then all trees ascend one
+projections on random hyperplanes through the block's mean). Queries come in blocks too, and a block of vectors
+meets a bounded slab of them in one step, to which both are shuffled: a query descends in each tree to its longest matching prefix, then all trees ascend one
 bit at a time together, until enough different candidates lie below. Their distances are exact, in double
 precision, on the original vectors; the nearest of all blocks are merged.
 
@@ -12,8 +12,6 @@ force on a bounded sample of them when the block is indexed, reaches the target.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -26,6 +24,7 @@ BITS = 64
 TREES = 48
 BLOCK_ROWS = 8192
 QUERY_ROWS = 1024
+SLAB_PARTS = 64  # blocks of queries that a block of vectors meets in one step
 PROBES = 48  # rows of a block that its share is measured on
 TARGET = 0.95
 INDEX = "block int, n int, ids binary, vectors binary, hashes binary, center binary, enough int"
@@ -69,7 +68,10 @@ def candidates(hashes: np.ndarray, order: np.ndarray, query: np.ndarray, enough:
         if sum(e - b for b, e in zip(begins, ends, strict=True)) < enough:
             high = level - 1
             continue
-        found = np.unique(np.concatenate([order[t, b:e] for t, (b, e) in enumerate(zip(begins, ends, strict=True))]))
+        below = np.zeros(order.shape[1], dtype=bool)
+        for t, (b, e) in enumerate(zip(begins, ends, strict=True)):
+            below[order[t, b:e]] = True
+        found = np.flatnonzero(below)
         if len(found) >= enough:
             low, best = level, found
         else:
@@ -132,8 +134,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """
     rows, queries = (df.where(F.col("vec_id").isNotNull() & valid("vector")).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vector").cast("array<double>").alias("vector")) for df in (rows, queries))
     index = staged(build_index(rows, k), "forest")
-    blocks = index.select("block").count()
+    last = index.agg(F.max("block")).first()[0] or 0
     parts = max(1, -(-queries.count() // QUERY_ROWS))
+    slabs = -(-parts // SLAB_PARTS)
 
     def packed(group: pd.DataFrame) -> pd.DataFrame:
         vectors = np.stack(group["vector"].tolist()).astype("<f8")
@@ -141,25 +144,32 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     dealt = queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
     asked = dealt.groupBy("part").applyInPandas(packed, "part int, query_ids binary, query_vectors binary")
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks - 1)))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids_raw, vectors_raw, hashes_raw, center_raw, enough, query_ids, query_vectors in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-                ids, center = np.frombuffer(ids_raw, dtype="<i8"), np.frombuffer(center_raw, dtype="<f8")
-                vectors = np.frombuffer(vectors_raw, dtype="<f8").reshape(len(ids), -1)
-                plain = np.frombuffer(hashes_raw, dtype="<u8").astype(np.uint64).reshape(TREES, -1)
-                order = np.argsort(plain, axis=1, kind="stable")
-                hashes = np.take_along_axis(plain, order, axis=1)
-                own = np.frombuffer(query_ids, dtype="<i8")
-                queries = np.frombuffer(query_vectors, dtype="<f8").reshape(len(own), -1)
+    asked = asked.select(F.pmod("part", F.lit(slabs)).alias("slab"), "query_ids", "query_vectors", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("block"))
+
+    def run(block: pa.Table, asked: pa.Table) -> pa.Table:
+        found = []
+        if block.num_rows and asked.num_rows:
+            ids_raw, vectors_raw, hashes_raw, center_raw, enough = (block.column(c)[0].as_py() for c in ("ids", "vectors", "hashes", "center", "enough"))
+            ids, center = np.frombuffer(ids_raw, dtype="<i8"), np.frombuffer(center_raw, dtype="<f8")
+            vectors = np.frombuffer(vectors_raw, dtype="<f8").reshape(len(ids), -1)
+            plain = np.frombuffer(hashes_raw, dtype="<u8").astype(np.uint64).reshape(TREES, -1)
+            order = np.argsort(plain, axis=1, kind="stable")
+            hashes = np.take_along_axis(plain, order, axis=1)
+            for query_ids, query_vectors in zip(asked.column("query_ids"), asked.column("query_vectors"), strict=True):
+                own = np.frombuffer(query_ids.as_py(), dtype="<i8")
+                queries = np.frombuffer(query_vectors.as_py(), dtype="<f8").reshape(len(own), -1)
                 strings = hash_strings(queries, center, hyperplanes(queries.shape[1]))
-                found = [nearest(vectors, ids, candidates(hashes, order, strings[:, q], enough), queries[q], own[q], k) for q in range(len(own))]
-                names = np.repeat(own, [len(x) for x, _ in found])
-                yield pa.record_batch([pa.array(names), pa.array(np.concatenate([x for x, _ in found])), pa.array(np.concatenate([x for _, x in found]))], names=["query_id", "vec_id", "score"])
-
-    pairs = asked.join(index, "block").select("ids", "vectors", "hashes", "center", "enough", "query_ids", "query_vectors")
-    pairs = pairs.repartition(max(blocks * parts, 1))
-    near = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
+                for q in range(len(own)):
+                    near, score = nearest(vectors, ids, candidates(hashes, order, strings[:, q], enough), queries[q], own[q], k)
+                    found.append((np.full(len(near), own[q]), near, score))
+        columns = [np.concatenate([x[c] for x in found]) if found else [] for c in range(3)]
+        return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
+
+    # A block of vectors is copied once for each slab, a block of queries once for each block of vectors. The
+    # numbers are given, so neither side is broadcast and no task takes several blocks that are small in bytes.
+    spread = max(2 * (last + 1) * slabs, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    blocks = index.withColumn("slab", F.explode(F.sequence(F.lit(0), F.lit(slabs - 1)))).repartition(spread, "block", "slab")
+    asked = asked.repartition(spread, "block", "slab")
+    near = blocks.groupBy("block", "slab").cogroup(asked.groupBy("block", "slab")).applyInArrow(run, "query_id long, vec_id long, score double")
     window = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

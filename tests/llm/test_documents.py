@@ -444,6 +444,27 @@ def test_forest(spark, monkeypatch):
     assert hash_forest.search(df, df.where("false"), 10).count() == 0
 
 
+def test_nearest_neighbours_broadcast_nothing(spark, monkeypatch):
+    """Query blocks, made anew for each block of vectors, stay off the driver; slabs of them change no row."""
+    monkeypatch.setattr(hash_forest, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(hash_forest, "QUERY_ROWS", 20)
+    data = np.random.default_rng(5).standard_normal((400, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, vector array<double>")
+    found = hash_forest.search(df, df.where("vec_id % 4 = 0"), 5)
+    rows = sorted(found.collect())
+    assert len(rows) == 500 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(hash_forest, "SLAB_PARTS", 2)
+    assert sorted(hash_forest.search(df, df.where("vec_id % 4 = 0"), 5).collect()) == rows
+
+
+def test_nearest_neighbours_of_one_repeated_id(spark, monkeypatch):
+    """Rows of one id fill a single block, whatever its number is."""
+    monkeypatch.setattr(hash_forest, "BLOCK_ROWS", 10)
+    rows = spark.createDataFrame([(7, [1.0, float(i)]) for i in range(35)], "vec_id long, vector array<double>")
+    query = spark.createDataFrame([(1, [1.0, 3.2])], "vec_id long, vector array<double>")
+    assert [(r.vec_id, round(r.score, 3)) for r in hash_forest.search(rows, query, 2).orderBy("rank").collect()] == [(7, 0.2), (7, 0.8)]
+
+
 # ---- language --------------------------------------------------------------------
 
 
