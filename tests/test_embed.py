@@ -1,7 +1,11 @@
+import re
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from patchlake.functions.words import ascii_words
 from patchlake.operators import embed
 
 
@@ -62,3 +66,34 @@ def test_batch_numbers(spark):
         groups.setdefault((r.part, r.batch), []).append(r.n_chars)
     assert sum(map(len, groups.values())) == 50
     assert all(len(g) <= 4 and (sum(g) <= 100 or len(g) == 1) for g in groups.values())
+
+
+def test_hashing_embedder_by_its_definition():
+    """Texts of ASCII are cut together, others one by one; both follow the same rule."""
+    texts = ["", "Word3 other_3 x", "ends", "Starts  and_more and", "ünï code Übung_x 12 and", "...", "ü", "and"]
+    vectors, used = embed.hashing_embedder(16)(texts)
+    n_words = 0
+    for text, vector in zip(texts, vectors, strict=True):
+        want, terms = np.zeros(16), re.findall(r"[^\W_]+", text.lower())
+        n_words += len(terms)
+        for term in terms:
+            cell, sign = embed.hash_bucket(term, 16)
+            want[cell] += sign
+        assert np.allclose(vector, want / (np.linalg.norm(want) or 1))
+    assert used == n_words
+    assert embed.hashing_embedder(16)([])[0].shape == (0, 16) and embed.hashing_embedder(16)(["ü"])[0].any()
+
+
+def test_terms_are_hashed_once(monkeypatch):
+    calls, plain = [], embed.hash_bucket
+    monkeypatch.setattr(embed, "hash_bucket", lambda term, dim: calls.append(term) or plain(term, dim))
+    run = embed.hashing_embedder(16)
+    for _ in range(3):
+        run(["a b a", "b c", "ü a"])
+    assert sorted(calls) == ["a", "b", "c", "ü"]
+
+
+def test_ascii_words():
+    texts = pa.array(["xx", "a b_c", None, "", "Lone", "1-2", "tail ", "z"]).slice(1)
+    words, lengths = ascii_words(texts)
+    assert words.to_pylist() == ["a", "b", "c", "lone", "1", "2", "tail", "z"] and lengths.tolist() == [3, 0, 0, 1, 2, 1, 1]
