@@ -7,6 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from patchlake.functions import text as X
 from patchlake.operators import block_index, cells, dense, fusion, lexical, literal, lookup, trigrams
 from patchlake.plans.jobs import Corpus
 from patchlake.sources.store import MAX_PUSHED, where_in
@@ -279,3 +280,15 @@ def test_ids_read_few_pages(spark, tmp_path):
     pushed = found._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(sha" in pushed or "In(sha" in pushed
     assert scanned(found) <= 40 * 256
+
+
+def test_block_rows_of_any_text(spark):
+    """Texts of ASCII alone reach the task uncut; all texts have the words that full-text search knows."""
+    texts = ["A b_c a", "Übung A ü", None, "", "...", "x" * 300 + " 1-2", "ﬁ İx 12"]
+    docs = spark.createDataFrame([(f"{i}", t, ["m"], "T", "s") for i, t in enumerate(texts)], "sha string, doc_text string, modules array<string>, tag string, source string")
+    index = block_index.block_rows(docs.coalesce(1))
+    found = {(r.sha, r.term, r.tf) for r in block_index.posting_rows(index).collect()}
+    terms = docs.select("sha", F.explode(X.lexemes(F.col("doc_text"))).alias("term")).groupBy("sha", "term").count()
+    assert found == {tuple(r) for r in terms.collect()} and len(found) > 8
+    plan = index._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS plain" in plan
