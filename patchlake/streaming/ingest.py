@@ -17,12 +17,29 @@ def stream_commits(spark: SparkSession, path: str, max_files: int | None = None)
     return parse_records(stream_log(spark, path, max_files))
 
 
+# The state store with bounded memory, which writes what a batch changes and not the whole state.
+DISK_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def state_on_disk(spark: SparkSession) -> None:
+    """Streams that start from now on keep their state in files; the default keeps all of it in the executors' heap.
+    A stream that goes on from a checkpoint stays with the store it began with."""
+    for name, value in DISK_STATE.items():
+        spark.conf.set(name, value)
+
+
 def distinct_commits(commits: DataFrame, delay: str) -> DataFrame:
     """First copy of each commit, where copies are read within `delay` of each other.
 
     The watermark bounds the state. It runs on the time of reading, so a log in any order of dates loses
-    nothing; copies further apart pass, and the stored-id check of the sink catches them.
+    nothing; copies further apart pass, and the stored-id check of the sink catches them. The state lies on disk
+    (`state_on_disk`), since it holds every id that was read within the delay.
     """
+    state_on_disk(commits.sparkSession)
     dated = commits.withColumn("seen_at", F.current_timestamp()).withWatermark("seen_at", delay)
     return dated.dropDuplicatesWithinWatermark(["sha"]).drop("seen_at")
 

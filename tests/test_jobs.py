@@ -4,6 +4,7 @@ from pyspark.sql import types as T
 
 from patchlake.functions.rules import Rules
 from patchlake.operators import block_index, embed, lookup
+from patchlake.plans import jobs
 from patchlake.plans.jobs import Corpus
 from patchlake.plans.search import hybrid_rank
 from patchlake.sources import changelog
@@ -257,3 +258,39 @@ def test_slices_are_read_once(spark, tmp_path):
 
     corpus.embed(counting, slice_rows=7)
     assert seen.value == 60 and len(corpus.vectors.batches()) >= 8 and corpus.vectors.read().count() == 60
+
+
+def test_builds_write_no_patch_down(spark, tmp_path, monkeypatch):
+    """Of a log only ids and curated rows are staged, copies among them; a run without news curates nothing."""
+    staged, plain = [], jobs.staged_once
+    monkeypatch.setattr(jobs, "staged_once", lambda df, name, by=(): staged.append((name, df.columns)) or plain(df, name, by))
+    (tmp_path / "log").write_text(log_text(shas(0, 6)) + log_text(shas(4, 6), "again"))
+    corpus = Corpus(spark, str(tmp_path / "corpus"), sharded=False)
+    assert tuple(corpus.build(read(spark, tmp_path / "log"), RULES, "here").first()) == (8, 0)
+    assert [name for name, _ in staged] == ["curated"] and not any("patch" in columns for _, columns in staged)
+    assert sorted(r.body for r in corpus.commits.read().collect()) == ["again"] * 2 + ["body"] * 4
+    staged.clear()
+    assert tuple(corpus.build(read(spark, tmp_path / "log"), RULES, "here").first()) == (0, 8)
+    assert staged == [("ids", ["sha"])]
+
+
+def test_headers_are_parsed_without_the_patch(spark, tmp_path):
+    """Bytes that are no text, line ends and separators fall to the header and the patch as they lie."""
+    head = "\x1f".join(["s1", "n", "e", "2024-01-02T03:04:05Z", "", "sub\r\nject", "bo"]).encode()
+    records = [head + b"\xe2\x1d\xff+a\r\n\x1d+b\r", head.replace(b"s1", b"s2"), head.replace(b"s1", b"s3") + b"\x1d", b"no header"]
+    (tmp_path / "log").write_bytes(b"".join(b"\x1e" + r for r in records))
+    parsed = read(spark, tmp_path / "log")
+    rows = {r.sha: (r.subject, r.body, r.patch) for r in parsed.collect()}
+    assert rows == {"s1": ("sub\nject", "bo\ufffd", "\ufffd+a\n\x1d+b\n"), "s2": ("sub\nject", "bo", ""), "s3": ("sub\nject", "bo", "")}
+    plan = parsed.select("sha", "subject")._jdf.queryExecution().optimizedPlan().toString()
+    assert "make_valid_utf8(value" not in plan and "as binary" not in plan
+
+
+def test_state_of_distinct_commits_lies_on_disk(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "one").write_text(log_text(shas(0, 9)) + log_text(shas(3, 6)))
+    distinct = ingest.distinct_commits(ingest.stream_commits(spark, str(tmp_path / "logs")).select("sha", "subject"), "2 days")
+    writer = distinct.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 9
+    assert [*(tmp_path / "ck" / "state").rglob("*.changelog")]
